@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, media_columns, packing, repeat_removal, simhash_dedup, token_counts, toxicity
+from . import chat_format, media_columns, packing, quality_lm, repeat_removal, simhash_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_digests(media_columns.stored_media(table(spark, sf_dir, "documents")))
 
 
+def op9_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_removal.repeats_removed(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_media_columns": op8_media_columns,
+        "op9_quality_lm": op9_quality_lm,
         "op10_repeat_removal": op10_repeat_removal,
     }
 

@@ -243,3 +243,9 @@ def simhash_components(docs: DataFrame, radius: int = 4, id_col: str = "doc_id",
     parts = components(linked_prints(prints.where("rep IS NOT NULL"), radius), "a", "b")
     named = prints.join(parts, prints.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its group, with their columns; rows without an id stay."""
+    kept = simhash_components(docs.where(F.col(id_col).isNotNull()), radius, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
