@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, media_columns, near_embeddings, packing, quality_lm, repeat_removal, simhash_dedup, token_counts, toxicity
+from . import chat_format, media_columns, near_embeddings, packing, piece_codec, quality_lm, repeat_removal, simhash_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trips(table(spark, sf_dir, "documents"))
+
+
 def op3_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +59,7 @@ def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_piece_codec": op2_piece_codec,
         "op3_near_embeddings": op3_near_embeddings,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_packing": op5_packing,
