@@ -2,5 +2,306 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions.trajectory import DESCRIPTORS, with_descriptors
+from ..operators import agreement, design, exchange, integrity, progress
+from ..sources import files
+from . import adapters
+from .adapters import load
+from .sql import SQL  # noqa: F401
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+@query
+def status_counts(spark, sf):
+    return progress.status_counts(adapters.assigned(spark, sf), "annotator_code", "task_type", "split")
+
+
+@query
+def next_task(spark, sf):
+    rows = progress.next_task(adapters.assigned(spark, sf), order=("queue_position", "task_uuid", "part"))
+    return rows.select("annotator_code", "task_uuid", "queue_position", "part", "status")
+
+
+@query
+def workload(spark, sf):
+    return _round(progress.workload(adapters.assigned(spark, sf)), "median_completed_seconds", "estimated_remaining_hours")
+
+
+@query
+def completion_gate(spark, sf):
+    counts = progress.status_counts(adapters.assigned(spark, sf), "task_type", "split", "queue_position")
+    return progress.completion_gate(counts.withColumn("complete", F.when(F.col("split") == "F", F.col("total")).otherwise(F.col("complete"))), "split", "queue_position")
+
+
+@query
+def rater_totals(spark, sf):
+    rows = progress.status_counts(adapters.assigned(spark, sf), "annotator_code")
+    return rows.withColumn("percent", F.round(C.percent_complete(F.col("complete"), F.col("total")), 6))
+
+
+@query
+def task_probes(spark, sf):
+    rows = progress.probes(adapters.assigned(spark, sf), "annotator_code", "task_uuid", "queue_position", "part")
+    return rows.select("annotator_code", "task_uuid", "queue_position", "part")
+
+
+@query
+def task_authorised(spark, sf):
+    wanted = load(spark, sf, "orders").select(F.col("o_orderkey").alias("task_uuid"), F.col("o_custkey").alias("wanted_by"))
+    return progress.owned_task(adapters.assigned(spark, sf).where("status = 'complete'"), wanted, "task_uuid")
+
+
+@query
+def unassigned(spark, sf):
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("task_uuid")).join(adapters.assigned(spark, sf).select("task_uuid"), "task_uuid", "left_anti")
+
+
+
+
+@query
+def vote_clarity(spark, sf):
+    events = load(spark, sf, "events")
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(5).collect()]
+    votes = events.groupBy(F.col("user_id").alias("order")).agg(*[F.count_if(F.col("event_type") == k).alias(f"v{i}") for i, k in enumerate(kinds)])
+    return _round(design.label_clarity(votes, [f"v{i}" for i in range(len(kinds))]), "vote_entropy")
+
+
+@query
+def quartile_bin(spark, sf):
+    rows = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return rows.select("o_orderkey", C.quartile_bin(F.col("o_totalprice"), [F.col("o_orderkey")], [F.col("o_orderstatus")]).alias("quarter"))
+
+
+@query
+def largest_remainder(spark, sf):
+    keys = ["o_orderpriority", "o_orderstatus"]
+    sizes = load(spark, sf, "orders").groupBy(*keys).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return design.largest_remainder(sizes.withColumn("_t", total), keys, F.bround(F.col("_t") * 0.1).cast("bigint"), F.col("n") * 0.1).select(*keys, "n", "allocated")
+
+
+@query
+def stratified_sample(spark, sf):
+    rows = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return design.stratified_sample(rows, ["o_orderpriority", "o_orderstatus"], 0.1, design.shuffled(7, "o_orderkey"))
+
+
+@query
+def alignment_subset(spark, sf):
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("clip_id"), (F.col("doc_id") % 7 + 1).alias("label"), "n_chars")
+    clarity = docs.select("clip_id", (F.col("clip_id") * 37 % 101 / 101.0).alias("vote_entropy"))
+    stimulus = docs.select("clip_id", F.col("n_chars").alias("original_frame_count"), (F.col("clip_id") * 53 % 97 / 97.0).alias("mean_abs_change"))
+    return design.alignment_subset(docs.select("clip_id", "label"), clarity, stimulus, per_class=60).select("clip_id", "label", "clarity_bin", "length_bin", "motion_bin")
+
+
+@query
+def alternating_primary(spark, sf):
+    rows = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    return rows.select("o_orderkey", design.primary_index(["o_orderstatus"], [F.col("o_orderkey")], F.col("o_custkey") % 7).alias("primary"))
+
+
+@query
+def stable_uuid(spark, sf):
+    rows = load(spark, sf, "orders")
+    return rows.select("o_orderkey", C.stable_uuid("frame", "test", F.col("o_orderkey"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")), "primary").alias("task_uuid"))
+
+
+@query
+def bundle_ids(spark, sf):
+    rows = load(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.col("event_id").cast("string")).alias("ids"))
+    return rows.select("user_id", C.bundle_id(F.concat(F.lit("R"), F.col("user_id").cast("string")), F.col("ids")).alias("bundle_id"))
+
+
+@query
+def calibration_pick(spark, sf):
+    rows = load(spark, sf, "documents").select(F.col("doc_id").alias("clip_id"), F.col("lang").alias("label"), "n_chars", (F.col("doc_id") % 2 == 0).alias("main_study_overlap"))
+    picked = design.calibration_selection(rows, 5, order=(F.col("n_chars").asc(), F.col("clip_id").asc()))
+    return design.calibration_frames(picked).select("label", "clip_id", "calibration_profile", "frame_index")
+
+
+@query
+def practice_set(spark, sf):
+    clips = load(spark, sf, "documents").select(F.col("doc_id").alias("clip_id"))
+    return design.practice_set(clips, clips.where("clip_id % 3 = 0"))
+
+
+@query
+def gap_violations(spark, sf):
+    rows = integrity.gap_violations(load(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"], 2, first_only=False)
+    return rows.select("user_id", "event_type", "event_id", "position", "previous")
+
+
+@query
+def gap_schedule(spark, sf):
+    """Each user's orders as frame tasks of a clip, in an order that keeps a gap of one task (not SQL: invariants are tested)."""
+    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("annotator_code"), F.col("o_orderkey").alias("assignment_uuid"), (F.col("o_orderkey") % 1009).alias("clip_id"))
+    once = orders.withColumn("n", F.count("*").over(Window.partitionBy("annotator_code", "clip_id"))).where("n = 1").drop("n")
+    return design.scheduled(once, 1)
+
+
+@query
+def active_time(spark, sf):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return progress.active_time(load(spark, sf, "events"), "user_id", (at / 1000).cast("bigint"), F.col("event_type") != F.lit("error"), 3_600_000, ("event_id",))
+
+
+@query
+def latest_draft(spark, sf):
+    rows = load(spark, sf, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return exchange.latest(rows, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query
+def trajectory_long(spark, sf):
+    rows = adapters.clip_ratings(spark, sf)
+    return rows.select("task_uuid", "annotator_code", F.posexplode("curve").alias("position", "intensity")).withColumn("position", F.col("position") + 1)
+
+
+@query
+def trajectory_wide(spark, sf):
+    return adapters.clip_ratings(spark, sf).select("task_uuid", "annotator_code", "category", *C.wide_curve(F.col("curve")))
+
+
+_SCALARS = [d for d in DESCRIPTORS if d != "adjacent_differences"]
+
+
+@query
+def descriptors(spark, sf):
+    rows = with_descriptors(adapters.clip_ratings(spark, sf), "curve", "category").select("task_uuid", "annotator_code", *_SCALARS)
+    return _round(rows, "mean_intensity", "mean_absolute_adjacent_change")
+
+
+@query
+def disagreements(spark, sf):
+    rows = agreement.disagreements(adapters.two_and_adjudicator(adapters.clip_ratings(spark, sf)))
+    return rows.select("task_uuid", "needed", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query
+def consensus(spark, sf):
+    rows = agreement.consensus(adapters.two_and_adjudicator(adapters.clip_ratings(spark, sf)))
+    rows = rows.select("task_uuid", "n_ratings", "category", "needed", *C.wide_curve(F.col("curve")), "apex_position", "peak_type", "peak_count", "mean_intensity")
+    return _round(rows, "mean_intensity")
+
+
+@query
+def adjudication_records(spark, sf):
+    agreed = agreement.consensus(adapters.two_and_adjudicator(adapters.clip_ratings(spark, sf)))
+    return agreement.adjudication_records(agreed).select("task_uuid", "reasons", "third_annotator", "third_category", "final_category", "status")
+
+
+@query
+def reliability_pairs(spark, sf):
+    return agreement.reliability_pairs(adapters.frame_ratings(spark, sf))
+
+
+@query
+def primary_duplicates(spark, sf):
+    return agreement.primary_duplicates(adapters.frame_ratings(spark, sf).withColumn("frame", F.lit("any")))
+
+
+@query
+def calibration_report(spark, sf):
+    return _round(agreement.calibration_report(adapters.clip_ratings(spark, sf)), "mean_pairwise_intensity_gap")
+
+
+@query
+def calibration_summary(spark, sf):
+    return _round(agreement.calibration_summary(agreement.calibration_report(adapters.clip_ratings(spark, sf))), "unanimity", "mean_gap")
+
+
+@query
+def merge_check(spark, sf):
+    known = load(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("assignment_uuid"), F.col("o_custkey").alias("task_uuid"), F.col("o_orderstatus").alias("annotator_code"), F.lit("primary").alias("role"))
+    sent = load(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("assignment_uuid"), F.when(F.col("o_orderkey") % 6 == 0, -1).otherwise(F.col("o_custkey")).alias("task_uuid"), F.col("o_orderstatus").alias("annotator_code"), F.lit("primary").alias("role"))
+    return exchange.merge_problems({"assignments": known}, {"assignments": sent})
+
+
+@query
+def upsert(spark, sf):
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    new = orders.where("o_orderkey % 4 = 0").select((F.col("o_orderkey") + 2).alias("o_orderkey"), F.lit(0.0).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))
+    return exchange.upserted(orders, new, ["o_orderkey"])
+
+
+@query
+def constraint_violations(spark, sf):
+    lines, orders = load(spark, sf, "lineitem"), load(spark, sf, "orders").where("o_orderkey % 10 <> 0")
+    out = integrity.unique(lines, "unique", "l_orderkey", "l_linenumber")
+    out = out.unionAll(integrity.references(lines, "reference", "l_linenumber", "l_orderkey", orders, "o_orderkey"))
+    out = out.unionAll(integrity.in_domain(orders, "domain", "o_orderkey", "o_orderstatus", ["O", "F"]))
+    out = out.unionAll(integrity.in_range(lines, "range", "l_orderkey", "l_linenumber", 2, 6))
+    return out.groupBy("check", "subject", "detail").agg(F.count("*").alias("n"))
+
+
+@query
+def rating_errors(spark, sf):
+    rows = adapters.frame_ratings(spark, sf)
+    faulty = F.when(F.col("task_uuid") % 11 == 0, "Boredom").otherwise(F.col("category"))
+    value = F.when(F.col("task_uuid") % 13 == 0, 9).otherwise(F.col("intensity"))
+    return rows.select("task_uuid", C.frame_rating_error(faulty, value).alias("error"))
+
+
+@query
+def clip_rating_errors(spark, sf):
+    rows = adapters.clip_ratings(spark, sf)
+    points = F.when(F.col("task_uuid") % 7 == 0, F.slice("curve", 1, 15)).when(F.col("task_uuid") % 11 == 0, F.concat(F.slice("curve", 1, 15), F.array(F.lit(7.0)))).otherwise(F.col("curve"))
+    return rows.select("task_uuid", "annotator_code", C.clip_rating_error(F.col("category"), points).alias("error"))
+
+
+@query
+def duration_clamp(spark, sf):
+    ms = F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_totalprice") * 1000 - 50_000_000).cast("bigint"))
+    return load(spark, sf, "orders").select("o_orderkey", C.duration(ms).alias("duration_ms"))
+
+
+@query
+def class_count_errors(spark, sf):
+    rows = load(spark, sf, "orders").select(F.col("o_orderpriority").alias("label"))
+    expected = rows.distinct().select("label", F.lit(3000).cast("bigint").alias("expected"))
+    return design.class_count_errors(rows, expected)
+
+
+@query
+def split_first(spark, sf):
+    rows = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("video_name"), F.col("l_linenumber").alias("label"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ordinal"))
+    return files.load_split(rows.groupBy("video_name", "ordinal").agg(F.max("label").alias("label")), "ordinal")
+
+
+@query
+def excluded_duplicates(spark, sf):
+    train = load(spark, sf, "customer").select(F.col("c_custkey").alias("clip_id"))
+    orders = load(spark, sf, "orders")
+    near = orders.select(F.when(F.col("o_orderkey") % 3 == 0, "very_high").when(F.col("o_orderkey") % 3 == 1, "high").otherwise("low").alias("review_tier"), F.when(F.col("o_orderkey") % 7 == 0, "train").otherwise("test").alias("split_1"), F.col("o_custkey").alias("clip_id_1"), F.when(F.col("o_orderkey") % 11 == 0, "train").otherwise("test").alias("split_2"), (F.col("o_custkey") + 1).alias("clip_id_2"))
+    return design.excluded_duplicates(train, near)
+
+
+@query
+def stimulus_audit(spark, sf):
+    clips = load(spark, sf, "orders").select(F.col("o_orderkey").alias("clip_id"))
+    stimulus = load(spark, sf, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("clip_id"))
+    return files.stimulus_audit(stimulus, clips)
+
+
+@query
+def missing_clips(spark, sf):
+    frames = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (F.col("l_partkey") % 16 + 1).alias("frame_index"))
+    wanted = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("clip_id"))
+    return integrity.missing_clips(wanted, frames.where("clip_id % 3 > 0 OR frame_index < 9"))
