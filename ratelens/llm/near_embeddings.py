@@ -33,7 +33,8 @@ COUNT_BLOCK = 2048
 #: Nodes that the audit compares with all others, the recall it asks for, and searches at most.
 AUDITED, RECALL, SEARCHES = 256, 0.995, 4
 
-NODES = "node long, grp long, mult long, vec binary"
+#: grp: label and length, within which vectors are compared.
+NODES = "node long, grp string, mult long, vec binary"
 
 
 def unit(blobs: list[bytes]) -> np.ndarray:
@@ -102,7 +103,7 @@ def seeds(nodes: DataFrame, bits: int, first: int) -> DataFrame:
             if len(cols[4]) > 1:
                 yield _edges(_best(np.array(cols[4]), unit(cols[5]), FOLLOWED, NEIGHBOURS))
 
-    rows = nodes.mapInArrow(projected, "t long, grp long, code long, at double, node long, vec binary")
+    rows = nodes.mapInArrow(projected, "t long, grp string, code long, at double, node long, vec binary")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # by range, so that a code of very many rows is cut at places in its own order
     return rows.repartitionByRange(n, "t", "grp", "code", "at").sortWithinPartitions("t", "grp", "code", "at", "node").mapInArrow(compared, "u long, v long, cos double")
@@ -164,16 +165,15 @@ def audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
     shared = nodes.sparkSession.sparkContext.broadcast([(r.node, r.grp, bytes(r.vec)) for r in few])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[tuple, list] = {}
+        asked: dict[str, list] = {}
         for node, grp, vec in shared.value:
-            asked.setdefault((grp, len(vec)), []).append((node, vec))
+            asked.setdefault(grp, []).append((node, vec))
         ready = {k: (np.array([n for n, _ in v]), unit([b for _, b in v])) for k, v in asked.items()}
         for batch in batches:
-            grp, mult = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            grp, mult = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             node, blobs = batch.column(0).to_numpy(), batch.column(3).to_pylist()
-            size = np.array([len(b) for b in blobs])
-            for (g, s), (names, x) in ready.items():
-                at = np.flatnonzero((grp == g) & (size == s))
+            for g, (names, x) in ready.items():
+                at = np.flatnonzero(grp == g)
                 if len(at):
                     near = (x @ unit([blobs[i] for i in at]).T >= threshold) & (names[:, None] != node[at][None])
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array((near @ mult[at]).astype(np.int64))], names=["node", "n"])
@@ -194,7 +194,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists("v", lambda x: x != 0)
     good = raw.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
     classes = written(good.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")))
-    nodes = written(classes.select("node", F.col("label").alias("grp"), "mult", "v").mapInArrow(_packed, NODES))
+    nodes = written(classes.select("node", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("grp"), "mult", "v").mapInArrow(_packed, NODES))
     total = nodes.count()
     bits = max(0, math.ceil(math.log2(max(1, total) / (8 * SEED_BLOCK))))
     graph, linked, parts = None, None, None
