@@ -86,5 +86,19 @@ FROM r GROUP BY conv_id
 """
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_distinct(embedding)) > 0 AND list_sum(CAST(embedding AS DOUBLE[])) - list_sum(CAST(embedding AS DOUBLE[])) = 0
+    AND (list_max(embedding) > 0 OR list_min(embedding) < 0) AND list_count(embedding) = len(embedding)),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": OP7_SQL}
+    return {"op3_near_embeddings": OP3_SQL, "op7_chat_formatting": OP7_SQL}
