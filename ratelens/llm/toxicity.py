@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import text_column, text_groups
+from .common import slices, text_column, text_groups
 
 #: Labelled training documents of each class that the model is fitted on (those with the smallest hash of the id).
 SAMPLE = 1500
@@ -143,15 +143,35 @@ def heads_of(owner: np.ndarray, place: np.ndarray, words: list[str]) -> np.ndarr
     return np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | ending))
 
 
-def tagging_features(word_sets: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Features that mark toxic documents, by a likelihood-ratio test on document counts."""
+def gathered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words, which stands at each token, and the text of each token, of texts taken a few at a time."""
+    index: dict[str, int] = {}
+    places, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for a, b in slices(np.array([len(t) for t in texts], np.int64)):
+        words, place, owner, _, _ = tokens(texts[a:b])
+        number = np.array([index.setdefault(w, len(index)) for w in words], np.int32)
+        places.append(number[place])
+        owners.append((owner + a).astype(np.int32))
+    return list(index), np.concatenate(places), np.concatenate(owners)
+
+
+def tagging_features(words: list[str], place: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> set[str]:
+    """Features of toxic documents that mark them, by a likelihood-ratio test on document counts."""
+    pairs = np.unique(owner.astype(np.int64) * len(words) + place)
+    texts, own = pairs // max(1, len(words)), pairs % max(1, len(words))
+    cuts = np.flatnonzero(np.append(True, texts[1:] != texts[:-1])) if len(texts) else np.zeros(0, np.int64)
+    runs = [(bool(toxic[texts[a]]), a, b) for a, b in zip(cuts, np.append(cuts[1:], len(texts)))]
     bad, good = Counter(), Counter()
-    for words, t in zip(word_sets, toxic):
-        (bad if t else good).update({f for w in words for f in features(w)})
+    for t, a, b in runs:
+        if t:
+            bad.update({f for w in own[a:b].tolist() for f in features(words[w])})
+    for t, a, b in runs:
+        if not t:
+            good.update({f for w in own[a:b].tolist() for f in features(words[w]) if f in bad})
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return set()
-    need = 2 * np.log(max(2, len(bad | good))) + EVIDENCE
+    need = 2 * np.log(max(2, len(bad))) + EVIDENCE
     out = set()
     for f, a in bad.items():
         b = good.get(f, 0)
@@ -184,11 +204,8 @@ def fitted(texts: list[str], toxic: np.ndarray, totals: tuple[int, int]) -> Fiel
     """
     once = dict(zip(texts, toxic.tolist()))
     texts, toxic = list(once), np.array(list(once.values()), bool)
-    words, place, owner, _, _ = tokens(texts)
-    by_text: list[set[str]] = [set() for _ in texts]
-    for o, w in set(zip(owner.tolist(), place.tolist())):
-        by_text[o].add(words[w])
-    marks = tagging_features(by_text, toxic)
+    words, place, owner = gathered(texts)
+    marks = tagging_features(words, place, owner, toxic)
     word_marks = [[f for f in features(w) if f in marks] for w in words]
     tagged_word = np.array([bool(m) for m in word_marks], bool)
     tag = (tagged_word[place] & toxic[owner]).astype(np.float64) if len(place) else np.zeros(0)
