@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -154,8 +153,3 @@ def public_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def scratch_free(path: str) -> bool:
-    """Whether a path is no local file any more (used by tests)."""
-    return not os.path.exists(path.removeprefix("file://"))
