@@ -26,7 +26,7 @@ MARK = "▁"
 #: Different units that a worker remembers before it starts afresh, and pairs of pieces.
 REMEMBERED, PAIRS = 400_000, 3_000_000
 #: Characters of new units that are indexed at once.
-INDEXED = 1 << 20
+INDEXED = 1 << 18
 
 
 class PieceModel:
