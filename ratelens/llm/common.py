@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,11 +88,12 @@ def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_groups(batch: pa.RecordBatch, name: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a record batch of about CHUNK_BYTES of text each."""
+    """Parts of a record batch of about CHUNK_BYTES of text each; at the end, unused memory goes back to the system."""
     column = batch.column(batch.schema.get_field_index(name))
-    sizes = np.diff(raw_texts(column)[1]) if len(column) else np.zeros(0, np.int64)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     for a, b in slices(sizes):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ PLAIN_STEP = 64
 #: Tokens of the stream that are planned at once; the last windows of a plan are planned again with what follows.
 HORIZON = 1 << 18
 #: Different pre-tokens whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class ByteVocabulary:
@@ -50,15 +50,16 @@ class ByteVocabulary:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.specials}
         self.core = tiktoken.Encoding("ranks", pat_str=r"\\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
-    def word_ids(self, words: list[str]) -> list[np.ndarray]:
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as 32-bit numbers."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         for w in words:
             if w not in known:
-                known[w] = np.array(self.core.encode_single_piece(w.encode()), np.uint32)
+                known[w] = np.array(self.core.encode_single_piece(w.encode()), np.uint32).tobytes()
         return [known[w] for w in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,12 +75,12 @@ class ByteVocabulary:
             at = np.searchsorted(part, [i for i, _ in special], side="right")
             place = np.insert(place, at, len(table) + np.arange(len(special)))
             part = np.insert(part, at, [i for i, _ in special])
-            table += [np.array([x], np.uint32) for _, x in special]
+            table += [np.array([x], np.uint32).tobytes() for _, x in special]
             closing = np.append(closing, np.zeros(len(special), bool))
         if not len(place):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64), np.zeros(0, bool)
-        size = np.array([len(x) for x in table], np.int64)
-        flat, first = np.concatenate(table), np.cumsum(size) - size
+        size = np.array([len(x) // 4 for x in table], np.int64)
+        flat, first = np.frombuffer(b"".join(table), np.uint32), np.cumsum(size) - size
         each = size[place]
         end = np.cumsum(each)
         ids = flat[np.repeat(first[place] - (end - each), each) + np.arange(end[-1])]

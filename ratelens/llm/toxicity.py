@@ -300,10 +300,8 @@ def with_scores(docs: DataFrame, field: Field, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
-            filled = pa.array([t or "" for t in batch.column(at).to_pylist()], pa.string())
-            numbered = pa.RecordBatch.from_arrays([filled, pa.array(np.arange(len(filled)))], names=["text", "row"])
-            for part in text_groups(numbered):
-                texts = part.column(0).to_pylist()
+            for part in text_groups(batch, text_col):
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 words, place, owner, starts, ends = tokens(texts)
                 marginal = field.marginals(field.word_scores(words)[place], heads_of(owner, place, words)) if len(place) else np.zeros(0)
                 score = sigmoid(document_inputs(marginal, owner, len(texts)) @ field.document)
@@ -314,8 +312,7 @@ def with_scores(docs: DataFrame, field: Field, text_col: str = "text") -> DataFr
                         own[-1]["stop"] = int(ends[i])
                     else:
                         own.append({"start": begin, "stop": int(ends[i])})
-                rows = batch.slice(int(part.column(1)[0].as_py()), len(texts))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score), pa.array(spans, span)], names=[*batch.schema.names, "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(spans, span)], names=[*batch.schema.names, "score", "spans"])
 
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), SCORED]))
 
