@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by NN-descent.
 
 Equal vectors of a label are one node. Seeds of the neighbour graph come from sorted random projections; rounds of
-NN-descent then join, at each node, its neighbours with one another and keep the best of each. A list that is full of
-links is saturated: it may grow twofold in each round, and at last to the whole component, whose links are all counted
-exactly, block by block. An audit compares a fixed number of nodes with all others by brute force; below the wanted
+NN-descent then join, at each node, its neighbours with one another and keep the best of each. The
+lists only steer the search: every link among the vectors that a block or a node brings together goes, as a forest, to
+the components, whatever its rank. A list that is full of links is saturated: it may grow twofold in each round, and at
+last to the whole component, whose links are all counted exactly, block by block. An audit compares a fixed number of nodes with all others by brute force; below the wanted
 recall, the search goes on from more projections. Pairs below the threshold are never links.
 """
 
@@ -35,6 +36,8 @@ AUDITED, RECALL, SEARCHES = 256, 0.995, 4
 
 #: grp: label and length, within which vectors are compared.
 NODES = "node long, grp string, mult long, vec binary"
+#: cos: null where the pair was not measured; link: whether links connect the two.
+EDGES = "u long, v long, cos double, link boolean"
 
 
 def unit(blobs: list[bytes]) -> np.ndarray:
@@ -77,12 +80,34 @@ def _best(nodes: np.ndarray, x: np.ndarray, least: float, most: int) -> tuple[li
     return nodes[r].tolist(), nodes[near[r, c]].tolist(), value[r, c].tolist()
 
 
-def _edges(found: tuple[list, list, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["u", "v", "cos"])
+def _joined(near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its part) that connect the nodes of rows and columns as the true cells do."""
+    free, ids, roots = near.any(axis=1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while free.any():
+        at, left, right = np.array([np.argmax(free)]), [], np.zeros(len(cols), bool)
+        while len(at):
+            free[at] = False
+            left.append(rows[at])
+            hit = near[at].any(axis=0) & ~right
+            right |= hit
+            at = np.flatnonzero(free & near[:, hit].any(axis=1))
+        own = np.unique(np.concatenate([*left, cols[right]]))
+        ids.append(own[1:])
+        roots.append(np.full(len(own) - 1, own[0]))
+    return np.concatenate(ids), np.concatenate(roots)
 
 
-def seeds(nodes: DataFrame, bits: int, first: int) -> DataFrame:
-    """Rows (u, v, cos) of near pairs among rows that lie close in the order of some projection."""
+def _edges(nodes: np.ndarray, x: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Rows (u, v, cos, link): the best pairs of few vectors, which steer the search, and a forest of all their links (cos null)."""
+    u, v, cos = _best(nodes, x, FOLLOWED, NEIGHBOURS)
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    a, b = _joined(near, nodes, nodes)
+    return pa.RecordBatch.from_arrays([pa.array(u + a.tolist(), pa.int64()), pa.array(v + b.tolist(), pa.int64()), pa.array(cos + [None] * len(a), pa.float64()), pa.array([False] * len(u) + [True] * len(a))], names=["u", "v", "cos", "link"])
+
+
+def seeds(nodes: DataFrame, threshold: float, bits: int, first: int) -> DataFrame:
+    """Rows (u, v, cos, link) of near pairs among rows that lie close in the order of some projection."""
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,25 +126,27 @@ def seeds(nodes: DataFrame, bits: int, first: int) -> DataFrame:
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cols in _groups(batches, 3, SEED_BLOCK):
             if len(cols[4]) > 1:
-                yield _edges(_best(np.array(cols[4]), unit(cols[5]), FOLLOWED, NEIGHBOURS))
+                yield _edges(np.array(cols[4]), unit(cols[5]), threshold)
 
     rows = nodes.mapInArrow(projected, "t long, grp string, code long, at double, node long, vec binary")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # by range, so that a code of very many rows is cut at places in its own order
-    return rows.repartitionByRange(n, "t", "grp", "code", "at").sortWithinPartitions("t", "grp", "code", "at", "node").mapInArrow(compared, "u long, v long, cos double")
+    return rows.repartitionByRange(n, "t", "grp", "code", "at").sortWithinPartitions("t", "grp", "code", "at", "node").mapInArrow(compared, EDGES)
 
 
 def best_lists(edges: DataFrame, threshold: float, size: int, grown: int) -> DataFrame:
-    """The size best neighbours of each node, or up to grown where the first size are all links."""
-    pairs = edges.groupBy("u", "v").agg(F.max("cos").alias("cos"))
+    """The size best neighbours of each node, or up to grown where the first size are all links; edges marked as links all stay."""
+    pairs = edges.groupBy("u", "v").agg(F.max("cos").alias("cos"), F.max("link").alias("link"))
     by = Window.partitionBy("u").orderBy(F.desc("cos"), "v")
-    ranked = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= grown)
-    return ranked.where((F.col("rank") <= size) | (F.col("cos") >= threshold)).drop("rank")
+    ranked = pairs.withColumn("rank", F.row_number().over(by))  # pairs without a cosine come last
+    listed = F.col("cos").isNotNull() & (F.col("rank") <= grown) & ((F.col("rank") <= size) | (F.col("cos") >= threshold))
+    return ranked.where(listed | F.col("link")).drop("rank")
 
 
 def descended(graph: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
     """The graph after one round: the neighbours of each node, both ways, are compared with one another."""
-    both = graph.select(F.col("u").alias("m"), F.col("v").alias("nb"), "cos").unionByName(graph.select(F.col("v").alias("m"), F.col("u").alias("nb"), "cos")).groupBy("m", "nb").agg(F.max("cos").alias("cos"))
+    steering = graph.where(F.col("cos").isNotNull())
+    both = steering.select(F.col("u").alias("m"), F.col("v").alias("nb"), "cos").unionByName(steering.select(F.col("v").alias("m"), F.col("u").alias("nb"), "cos")).groupBy("m", "nb").agg(F.max("cos").alias("cos"))
     by = Window.partitionBy("m").orderBy(F.desc("cos"), "nb")
     around = both.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= 2 * size).select("m", "nb")
     around = around.join(nodes.select(F.col("node").alias("nb"), "vec"), "nb").select("m", "nb", "vec")
@@ -127,9 +154,9 @@ def descended(graph: DataFrame, nodes: DataFrame, threshold: float, size: int) -
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cols in _groups(batches, 1, 4 * size):
             if len(cols[1]) > 1:
-                yield _edges(_best(np.array(cols[1]), unit(cols[2]), FOLLOWED, NEIGHBOURS))
+                yield _edges(np.array(cols[1]), unit(cols[2]), threshold)
 
-    new = spread(around, "m").sortWithinPartitions("m").mapInArrow(joined, "u long, v long, cos double")
+    new = spread(around, "m").sortWithinPartitions("m").mapInArrow(joined, EDGES)
     return best_lists(graph.unionByName(new), threshold, NEIGHBOURS, size)
 
 
@@ -199,11 +226,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     bits = max(0, math.ceil(math.log2(max(1, total) / (8 * SEED_BLOCK))))
     graph, linked, parts = None, None, None
     for search in range(SEARCHES):
-        own = seeds(nodes, bits, search * TABLES)
+        own = seeds(nodes, threshold, bits, search * TABLES)
         graph = written(best_lists(own if graph is None else graph.unionByName(own), threshold, NEIGHBOURS, NEIGHBOURS))
         for r in range(1, ROUNDS + 1):
             graph = written(descended(graph, nodes, threshold, NEIGHBOURS << r))
-        parts = written(components(graph.where(F.col("cos") >= threshold), "u", "v"))
+        parts = written(components(graph.where(F.col("link") | (F.col("cos") >= threshold)), "u", "v"))
         members = parts.join(nodes, "node").select("component", "node", "mult", "vec")
         linked = written(counted(members, threshold))
         if audit(nodes, linked, threshold) >= RECALL:

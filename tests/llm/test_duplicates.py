@@ -153,3 +153,15 @@ def test_embeddings(spark, block, monkeypatch):
         assert got[i].n_links == sum(a == i for a, _ in every), i
         assert got[i].component_id == label[i] and got[i].kept == (label[i] == i)
     assert near_embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_links_between_dense_groups_are_kept(spark):
+    rng = np.random.default_rng(11)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    other = 0.945 * a + np.sqrt(1 - 0.945**2) * b
+    rows = [(i, ((a if i < 300 else other) + rng.standard_normal(32) * 0.01).tolist(), 0) for i in range(600)]
+    links = plain_links(rows)
+    found = {r.vec_id: r for r in near_embeddings.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert any(i < 300 <= j for i, j in links)
+    label = [0] * 600  # one part: the dense groups are linked inside and across
+    assert [(found[i].n_links, found[i].component_id) for i in range(600)] == [(sum(x == i for x, _ in links), label[i]) for i in range(600)]
