@@ -4,8 +4,10 @@ Equal vectors of a label are one node. Seeds of the neighbour graph come from so
 NN-descent then join, at each node, its neighbours with one another and keep the best of each. The
 lists only steer the search: every link among the vectors that a block or a node brings together goes, as a forest, to
 the components, whatever its rank. A list that is full of links is saturated: it may grow twofold in each round, and at
-last to the whole component, whose links are all counted exactly, block by block. An audit compares a fixed number of nodes with all others by brute force; below the wanted
-recall, the search goes on from more projections. Pairs below the threshold are never links.
+last to the whole component, whose links are all counted exactly, block by block. Only groups of more than WHOLE nodes are searched; smaller ones are compared completely.
+An audit of each searched group compares nodes of it with all others by brute force: mean recall per node, apart for
+nodes of few and of many links. Below the wanted recall, the group is searched from more projections, and at last
+compared completely. Pairs below the threshold are never links.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ SEED_BLOCK = 512
 FOLLOWED = 0.5
 #: Nodes of one block of a component when links are counted.
 COUNT_BLOCK = 2048
-#: Nodes that the audit compares with all others, the recall it asks for, and searches at most.
-AUDITED, RECALL, SEARCHES = 256, 0.995, 4
+#: Groups (label and length) of up to so many nodes are compared completely instead of searched.
+WHOLE = 8192
+#: For each group and class of found links (none, up to FEW, more), nodes that the audit compares with the whole group;
+#: the recall it asks for, and searches before a group that falls short is compared completely.
+AUDITED, FEW, RECALL, SEARCHES = 512, 8, 0.995, 4
 
 #: grp: label and length, within which vectors are compared.
 NODES = "node long, grp string, mult long, vec binary"
@@ -103,18 +108,22 @@ def _edges(nodes: np.ndarray, x: np.ndarray, threshold: float) -> pa.RecordBatch
     near = x @ x.T >= threshold
     np.fill_diagonal(near, False)
     a, b = _joined(near, nodes, nodes)
-    return pa.RecordBatch.from_arrays([pa.array(u + a.tolist(), pa.int64()), pa.array(v + b.tolist(), pa.int64()), pa.array(cos + [None] * len(a), pa.float64()), pa.array([False] * len(u) + [True] * len(a))], names=["u", "v", "cos", "link"])
+    return pa.RecordBatch.from_arrays([pa.array(u + a.tolist(), pa.int64()), pa.array(v + b.tolist(), pa.int64()), pa.array(cos + [None] * len(a), pa.float64()), pa.array([False] * len(u) + [True] * len(a), pa.bool_())], names=["u", "v", "cos", "link"])
 
 
-def seeds(nodes: DataFrame, threshold: float, bits: int, first: int) -> DataFrame:
-    """Rows (u, v, cos, link) of near pairs among rows that lie close in the order of some projection."""
+def seeds(nodes: DataFrame, threshold: float, first: int) -> DataFrame:
+    """Rows (u, v, cos, link) of near pairs among rows that lie close in the order of some projection.
+
+    nodes have n, the number of nodes of their group, by which the group is cut.
+    """
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column(3).to_pylist()
-            size = np.array([len(b) // 8 for b in blobs])
-            for dim in np.unique(size).tolist():
-                at = np.flatnonzero(size == dim)
+            size = np.array([len(b) // 8 for b in blobs], np.int64)
+            cut = np.array([max(0, math.ceil(math.log2(n / (8 * SEED_BLOCK)))) for n in batch.column(4).to_pylist()], np.int64)
+            for dim, bits in sorted(set(zip(size.tolist(), cut.tolist()))):
+                at = np.flatnonzero((size == dim) & (cut == bits))
                 x = unit([blobs[i] for i in at])
                 rows = batch.take(pa.array(at))
                 for t in range(first, first + TABLES):
@@ -160,16 +169,36 @@ def descended(graph: DataFrame, nodes: DataFrame, threshold: float, size: int) -
     return best_lists(graph.unionByName(new), threshold, NEIGHBOURS, size)
 
 
+def in_blocks(members: DataFrame, key: str) -> DataFrame:
+    """Rows (key, i, j, own, node, mult, vec): each pair of blocks of the nodes of a key in one place, sorted by block."""
+    sizes = members.groupBy(key).agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = members.select(key, "node", "mult", "vec").join(sizes, key).select(key, own.alias("own"), F.explode(meet).alias("w"), "node", "mult", "vec")
+    return spread(dealt.select(key, "w.i", "w.j", "own", "node", "mult", "vec"), key, "i", "j").sortWithinPartitions(key, "i", "j", "own")
+
+
+def linked_whole(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) that connect all that the links of each group connect, by all pairs in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), cols in _groups(batches, 3, 1 << 62):
+            own, node, x = np.array(cols[3]), np.array(cols[4]), unit(cols[6])
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            near = (x[left] @ x[right].T) >= threshold
+            if i == j:
+                np.fill_diagonal(near, False)
+            u, v = _joined(near, node[left], node[right])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return in_blocks(nodes, "grp").mapInArrow(run, "u long, v long")
+
+
 def counted(members: DataFrame, threshold: float) -> DataFrame:
     """Rows (node, linked): how many vectors of other nodes each node of a component links with, by all pairs in blocks.
 
     members: rows (component, node, mult, vec).
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = members.join(sizes, "component").select("component", own.alias("own"), F.explode(meet).alias("w"), "node", "mult", "vec")
-    dealt = spread(dealt.select("component", "w.i", "w.j", "own", "node", "mult", "vec"), "component", "i", "j").sortWithinPartitions("component", "i", "j", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), cols in _groups(batches, 3, 1 << 62):
@@ -183,31 +212,35 @@ def counted(members: DataFrame, threshold: float) -> DataFrame:
                 found, at = np.concatenate([near @ mult[right], near.T @ mult[left]]), np.concatenate([left, right])
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(found.astype(np.int64))], names=["node", "linked"])
 
-    return dealt.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    return in_blocks(members, "component").mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
-    """The share of the links of AUDITED nodes (a fixed number, by hash) that have been found; 1 if they have none."""
-    few = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).collect()
-    shared = nodes.sparkSession.sparkContext.broadcast([(r.node, r.grp, bytes(r.vec)) for r in few])
+def short(nodes: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
+    """Rows (grp) of the groups whose nodes of few or of many links have, by estimate, a mean recall below RECALL.
+
+    nodes have n, the number of nodes of their group. Nodes are asked by hash, AUDITED of each class of found links,
+    and count by the size of their class; nodes without true links don't count.
+    """
+    found = F.coalesce("linked", F.lit(0))
+    got = written(nodes.join(linked, "node", "left").select("node", "grp", "mult", "vec", "n", found.alias("found"), F.when(found == 0, 0).when(found <= FEW, 1).otherwise(2).alias("class")))
+    by = Window.partitionBy("grp", "class").orderBy(F.xxhash64("node"), "node")
+    asked = written(got.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= AUDITED).drop("rank"))
+    blocks = F.ceil(F.col("n") / COUNT_BLOCK).cast("int")
+    every = asked.select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"), F.lit(True).alias("asks"), "node", "mult", "vec")
+    others = got.select("grp", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("b"), F.lit(False).alias("asks"), "node", "mult", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[str, list] = {}
-        for node, grp, vec in shared.value:
-            asked.setdefault(grp, []).append((node, vec))
-        ready = {k: (np.array([n for n, _ in v]), unit([b for _, b in v])) for k, v in asked.items()}
-        for batch in batches:
-            grp, mult = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
-            node, blobs = batch.column(0).to_numpy(), batch.column(3).to_pylist()
-            for g, (names, x) in ready.items():
-                at = np.flatnonzero(grp == g)
-                if len(at):
-                    near = (x @ unit([blobs[i] for i in at]).T >= threshold) & (names[:, None] != node[at][None])
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array((near @ mult[at]).astype(np.int64))], names=["node", "n"])
+        for _, cols in _groups(batches, 2, 1 << 62):
+            asks, node, mult, x = np.array(cols[2]), np.array(cols[3]), np.array(cols[4], np.int64), unit(cols[5])
+            near = (x[asks] @ x[~asks].T >= threshold) & (node[asks][:, None] != node[~asks][None])
+            yield pa.RecordBatch.from_arrays([pa.array(node[asks]), pa.array((near @ mult[~asks]).astype(np.int64))], names=["node", "actual"])
 
-    true = nodes.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    got = true.join(linked, "node", "left").agg(F.sum("n").alias("n"), F.sum(F.coalesce("linked", F.lit(0))).alias("found")).first()
-    return got.found / got.n if got.n else 1.0
+    true = spread(every.unionByName(others), "grp", "b").sortWithinPartitions("grp", "b").mapInArrow(run, "node long, actual long").groupBy("node").agg(F.sum("actual").alias("actual"))
+    weights = got.groupBy("grp", "class").agg(F.count("*").alias("all"))
+    weights = weights.withColumn("weight", F.col("all") / F.least("all", F.lit(AUDITED)))
+    rated = asked.select("node", "grp", "class", "found").join(true.where(F.col("actual") > 0), "node").join(weights, ["grp", "class"])
+    recall = rated.groupBy("grp", (F.col("actual") <= FEW).alias("few")).agg((F.sum(F.col("weight") * F.col("found") / F.col("actual")) / F.sum("weight")).alias("recall"))
+    return recall.where(F.col("recall") < RECALL).select("grp").distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -222,19 +255,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     good = raw.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
     classes = written(good.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")))
     nodes = written(classes.select("node", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("grp"), "mult", "v").mapInArrow(_packed, NODES))
-    total = nodes.count()
-    bits = max(0, math.ceil(math.log2(max(1, total) / (8 * SEED_BLOCK))))
-    graph, linked, parts = None, None, None
+    # a row for each WHOLE nodes at most
+    left = written(nodes.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE))
+    links = written(linked_whole(nodes.join(F.broadcast(left), "grp", "left_anti"), threshold))
+    graph = None
     for search in range(SEARCHES):
-        own = seeds(nodes, threshold, bits, search * TABLES)
-        graph = written(best_lists(own if graph is None else graph.unionByName(own), threshold, NEIGHBOURS, NEIGHBOURS))
-        for r in range(1, ROUNDS + 1):
-            graph = written(descended(graph, nodes, threshold, NEIGHBOURS << r))
-        parts = written(components(graph.where(F.col("link") | (F.col("cos") >= threshold)), "u", "v"))
-        members = parts.join(nodes, "node").select("component", "node", "mult", "vec")
-        linked = written(counted(members, threshold))
-        if audit(nodes, linked, threshold) >= RECALL:
+        if left.isEmpty():
             break
+        own = written(nodes.join(F.broadcast(left), "grp").select("node", "grp", "mult", "vec", "n"))
+        new = seeds(own, threshold, search * TABLES)
+        graph = written(best_lists(new if graph is None else graph.unionByName(new), threshold, NEIGHBOURS, NEIGHBOURS))
+        for r in range(1, ROUNDS + 1):
+            graph = written(descended(graph, own, threshold, NEIGHBOURS << r))
+        links = links.unionByName(graph.where(F.col("link") | (F.col("cos") >= threshold)).select("u", "v"))
+        parts = components(links, "u", "v")
+        linked = written(counted(parts.join(own, "node").select("component", "node", "mult", "vec"), threshold))
+        left = written(left.join(short(own, linked, threshold), "grp", "left_semi"))
+    if not left.isEmpty():
+        links = links.unionByName(linked_whole(nodes.join(F.broadcast(left), "grp", "left_semi"), threshold))
+    parts = written(components(links, "u", "v"))
+    linked = written(counted(parts.join(nodes, "node").select("component", "node", "mult", "vec"), threshold))
     found = classes.join(linked, "node", "left").join(parts, "node", "left")
     found = found.select("label", "v", (F.col("mult") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("c"))
     out = raw.join(found, ["label", "v"], "left")

@@ -155,7 +155,8 @@ def test_embeddings(spark, block, monkeypatch):
     assert near_embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_links_between_dense_groups_are_kept(spark):
+def test_links_between_dense_groups_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(near_embeddings, "WHOLE", 0)
     rng = np.random.default_rng(11)
     a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
     other = 0.945 * a + np.sqrt(1 - 0.945**2) * b
@@ -165,3 +166,20 @@ def test_links_between_dense_groups_are_kept(spark):
     assert any(i < 300 <= j for i, j in links)
     label = [0] * 600  # one part: the dense groups are linked inside and across
     assert [(found[i].n_links, found[i].component_id) for i in range(600)] == [(sum(x == i for x, _ in links), label[i]) for i in range(600)]
+
+
+@pytest.mark.parametrize("whole", [0, 8192])
+def test_pairs_beside_a_hot_group_are_found(spark, whole, monkeypatch):
+    monkeypatch.setattr(near_embeddings, "WHOLE", whole, raising=False)
+    monkeypatch.setattr(near_embeddings, "SEED_BLOCK", 16)
+    monkeypatch.setattr(near_embeddings, "SEARCHES", 1)
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hot = unit(rng.standard_normal(64)) + rng.standard_normal((400, 64)) * 0.005
+    first = unit(rng.standard_normal((800, 64)))
+    side = unit(rng.standard_normal((800, 64)))
+    side = unit(side - (side * first).sum(axis=1, keepdims=True) * first)
+    pairs = np.stack([first, 0.932 * first + np.sqrt(1 - 0.932**2) * side], axis=1).reshape(1600, 64)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate([*hot, *pairs])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_embeddings.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert got == {i: (399, 0) if i < 400 else (1, i - i % 2) for i in range(2000)}
