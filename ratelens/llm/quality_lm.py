@@ -1,232 +1,429 @@
-"""Quality by perplexity: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
-
-Characters fall into 64 classes, and the model has order 4, so it has at most 64^4 + 64^3 + 64^2 + 64 entries however
-large the corpus is; that bound lets the finished model be broadcast. All counts cover all trusted documents and are
-made in shards: each task counts its texts, the counts meet by n-gram, continuation counts by their endings, context
-totals by their contexts, and each order's probabilities are joined to the order below (Chen and Goodman, 1998).
-A document's score is its mean negative log-probability per character, drawn towards its language's mean by PRIOR
-characters, so that short texts need stronger evidence. The threshold is a quantile, by language, of the scores of
-trusted documents that the counts have not seen.
+"""Quality by perplexity: an interpolated modified Kneser-Ney bigram model of words, trained on trusted text.
+
+Words are runs of letters and digits or of marks, with no fixed alphabet or vocabulary, so the model grows with the
+trusted text. All its counts cover all trusted documents and meet in shards: word pairs by their context, continuation
+counts by their word (Chen and Goodman, 1998). Pairs seen less than LEAST times count in every total, but have no entry of
+their own: their mass goes to the lower order.
+
+With g(v) the weight that context v leaves to the lower order, the log-probability of a text is a plain sum over its
+words and pairs, each looked up alone:
+
+    log p(w|v) = log p0 + [log p1(w) - log p0] + log g(v) + [log p2(w|v) - log g(v) - log p1(w)]
+
+where an entry that the model lacks adds 0 (p0: an unknown word). So a document's perplexity is a count join: the different
+words and pairs of a chunk of documents go to the shards of the model, and the sums come back. Documents are handled in
+WAVES, by a hash of the text, which bounds the disk that the words and pairs take while they move.
+
+A document's score is its loss per word, drawn towards its language's mean by PRIOR words, so that short texts need
+stronger evidence. Its density is the score (the mean at least, as known text is not held against a document) times the
+share of its word pairs that are no repeats within the document. The score may reach an upper quantile, and the density must reach a lower one, by language, of trusted documents that the
+counts have not seen: strange text fails the first, text that says one thing over and over the second.
 """
 
 from __future__ import annotations
 
-import functools
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import pretokens
-from .common import freed, text_column, text_groups, written
+from .common import dropped, fresh, raw_texts, run_hashes, slices, spread, text_column, text_groups, text_key, written
 
-ORDER, BITS = 4, 6
-#: Characters of evidence that a language's mean stands for.
-PRIOR = 50
-#: Share of trusted documents (of 100, by the checksum of the id) that set thresholds instead of counting.
+#: Least count of a word pair with an entry of its own.
+LEAST = 2
+#: Words of evidence that a language's mean stands for, and those that the mean of all languages adds to a language's own.
+PRIOR, PRIOR_MEAN = 50, 2000
+#: Share of trusted texts (of 100, by their hash) that set thresholds instead of counting.
 HELD_OUT = 20
-#: Quantile of the held-out trusted scores that a document may reach, and a margin (nats per character) on top.
-QUANTILE, MARGIN = 0.995, 0.05
-#: Languages with a threshold of their own, by number of held-out documents; the rest share one over all languages.
-LANGUAGES, LEAST_DOCS = 1000, 20
-#: Classes of the model's alphabet.
-PAD, END, NEWLINE, BLANK, DIGIT, LOWER, UPPER, ACCENTED, MARKS = 0, 1, 2, 3, 4, 5, 31, 32, 46
-OWN_MARKS = ".,!?'\"-:;|#$%&*"
-OTHER_MARK, OTHER = 61, 62
-
-
-@functools.cache
-def alphabet() -> np.ndarray:
-    """The class of each code point."""
-    out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))
-        if kind == "Lu":
-            out[c] = UPPER
-        elif kind[0] == "L":
-            out[c] = ACCENTED + c % 14
-        elif kind[0] == "N":
-            out[c] = DIGIT
-        elif kind[0] == "Z" or c < 32:
-            out[c] = BLANK
-    out[33:127][[not chr(c).isalnum() for c in range(33, 127)]] = OTHER_MARK
-    out[97:123] = LOWER + np.arange(26)
-    for i, c in enumerate(OWN_MARKS):
-        out[ord(c)] = MARKS + i
-    out[10] = NEWLINE
-    return out
-
-
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram keys of each text's characters and end mark, and the offsets of the texts in them."""
-    points, bounds = pretokens.codes(texts)
-    n = len(texts)
-    sizes = np.diff(bounds)
-    wide = sizes + ORDER  # ORDER - 1 pads before, one end mark behind
-    offsets = np.concatenate([[0], np.cumsum(wide)])
-    flat = np.zeros(int(offsets[-1]), np.uint32)
-    at = np.arange(len(points)) + np.repeat(offsets[:-1] + ORDER - 1 - bounds[:-1], sizes)
-    flat[at] = alphabet()[points]
-    flat[offsets[1:] - 1] = END
-    key = np.zeros(max(0, len(flat) - ORDER + 1), np.uint32)
-    for i in range(ORDER):
-        key = (key << BITS) | flat[i : i + len(key)]
-    inside = np.ones(len(key), bool)
-    for i in range(ORDER - 1):  # keys that would reach over a text's end
-        over = offsets[1:-1] - 1 - i
-        inside[over[(over >= 0) & (over < len(key))]] = False
-    return key[inside], np.concatenate([[0], np.cumsum(sizes + 1)])[: n + 1]
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << (BITS * ORDER), np.uint32)
-    for batch in batches:
-        for part in text_groups(batch):
-            key, _ = symbols(part.column(part.schema.get_field_index("text")).to_pylist())
-            own, n = np.unique(key, return_counts=True)
-            total[own] += n.astype(np.uint32)
-    own = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own].astype(np.int64))], names=["key", "n"])
-
+#: Quantile of the held-out trusted scores and of their densities (from below), a margin (nats per word) above the first,
+#: and the share of the second that is enough: long documents repeat pairs too, empty repetition lies far lower.
+QUANTILE, MARGIN, ENOUGH = 0.995, 0.05, 0.75
+#: Held-out documents of a language whose own quantiles weigh as much as those of all languages.
+LANGUAGE_WEIGHT = 50
+#: Parts of the word pairs that are counted, and of the texts that are scored, one after another.
+WAVES = 4
+#: Most trusted ids that are broadcast to find their texts; more of them meet the texts by a shuffled join.
+BROADCAST_IDS = 1_000_000
+#: Bytes of text whose different words and pairs are sent together, and those that are hashed at once.
+CHUNK, SEGMENT = 1 << 22, 1 << 20
+#: Model entries of a shard, about.
+SHARD = 2_000_000
+#: Hashes that stand before the first word and behind the last.
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+_KIND = np.array([0 if c <= 32 or c == 127 else 1 if c >= 128 or chr(c).isalnum() else 2 for c in range(256)], np.uint8)
+#: Leading bytes of characters that are words of their own, as their scripts set no blanks.
+_ALONE = (0xE3, 0xED)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of texts that lie one after another, and the text it is of."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    kind = _KIND[data]
+    new = np.append(True, kind[1:] != kind[:-1])
+    new[offsets[:-1][np.diff(offsets) > 0]] = True
+    alone = np.flatnonzero((data >= _ALONE[0]) & (data <= _ALONE[1]))
+    new[alone] = True
+    new[alone[alone + 3 < len(data)] + 3] = True
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(data))
+    own = kind[starts] > 0
+    starts, ends = starts[own], ends[own]
+    return run_hashes(data)(starts, ends), np.searchsorted(offsets, starts, side="right") - 1
+
+
+def _parts(data: np.ndarray) -> list[tuple[int, int]]:
+    """A long text in parts of about SEGMENT bytes that end behind a blank (an unbroken run stays whole)."""
+    out, at = [], 0
+    while len(data) - at > SEGMENT:
+        end = at + SEGMENT
+        while end < len(data):
+            blank = np.flatnonzero(data[end : end + SEGMENT] <= 32)
+            if len(blank):
+                end += int(blank[0]) + 1
+                break
+            end = min(len(data), end + SEGMENT)
+        out.append((at, end))
+        at = end
+    return [*out, (at, len(data))]
+
+
+def pairs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Arrays (text, context, word) of the words and end marks of texts, a bounded number of bytes at a time."""
+    for a, b in slices(np.diff(offsets), SEGMENT):
+        own = data[offsets[a] : offsets[b]]
+        if b == a + 1 and len(own) > SEGMENT:
+            before = START
+            every = _parts(own)
+            for i, (low, high) in enumerate(every):
+                found, _ = words(own[low:high], np.array([0, high - low]))
+                if i + 1 == len(every):
+                    found = np.append(found, END)
+                if len(found):
+                    yield np.full(len(found), a), np.append(before, found[:-1]), found
+                    before = found[-1]
+            continue
+        found, text = words(own, offsets[a : b + 1] - offsets[a])
+        size = np.bincount(text, minlength=b - a) + 1
+        word = np.full(int(size.sum()), END)
+        word[np.arange(len(found)) + text] = found
+        context = np.append(START, word[:-1])
+        context[np.cumsum(size) - size] = START
+        yield np.repeat(np.arange(a, b), size), context, word
+
+
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return context ^ ((word << np.uint64(17)) | (word >> np.uint64(47)))
+
+
+def _pair_column(context: str, word: str) -> Column:
+    return F.col(context).bitwiseXOR(F.shiftleft(word, 17).bitwiseOR(F.shiftrightunsigned(word, 47)))
+
+
+def _counted(wave: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the pairs of a wave's contexts: rows (v, w, n), one for each pair of a chunk."""
 
-def _with_probabilities(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, p) of an order's seen n-grams and (key, gamma) of its contexts, from its counts and the order below."""
-    of = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_groups(batch, most=CHUNK):
+                data, offsets = raw_texts(part.column(0))
+                v, w = [], []
+                for _, context, word in pairs(data, offsets):
+                    mine = (context >> np.uint64(32)) % np.uint64(WAVES) == wave
+                    v.append(context[mine])
+                    w.append(word[mine])
+                v, w = np.concatenate(v), np.concatenate(w)
+                _, at, n = np.unique(pair_key(v, w), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n)], names=["v", "w", "n"])
+
+    return run
+
+
+def discounts(of: dict[int, int]) -> tuple[float, float, float]:
+    """The three discounts from the numbers of entries counted 1 to 4 times; sparse counts are kept within bounds."""
     n1, n2, n3, n4 = (max(1, of.get(i, 0)) for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
-    d1, d2, d3 = (min(max(d, 0.05), 0.95 * k) for d, k in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3)))
-    off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    split = counts.select("key", "n", F.shiftright("key", BITS).alias("context"))
-    contexts = split.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("taken"))
-    contexts = contexts.select("context", "total", (F.col("taken") / F.col("total")).alias("gamma"))
-    joined = split.join(contexts, "context")
-    own = (F.col("n") - off) / F.col("total")
-    if lower is None:
-        seen = joined.select("key", (own + F.col("gamma") / (1 << BITS)).alias("p"))
-    else:
-        ending = joined.withColumn("ending", F.col("key").bitwiseAND((1 << (BITS * (order - 1))) - 1))
-        seen = ending.join(lower.select(F.col("key").alias("ending"), F.col("p").alias("below")), "ending").select("key", (own + F.col("gamma") * F.col("below")).alias("p"))
-    return seen, contexts.select(F.col("context").alias("key"), "gamma")
-
-
-def trained(trusted: DataFrame) -> dict[str, np.ndarray]:
-    """The model's tables of seen n-grams and contexts, as sorted keys with values; its size is bounded by the alphabet."""
-    counts = {ORDER: written(trusted.select("text").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))}
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: different characters before
-        ending = F.col("key").bitwiseAND((1 << (BITS * order)) - 1).alias("key")
-        counts[order] = written(counts[order + 1].select(ending).groupBy("key").agg(F.count("*").alias("n")))
-    model, lower = {}, None
-    for order in range(1, ORDER + 1):
-        seen, contexts = _with_probabilities(counts[order], order, lower)
-        lower = written(seen)
-        for name, rows, value in (("p", lower, "p"), ("g", contexts, "gamma")):
-            own = rows.toPandas().sort_values("key")
-            model[f"{name}{order}"] = np.stack([own["key"].to_numpy(np.float64), own[value].to_numpy(np.float64)])
-    return model
-
-
-class Scorer:
-    """Log-probabilities of all n-grams, seen or not."""
-
-    def __init__(self, model: dict[str, np.ndarray]):
-        below = np.full(1, 1.0 / (1 << BITS))
-        for order in range(1, ORDER):
-            below = self._order(model, order, below)
-        self.below = np.log(below).astype(np.float32)
-        key, p = model[f"p{ORDER}"]
-        self.seen = np.zeros(1 << (BITS * ORDER), np.float32)
-        self.seen[key.astype(np.int64)] = np.log(p)
-        self.gamma = np.zeros(1 << (BITS * (ORDER - 1)), np.float32)
-        key, gamma = model[f"g{ORDER}"]
-        self.gamma[key.astype(np.int64)] = np.log(np.maximum(gamma, 1e-9))
-
-    @staticmethod
-    def _order(model: dict[str, np.ndarray], order: int, below: np.ndarray) -> np.ndarray:
-        size = 1 << (BITS * order)
-        every = np.arange(size)
-        gamma = np.ones(size >> BITS)
-        key, value = model[f"g{order}"]
-        gamma[key.astype(np.int64)] = value
-        out = gamma[every >> BITS] * below[every & (len(below) - 1)]
-        key, p = model[f"p{order}"]
-        out[key.astype(np.int64)] = p
+    return tuple(min(max(d, 0.05), 0.95 * k) for d, k in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3)))
+
+
+def _small_counts(counts: DataFrame) -> dict[int, int]:
+    return {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+
+
+def trained(texts: DataFrame) -> tuple[DataFrame, float]:
+    """The model of the texts (a column text): rows (key, value) of its words, contexts and pairs, and log p0."""
+    often, contexts, ends, of = [], [], [], {}
+    for wave in range(WAVES):
+        own = written(texts.select("text").mapInArrow(_counted(wave), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")))
+        contexts.append(written(own.groupBy("v").agg(F.sum("n").alias("total"), *[F.count_if(c).alias(x) for x, c in (("c1", F.col("n") == 1), ("c2", F.col("n") == 2), ("c3", F.col("n") > 2))])))
+        ends.append(written(own.groupBy("w").agg(F.count("*").alias("n"))))
+        often.append(written(own.where(F.col("n") >= LEAST)))
+        for n, k in _small_counts(own).items():
+            of[n] = of.get(n, 0) + k
+        dropped(own)
+    d2 = discounts(of)
+
+    def union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
         return out
 
-    def losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's negative log-probability and the number of its characters, the end mark included."""
-        key, offsets = symbols(texts)
-        log = self.seen[key]
-        new = np.flatnonzero(log == 0)
-        k = key[new]
-        log[new] = self.gamma[k >> BITS] + self.below[k & ((1 << (BITS * (ORDER - 1))) - 1)]
-        return -np.add.reduceat(log.astype(np.float64), offsets[:-1]), np.diff(offsets)
+    def off(d: tuple[float, float, float]) -> Column:
+        return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+    word_counts = written(union(ends).groupBy("w").agg(F.sum("n").alias("n")))
+    d1 = discounts(_small_counts(word_counts))
+    total, size, left = word_counts.agg(F.sum("n"), F.count("*"), F.sum(off(d1))).first()
+    p0 = left / total / (size + 1)
+    known = word_counts.select("w", ((F.col("n") - off(d1)) / total + p0).alias("p1"))
+    kept = [F.col(c) * (1.0 if i + 1 < LEAST else d) for i, (c, d) in enumerate(zip(("c1", "c2", "c3"), d2))]
+    leaving = written(union(contexts).select("v", "total", (sum(kept[1:], kept[0]) / F.col("total")).alias("g")))
+    own = union(often).join(leaving, "v").join(known, "w")
+    p2 = (F.col("n") - off(d2)) / F.col("total") + F.col("g") * F.col("p1")
+    rows = own.select(_pair_column("v", "w").alias("key"), F.log(p2 / (F.col("g") * F.col("p1"))).alias("value"))
+    rows = rows.unionByName(known.select(F.col("w").alias("key"), F.log(F.col("p1") / p0).alias("value"))).unionByName(leaving.select(F.col("v").alias("key"), F.log("g").alias("value")))
+    model = written(rows.groupBy(F.shiftrightunsigned("key", 16).alias("key")).agg(F.sum("value").alias("value")))
+    dropped(word_counts, leaving, *often, *contexts, *ends)
+    return model, float(np.log(p0))
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of keys of 48 bits; rises with the key."""
+    return ((keys >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def with_losses(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """docs with the columns loss and characters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+def sharded(model: DataFrame, shards: int) -> DataFrame:
+    """The model as rows (shard, kind 0, chunk null, blob): each shard's sorted keys and their values."""
+    shard = F.shiftright(F.shiftright("key", 16) * shards, 32).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        held: list[list[np.ndarray]] = []
+
+        def row() -> pa.RecordBatch:
+            key, value = (np.concatenate(x) for x in zip(*[h[1:] for h in held]))
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int32()), pa.array([0], pa.int32()), pa.array([None], pa.int64()), pa.array([key.tobytes() + value.tobytes()], pa.binary())], names=_NAMES)
+
         for batch in batches:
-            for part in text_groups(batch, text_col):
-                loss, n = scorer.losses([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(loss), pa.array(n, pa.int64())], names=[*batch.schema.names, "loss", "characters"])
+            number, key, value = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else []
+            for a, b in zip(cuts, [*cuts[1:], len(number)]):
+                if held and held[0][0] != number[a]:
+                    yield row()
+                    held = []
+                held.append([int(number[a]), key[a:b], value[a:b].astype(np.float32)])
+        if held:
+            yield row()
+
+    return spread(model.select(shard.alias("shard"), "key", "value"), "shard").sortWithinPartitions("shard", "key").mapInArrow(run, _ROWS)
+
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "loss double, characters long"]))
+#: kind 0: a shard of the model; 1: words and pairs of a chunk that fall to the shard; 2: the texts of a chunk.
+_ROWS = "shard int, kind int, chunk long, blob binary"
+_NAMES = ["shard", "kind", "chunk", "blob"]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trust_col: str = "quality") -> DataFrame:
-    """docs with the columns score, threshold, perplexity and kept (score <= threshold); the other columns stay.
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, so that the shuffle's compression drops the empty ones."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
-    Trusted are the documents whose label is 1. Without any trusted document nothing can be judged and all are kept
-    (score and threshold null). A null text counts as empty, a null language is a language of its own; null and
-    repeated ids are scored like any other; an empty table gives no rows. The names of the new columns must be free.
+
+def _from_planes(blob: memoryview, kind: type, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(-1, n).T).view(kind).reshape(n)
+
+
+def _requests(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (k1, k2, lang, text) to rows of kind 1 and 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for group in text_groups(batch, most=CHUNK):
+                for first in range(0, len(group), 1 << 16):
+                    part = group.slice(first, 1 << 16)
+                    data, offsets = raw_texts(part.column(3))
+                    single, double, size = [], [], np.zeros(len(part), np.int64)
+                    for text, context, word in pairs(data, offsets):
+                        size += np.bincount(text, minlength=len(part))
+                        for found, key, own in ((single, word, slice(None)), (double, pair_key(context, word), slice(None)), (single, context, np.flatnonzero(context == START))):
+                            found.append(((key[own] >> np.uint64(16)) << np.uint64(16)) | text[own].astype(np.uint64))
+                    double, times = np.unique(np.concatenate(double), return_counts=True)
+                    different = np.bincount((double & np.uint64(0xFFFF)).astype(np.int64), minlength=len(part))
+                    single, n = np.unique(np.concatenate(single), return_counts=True)
+                    key, n = np.concatenate([single, double]), np.concatenate([n, times])
+                    order = np.argsort(key, kind="stable")
+                    key, n = key[order], n[order]
+                    cuts = np.searchsorted(shard_of(key >> np.uint64(16), shards), np.arange(shards + 1))
+                    rows = []
+                    for s in np.flatnonzero(np.diff(cuts)).tolist():
+                        own = key[cuts[s] : cuts[s + 1]]
+                        step = np.append(own[:1], np.diff(own))
+                        rows.append((s, 1, number, len(own).to_bytes(8, "little") + _planes(step) + _planes(n[cuts[s] : cuts[s + 1]].astype(np.uint32))))
+                    texts = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(size), pa.array(different)], names=["k1", "k2", "lang", "n", "pairs"])
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, texts.schema) as out:
+                        out.write_batch(texts)
+                    rows.append((number % shards, 2, number, sink.getvalue().to_pybytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+                    number += 1
+
+    return run
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and kind to rows (chunk, kind, blob): of kind 1, the sums of the texts that have any."""
+    shard, known, value = None, np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    for batch in batches:
+        for i in range(len(batch)):
+            at, kind, chunk = (batch.column(j)[i].as_py() for j in range(3))
+            blob = memoryview(batch.column(3)[i].as_buffer())
+            if at != shard:
+                shard, known, value = at, np.zeros(0, np.uint64), np.zeros(0, np.float32)
+            if kind == 0:
+                n = len(blob) // 12
+                known, value = np.frombuffer(blob[: 8 * n], np.uint64).copy(), np.frombuffer(blob[8 * n :], np.float32).copy()
+                continue
+            if kind == 1:
+                n = int.from_bytes(blob[:8], "little")
+                key = np.cumsum(_from_planes(blob[8 : 8 + 8 * n], np.uint64, n))
+                if not len(known):
+                    continue
+                place = np.minimum(np.searchsorted(known, key >> np.uint64(16)), len(known) - 1)
+                hit = np.flatnonzero(known[place] == key >> np.uint64(16))
+                if not len(hit):
+                    continue
+                times = _from_planes(blob[8 + 8 * n :], np.uint32, n)
+                text = (key[hit] & np.uint64(0xFFFF)).astype(np.int64)
+                total = np.bincount(text, weights=value[place[hit]].astype(np.float64) * times[hit])
+                some = np.flatnonzero(total)
+                blob = some.astype(np.uint16).tobytes() + total[some].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([bytes(blob)], pa.binary())], names=["chunk", "kind", "blob"])
+
+
+def _summed(unknown: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by chunk, the texts first, to rows (k1, k2, lang, loss, n, pairs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = total = None
+
+        def done() -> pa.RecordBatch:
+            n = texts.column(3).to_numpy()
+            return pa.RecordBatch.from_arrays([*texts.columns[:3], pa.array(-(total + unknown * n)), *texts.columns[3:]], names=["k1", "k2", "lang", "loss", "n", "pairs"])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                blob = batch.column(2)[i].as_buffer()
+                if batch.column(1)[i].as_py() == 2:
+                    if texts is not None:
+                        yield done()
+                    texts = pa.ipc.open_stream(blob).read_next_batch()
+                    total = np.zeros(len(texts))
+                else:
+                    n = len(blob) // 10
+                    np.add.at(total, np.frombuffer(blob, np.uint16, n), np.frombuffer(blob, np.float64, n, 2 * n))
+        if texts is not None:
+            yield done()
+
+    return run
+
+
+def with_losses(texts: DataFrame, model: DataFrame, unknown: float) -> DataFrame:
+    """Rows (k1, k2, lang, loss, n, pairs) of texts, rows (k1, k2, lang, text): negative log-probability, number of words with
+    the end mark, and number of different word pairs.
+
+    The rows of one text key are equal. A partition's rows must come in the same order when it is computed again.
+    """
+    spark = texts.sparkSession
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.count() // SHARD))
+    entries = written(sharded(model, shards))
+
+    def scored(wave: int) -> DataFrame:
+        asked = texts.where(F.pmod("k1", F.lit(WAVES)) == wave).mapInArrow(_requests(shards), _ROWS)
+        met = spread(asked.unionByName(entries), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_looked_up, "chunk long, kind int, blob binary")
+        sums = spread(met, "chunk").sortWithinPartitions("chunk", F.desc("kind")).mapInArrow(_summed(unknown), "k1 long, k2 long, lang string, loss double, n long, pairs long")
+        return written(sums.groupBy("k1", "k2", "lang").agg(*[F.min(x).alias(x) for x in ("loss", "n", "pairs")]))
+
+    done = []
+    for wave in range(WAVES):
+        done.append(scored(wave))
+    dropped(entries)
+    out = done[0]
+    for t in done[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trust_col: str = "quality") -> DataFrame | None:
+    """Rows (k1, k2, lang, perplexity, score, highest, density, least, kept), one for each text and language; None if nothing can be judged.
+
+    Trusted are the documents whose label is 1. Unless there are trusted texts both to count and to set thresholds, nothing
+    can be judged. A language without trusted texts has the limits of all languages.
+    """
+    good = labels.where(F.col(trust_col) == 1).select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    text = text_column(text_col)
+    k1, k2 = text_key(text)
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
+    good = written(good)
+    trusted = keyed.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, "id", "left_semi")
+    aside = F.pmod(F.shiftright("k1", 8), F.lit(100)) < HELD_OUT
+    judges = written(trusted.where(aside).select("k1", "k2", "lang"))
+    train = trusted.where(~aside)
+    if judges.isEmpty() or train.isEmpty():
+        return None
+    model, unknown = trained(train)
+    losses = written(with_losses(keyed.select("k1", "k2", "lang", "text"), model, unknown))
+    dropped(model, good)
+    own = written(judges.join(losses, ["k1", "k2", "lang"]).select("lang", "loss", "n", "pairs"))
+    every = own.agg((F.sum("loss") / F.sum("n")).alias("mean")).first()["mean"]
+
+    def figures(mean: Column) -> tuple[Column, Column]:
+        score = (F.col("loss") + PRIOR * mean) / (F.col("n") + PRIOR)
+        return score, F.greatest(score, mean) * (F.col("pairs") + PRIOR) / (F.col("n") + PRIOR)
+
+    means = written(own.groupBy("lang").agg(((F.sum("loss") + PRIOR_MEAN * every) / (F.sum("n") + PRIOR_MEAN)).alias("mean"), F.count("*").alias("docs")))
+    score, density = figures(F.col("mean"))
+    apart = own.join(means, "lang").select("lang", (score - F.col("mean")).alias("score"), (density - F.col("mean")).alias("density"))
+    quantiles = [F.percentile_approx("score", QUANTILE, 10_000).alias("high"), F.percentile_approx("density", 1 - QUANTILE, 10_000).alias("low")]
+    of_all = apart.agg(*quantiles).first()
+    share = F.col("docs") / (F.col("docs") + LANGUAGE_WEIGHT)
+    limits = apart.groupBy("lang").agg(*quantiles).join(means, "lang")
+    limits = written(limits.select("lang", "mean", *[(share * F.col(x) + (1 - share) * of_all[x]).alias(x) for x in ("low", "high")]))
+    mean = F.coalesce("mean", F.lit(every))
+    low, high = (mean + F.coalesce(x, F.lit(of_all[x])) for x in ("low", "high"))
+    score, density = figures(mean)
+    out = losses.join(limits, "lang", "left").select("k1", "k2", "lang", F.exp(F.col("loss") / F.col("n")).alias("perplexity"), score.alias("score"), (high + MARGIN).alias("highest"), density.alias("density"), (low * ENOUGH).alias("least"))
+    return out.withColumn("kept", (F.col("score") <= F.col("highest")) & (F.col("density") >= F.col("least")))
+
+
+FIGURES = ["perplexity", "score", "highest", "density", "least"]
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows (doc_id, lang, perplexity, score, highest, density, least, kept), one for each row of docs.
+
+    Kept are scores up to highest with densities from least. A null text counts as empty (one end mark), a null language as a language of its
+    own, shown as null. Null and repeated ids and repeated rows are scored like any other; labels without a document, null
+    labels and labels other than 1 are passed over, and an id with several labels is trusted if one is 1. If nothing can
+    be judged, all are kept and the figures are null. Extra columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    good = labels.where(F.col(trust_col) == 1).select(F.col(id_col).cast("long").alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_column(text_col).alias("text"))
-    trusted = written(texts.join(good, "id", "left_semi"))
-    freed(spark)
-    aside = F.crc32(F.col("id").cast("string").cast("binary")) % 100 < HELD_OUT
-    train, judge = trusted.where(~aside), trusted.where(aside)
-    if train.isEmpty() or judge.isEmpty():
-        train = judge = trusted
-    if train.isEmpty():
-        none = F.lit(None).cast("double")
-        return docs.withColumns({"score": none, "threshold": none, "perplexity": none, "kept": F.lit(True)})
-    model = trained(train)
-    own = written(with_losses(judge, model).select("lang", "loss", "characters"))
-    top = own.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("loss").alias("loss"), F.sum("characters").alias("characters")).orderBy(F.desc("docs"), "lang")
-    every = own.agg(F.sum("loss").alias("loss"), F.sum("characters").alias("characters")).first()
-    mean_all = every.loss / every.characters
-    means = {r.lang: r.loss / r.characters for r in top.where(F.col("docs") >= LEAST_DOCS).limit(LANGUAGES).collect()}
-
-    def of_language(values: dict[str, float], rest: float):
-        known = F.create_map(*[F.lit(x) for pair in values.items() for x in pair]) if values else F.lit(None).cast("map<string,double>")
-        return F.coalesce(F.element_at(known, F.coalesce(F.col("lang_of_row"), F.lit(""))), F.lit(rest))
-
-    def with_score(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("score", (F.col("loss") + PRIOR * of_language(means, mean_all)) / (F.col("characters") + PRIOR))
-
-    judged = with_score(own.withColumn("lang_of_row", F.col("lang"))).withColumn("group", F.when(F.col("lang").isin(list(means)) if means else F.lit(False), F.col("lang")))
-    limits = {r["group"]: r["q"] for r in judged.groupBy("group").agg(F.percentile_approx("score", QUANTILE, 10_000).alias("q")).where("group IS NOT NULL").collect()}
-    limit_all = judged.agg(F.percentile_approx("score", QUANTILE, 10_000)).first()[0]
-    out = with_score(with_losses(docs, model, text_col).withColumn("lang_of_row", F.col(lang_col)))
-    out = out.withColumn("threshold", of_language(limits, limit_all) + MARGIN).withColumn("perplexity", F.exp(F.col("loss") / F.col("characters")))
-    return out.withColumn("kept", F.col("score") <= F.col("threshold")).drop("lang_of_row", "loss", "characters")
-
-
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (doc_id, lang, perplexity, score, threshold, kept), one for each row of docs."""
-    picked = docs.select("doc_id", "lang", "text")
-    return scored(picked, labels).select("doc_id", "lang", "perplexity", "score", "threshold", "kept")
-
-
-def trusted_like(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    return scored(docs, labels).where("kept").select(*docs.columns)
+    found = judged(docs, labels, id_col, text_col, lang_col)
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("shown"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), *[k.alias(x) for k, x in zip(text_key(text_column(text_col)), ("k1", "k2"))])
+    if found is None:
+        return ids.select("doc_id", F.col("shown").alias("lang"), *[F.lit(None).cast("double").alias(x) for x in FIGURES], F.lit(True).alias("kept"))
+    return ids.join(found, ["k1", "k2", "lang"]).select("doc_id", F.col("shown").alias("lang"), *FIGURES, "kept")
+
+
+def trusted_like(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with their columns, whatever their names; all rows if nothing can be judged."""
+    found = judged(docs, labels, id_col, text_col, lang_col)
+    if found is None:
+        return docs
+    names = fresh(docs, 3)
+    keys = [*text_key(text_column(text_col)), F.coalesce(F.col(lang_col).cast("string"), F.lit(""))]
+    bad = written(found.where("NOT kept").select(*[F.col(c).alias(x) for c, x in zip(("k1", "k2", "lang"), names)]))
+    return docs.withColumns(dict(zip(names, keys))).join(bad, names, "left_anti").select(*docs.columns)

@@ -4,8 +4,9 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,67 +84,137 @@ def test_held_out_labels_are_not_used(spark, documents):
     assert scores[0] == scores[1]
 
 
+WORD = re.compile(r"[^\W_]+|[^\w\s]+")
+
+
 def plain_kneser_ney(texts):
-    """Probabilities of the same model by dictionaries."""
-    codes = [quality_lm.alphabet()[[ord(c) for c in t]].tolist() if t else [] for t in texts]
-    grams = Counter()
-    for s in codes:
-        s = [0, 0, 0, *s, quality_lm.END]
-        grams.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
-    counts = {4: grams}
-    for n in (3, 2, 1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-    tables = {}
-    for n in (1, 2, 3, 4):
-        of = Counter(min(v, 5) for v in counts[n].values())
-        n1, n2, n3, n4 = (max(1, of[i]) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = [min(max(x, 0.05), 0.95 * k) for x, k in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3))]
-        total, taken = defaultdict(int), defaultdict(float)
-        for g, v in counts[n].items():
-            total[g[:-1]] += v
-            taken[g[:-1]] += d[min(v, 3) - 1]
-        tables[n] = (counts[n], d, total, taken)
-
-    def p(g):
-        if not g:
-            return 1 / 64
-        own, d, total, taken = tables[len(g)]
-        h = g[:-1]
-        if h not in total:
-            return p(g[1:])
-        v = own.get(g, 0)
-        return (v - d[min(v, 3) - 1] if v else 0) / total[h] + taken[h] / total[h] * p(g[1:])
-
-    return p
-
-
-def test_kneser_ney_equals_the_plain_model(spark, documents):
-    train = ["the cat sat on the mat.", "The dog ran; the cat ran!", "on and on", "", None]
-    model = quality_lm.trained(documents(train).select(F.coalesce("text", F.lit("")).alias("text")).repartition(3))
-    scorer, p = quality_lm.Scorer(model), plain_kneser_ney([t or "" for t in train])
-    for text in ["the cat", "zzz $$$ 99", "", "Ünïcode 漢字\n"]:
-        s = [0, 0, 0, *quality_lm.alphabet()[[ord(c) for c in text]].tolist(), quality_lm.END] if text else [0, 0, 0, quality_lm.END]
-        wanted = -sum(math.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3))
-        loss, n = scorer.losses([text, "x"])
-        assert loss[0] == pytest.approx(wanted, rel=1e-4) and n[0] == len(text) + 1
-    context = (5, 6, 7)
-    assert sum(p((*context, c)) for c in range(64)) == pytest.approx(1)
+    """p(word | context) of the same model by dictionaries; None stands for the end, "" for the start."""
+    pairs = Counter()
+    for t in texts:
+        w = [*WORD.findall(t), None]
+        pairs.update(zip(["", *w], w))
+    ends = Counter(w for _, w in pairs)
+
+    def off(counts):
+        d = quality_lm.discounts(Counter(counts.values()))
+        return lambda n: d[min(n, 3) - 1]
+
+    off2, off1 = off(pairs), off(ends)
+    total = sum(ends.values())
+    p0 = sum(map(off1, ends.values())) / total / (len(ends) + 1)
+    totals, left = Counter(), Counter()
+    for (v, _), n in pairs.items():
+        totals[v] += n
+        left[v] += off2(n) if n >= quality_lm.LEAST else n
+
+    def p(w, v):
+        low = (ends[w] - off1(ends[w]) if ends[w] else 0) / total + p0
+        if v not in totals:
+            return low
+        n = pairs[v, w]
+        return (n - off2(n) if n >= quality_lm.LEAST else 0) / totals[v] + left[v] / totals[v] * low
+
+    return p, set(ends)
+
+
+def plain_losses(p, text):
+    w = [*WORD.findall(text), None]
+    both = list(zip(["", *w], w))
+    return -sum(math.log(p(w, v)) for v, w in both), len(w), len(set(both))
+
+
+TRAIN = ["the cat sat on the mat.", "The dog ran; the cat ran!", "on and on", "", "the cat ran on the mat.", "the cat ran. the dog sat on the cat"]
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 16])
+def test_kneser_ney_equals_the_plain_model(spark, monkeypatch, segment):
+    monkeypatch.setattr(quality_lm, "SEGMENT", segment)
+    train = spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3)
+    model, unknown = quality_lm.trained(train)
+    p, known = plain_kneser_ney(TRAIN)
+    assert math.exp(unknown) == pytest.approx(p("never", "never"))
+    for v in ("", "the", "cat", "never"):
+        assert sum(p(w, v) for w in known) + p("never", v) == pytest.approx(1)
+    texts = [*TRAIN, "the cat", "zzz $$$ 99", "the the the the", "x" * 100 + " the cat sat on the mat. " * 9]
+    rows = spark.createDataFrame([(i, 0, "en", t) for i, t in enumerate(texts)], "k1 long, k2 long, lang string, text string").repartition(3)
+    for r in quality_lm.with_losses(rows, model, unknown).collect():
+        loss, n, pairs = plain_losses(p, texts[r.k1])
+        assert r.loss == pytest.approx(loss, rel=1e-5) and (r.n, r.pairs) == (n, pairs)
+
+
+def test_words_of_scripts(spark):
+    data = "ab,c 漢字x éa!? 한".encode()
+    found, text = quality_lm.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    alone = [quality_lm.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0] for w in ("ab", ",", "c", "漢", "字", "x", "éa", "!?", "한")]
+    assert found.tolist() == np.concatenate(alone).tolist() and set(text) == {0}
+
+
+def test_quality_equals_the_plain_query(spark):
+    """Scores and thresholds of the whole query against dictionaries."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    key = {r.doc_id: r.k1 for r in docs.select("doc_id", quality_lm.text_key(quality_lm.text_column())[0].alias("k1")).collect()}
+    every = [(r.doc_id, r.lang, r.text or "") for r in docs.collect()]
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    aside = {d for d in key if (key[d] >> 8) % 100 < quality_lm.HELD_OUT}
+    ascii_words = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+")
+    globals()["WORD"], old = ascii_words, WORD
+    try:
+        p, _ = plain_kneser_ney([t for d, _, t in every if d in good - aside])
+        losses = {d: plain_losses(p, t) for d, _, t in every}
+    finally:
+        globals()["WORD"] = old
+    judges = [(d, lang) for d, lang, _ in every if d in good & aside]
+    mean_all = sum(losses[d][0] for d, _ in judges) / sum(losses[d][1] for d, _ in judges)
+    prior, extra = quality_lm.PRIOR, quality_lm.PRIOR_MEAN
+    means = {}
+    for lang in {x for _, x in judges}:
+        own = [losses[d] for d, x in judges if x == lang]
+        means[lang] = (sum(x[0] for x in own) + extra * mean_all) / (sum(x[1] for x in own) + extra)
+
+    def figures(d, lang):
+        loss, n, pairs = losses[d]
+        mean = means.get(lang, mean_all)
+        score = (loss + prior * mean) / (n + prior)
+        return score, max(score, mean) * (pairs + prior) / (n + prior)
+
+    def limits(own):
+        apart = [sorted(x) for x in zip(*((s - means[x], e - means[x]) for d, x in own for s, e in [figures(d, x)]))]
+        at = [max(1, math.ceil(q * len(own))) - 1 for q in (quality_lm.QUANTILE, 1 - quality_lm.QUANTILE)]
+        return apart[0][at[0]], apart[1][at[1]]
+
+    of_all = limits(judges)
+    rows = {r.doc_id: r for r in quality_lm.quality(docs, labels).collect()}
+    assert len(rows) == len(every)
+    for d, lang, _ in every:
+        own = [x for x in judges if x[1] == lang]
+        share = len(own) / (len(own) + quality_lm.LANGUAGE_WEIGHT)
+        high, low = (share * a + (1 - share) * b for a, b in zip(limits(own) if own else of_all, of_all))
+        mean = means.get(lang, mean_all)
+        highest, least = mean + high + quality_lm.MARGIN, (mean + low) * quality_lm.ENOUGH
+        score, density = figures(d, lang)
+        r = rows[d]
+        assert (r.score, r.highest, r.density, r.least) == pytest.approx((score, highest, density, least), rel=1e-4)
+        assert r.kept == (score <= highest and density >= least)
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark, documents):
     rnd = random.Random(8)
-    clean = [" ".join(rnd.choice(["over", "under", "the", "hill", "river", "stone"]) for _ in range(60)) + "." for _ in range(200)]
-    junk = ["".join(rnd.choice("$#%&*XQ!") for _ in range(200)) for _ in range(10)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(200, 0, 0)], "doc_id long, quality int, toxic int")
-    docs = documents([*clean, *junk, None, ""], [*range(210), None, 500])
-    rows = quality_lm.scored(docs, labels).collect()
-    assert len(rows) == 212
+    stock = ["".join(rnd.choice(["ri", "ver", "sto", "ne", "hill"]) for _ in range(rnd.randint(1, 4))) for _ in range(300)]
+    clean = [" ".join(rnd.choice(stock) for _ in range(60)) + "." for _ in range(200)]
+    junk = [" ".join(rnd.choice("$#%&*XQ!") for _ in range(200)) for _ in range(10)] + [(w + " ") * 400 for w in stock[:10]]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(200, 0, 0), (None, 1, 0), (7, None, 0), (9999, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    own = ["score", "perplexity", "kept", "loss", "k1", "own_0", "id"]
+    docs = documents([*clean, *junk, None, "", clean[0]], [*range(220), None, 500, 0]).withColumns({c: F.lit(c) for c in own})
+    rows = quality_lm.quality(docs, labels).collect()
+    assert len(rows) == 223
     kept = {r.doc_id for r in rows if r.kept}
-    assert set(range(200)) <= kept and not kept & set(range(200, 210))
-    assert quality_lm.trusted_like(docs, labels).columns == docs.columns
-    assert quality_lm.quality(docs, labels.limit(0)).where("kept").count() == 212
-    assert quality_lm.quality(docs.limit(0), labels).count() == 0
+    assert set(range(200)) <= kept and not kept & set(range(200, 220)) and {None, 500} <= kept
+    left = quality_lm.trusted_like(docs, labels)
+    assert left.columns == docs.columns and left.count() == 203 and all(r.score == "score" and r.own_0 == "own_0" for r in left.collect())
+    assert quality_lm.quality(docs, labels.limit(0)).where("kept").count() == 223 and quality_lm.trusted_like(docs, labels.limit(0)).count() == 223
+    assert quality_lm.quality(docs.limit(0), labels).count() == 0 and quality_lm.trusted_like(docs.limit(0), labels).count() == 0
+    nowhere = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang for r in quality_lm.quality(nowhere, labels).collect()} == {None}
 
 
 def test_media_formats_and_digests(documents, odd_texts):
