@@ -120,14 +120,6 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.crc32(text) * F.lit(1 << 31) + F.hash(text)]
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished jobs, which else lie on the disks until a collection happens."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows by the hash of the keys over the session's number of partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

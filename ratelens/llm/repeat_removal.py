@@ -3,27 +3,31 @@
 A window is a run of LENGTH bytes of one text; a window is repeated if the same bytes also start elsewhere. As in
 prefix-free parsing, a rolling hash sets triggers that depend on nearby bytes only: in each window, the leftmost
 position with the least hash of GRAM bytes. Consecutive windows with one trigger form a phrase, kept together with the
-bytes that its last window reaches ahead. Equal windows have equal triggers at equal offsets, so the corpus order of
-windows need only be known within one trigger's bytes:
-
-* the parse is the table of phrase places (trigger bytes, phrase, text, offset);
-* the dictionary is the different phrases; a phrase that occurs twice has only repeated windows;
-* triggers with one place are dropped; where a trigger has different phrases, the windows of its dictionary phrases are
-  compared with one another (in one task, or for triggers of very many phrases over the cluster).
-
-Texts are handled once for all their copies. Windows, phrases and texts are compared by 96 to 128 hash bits.
+bytes that its last window reaches ahead, so that the first LENGTH bytes of a suffix that starts at a window never leave
+its phrase. Equal windows have equal triggers at equal offsets.
+
+* The parse is the table of phrase places (trigger, phrase, text, offset); of a phrase that follows itself at once (in
+  periodic text), a run of places is one row.
+* The dictionary is the different phrases; a phrase that occurs twice has only repeated windows, one whose trigger has no
+  other place has none.
+* Where a trigger has different phrases, the suffix array of these phrases, by prefix doubling down to the depth of a
+  window, ranks their windows. Parse and suffix array together give the windows in corpus order: by rank, and among windows
+  of one rank by the places of their phrases. A window is repeated if its rank has several dictionary windows, or its
+  phrase several places. (Triggers of very many different phrases are sorted over the cluster, by hashes of the windows.)
+
+Texts are handled once for all their copies. Windows, phrases and texts are told apart by 96 to 128 hash bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, freed, raw_texts, spread, text_column, text_groups, written
+from .common import HEAVY, MIX, dropped, fresh, heavy_join, odd_numbers, raw_texts, run_hashes, spread, text_column, text_groups, text_key, written
 
 #: Bytes of a window, and of the rolling hash that sets triggers.
 LENGTH, GRAM = 200, 32
@@ -34,16 +38,7 @@ IN_TASK = 16_384
 #: Phrases of whole triggers that a task gathers before it compares them.
 GATHERED = 4096
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _odd(n: int, seed: int) -> np.ndarray:
-    """Fixed odd 64-bit multipliers."""
-    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-_BYTE, _STEP = _odd(256, 11), _odd(64, 12)
-_BASE = _odd(1, 13)[0]
+_BYTE, _STEP = odd_numbers(256, 11), odd_numbers(64, 12)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -54,7 +49,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         hashed = hashed[:m] * _STEP[n.bit_length()] + hashed[n:]
         hashed ^= hashed >> np.uint64(29)
         n *= 2
-    hashed *= _MIX
+    hashed *= MIX
     return hashed ^ (hashed >> np.uint64(32))
 
 
@@ -72,24 +67,9 @@ def triggers(hashed: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def run_hashes(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function that gives the hashes of the runs from starts to ends in the bytes."""
-    power = np.full(len(data) + 1, _BASE)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[1:], out=total[1:])
-
-    def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        found = (total[ends] - total[starts]) * power[len(data) - starts] * _MIX
-        return (found ^ (found >> np.uint64(31))) * _MIX + (ends - starts).astype(np.uint64)
-
-    return of
-
-
 def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The parse of texts that lie one after another: (text index, start, windows, trigger hash, phrase hash) arrays."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    """The parse of texts that lie one after another: (text index, start, windows, times in a row, trigger hash, phrase hash) arrays."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < LENGTH:
         return none
     hashed = gram_hashes(data)
@@ -104,10 +84,14 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     start, n = at[first], np.diff(np.append(first, len(at)))
     text = np.searchsorted(offsets, start, side="right") - 1
     phrase = run_hashes(data)(start, start + n - 1 + LENGTH) ^ (trigger[start] - start).astype(np.uint64)
-    return text, start - offsets[text], n, hashed[trigger[start]], phrase
+    follows = (text[1:] == text[:-1]) & (phrase[1:] == phrase[:-1]) & (start[1:] == start[:-1] + n[:-1])
+    first = np.flatnonzero(np.append(True, ~follows))
+    times = np.diff(np.append(first, len(text)))
+    text, start, n, phrase = text[first], start[first], n[first], phrase[first]
+    return text, start - offsets[text], n, times, hashed[trigger[start]], phrase
 
 
-_PARSE = "gram long, phrase long, k1 long, k2 long, p int, n int, copied boolean"
+_PARSE = "gram long, phrase long, k1 long, k2 long, p int, n int, times int, copied boolean"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +106,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 jobs = [(0, data, offsets)]
             for shift, own, bounds in jobs:
-                text, start, n, gram, phrase = phrases(own, bounds)
-                cols = [gram.view(np.int64), phrase.view(np.int64), k1[text], k2[text], (start + shift).astype(np.int32), n.astype(np.int32), copied[text]]
+                text, start, n, times, gram, phrase = phrases(own, bounds)
+                cols = [gram.view(np.int64), phrase.view(np.int64), k1[text], k2[text], (start + shift).astype(np.int32), n.astype(np.int32), times.astype(np.int32), copied[text]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
 
@@ -139,15 +123,41 @@ def _dictionary_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20_000]), kinds)], names=["gram", "phrase", "n", "repeated", "hot", "bytes"])
 
 
+def _places(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of phrases of so many windows: which phrase it is of, and its place there."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _windows(blobs: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window of each phrase: which phrase it is of, its place there and its hash."""
     data, offsets = raw_texts(blobs)
-    owner = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    owner, place = _places(n)
     start = offsets[:-1][owner] + place
     return owner, place, run_hashes(data)(start, start + LENGTH)
 
 
+def window_ranks(data: np.ndarray) -> np.ndarray:
+    """The rank of the LENGTH bytes from each position among all of them, in lexicographic order; equal bytes have one rank.
+
+    Prefix doubling: the rank to depth 2n follows from the ranks to depth n at a position and n further on. Positions
+    fewer than LENGTH bytes before the end get ranks as if zeros followed.
+    """
+
+    def ahead(x: np.ndarray, n: int) -> np.ndarray:
+        return np.concatenate([x[n:], np.zeros(min(n, len(x)), x.dtype)])
+
+    word = data.astype(np.uint64)
+    for n in (1, 2, 4):  # eight bytes as one number
+        word = (word << np.uint64(8 * n)) | ahead(word, n)
+    rank, depth = np.unique(word, return_inverse=True)[1], 8
+    while depth < LENGTH:
+        step = min(depth, LENGTH - depth)
+        rank = np.unique(rank * (int(rank.max()) + 1) + ahead(rank, step), return_inverse=True)[1]
+        depth += step
+    return rank
+
+
 def _ranges(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rising (owner, place) rows as runs (owner, first place, place behind the last)."""
     new = np.append(True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1))
@@ -160,14 +170,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         gram, phrase, n = (rows.column(i).to_numpy() for i in range(3))
-        owner, place, hashed = _windows(rows.column(4).combine_chunks(), n)
-        _, group = np.unique(gram, return_inverse=True)
-        group = group[owner]
-        order = np.lexsort((hashed, group))
-        same = (hashed[order][1:] == hashed[order][:-1]) & (group[order][1:] == group[order][:-1])
-        shared = np.zeros(len(owner), bool)
-        shared[order[1:][same]] = True
-        shared[order[:-1][same]] = True
+        data, offsets = raw_texts(rows.column(4).combine_chunks())
+        owner, place = _places(n)
+        rank = window_ranks(data)[offsets[:-1][owner] + place]
+        shared = np.bincount(rank)[rank] > 1
         shared &= ~rows.column(3).to_numpy(zero_copy_only=False)[owner]  # all windows of a repeated phrase count anyway
         at = np.flatnonzero(shared)
         o, a, b = _ranges(owner[at], place[at]) if len(at) else (at, at, at)
@@ -236,8 +242,8 @@ def _copies_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(many)], names=["k1", "k2", "text", "copied"])
 
 
-def _key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("k1"), (F.crc32(text) * F.lit(1 << 31) + F.hash(text)).alias("k2")]
+def _named_key(text: Column) -> list[Column]:
+    return [k.alias(x) for k, x in zip(text_key(text), ("k1", "k2"))]
 
 
 _KEPT = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -268,38 +274,37 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def kept_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (k1, k2, n_bytes, n_removed, n_spans, kept), one for each different text; k1 and k2 are the text's key."""
-    spark = docs.sparkSession
     text = text_column(text_col)
-    keyed = docs.select(text.alias("text")).select(*_key(F.col("text")), "text")
+    keyed = docs.select(text.alias("text")).select(*_named_key(F.col("text")), "text")
     few = keyed.mapInArrow(_copies_of_batch, "k1 long, k2 long, text string, copied boolean")
     texts = written(spread(few, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_without_copies, "k1 long, k2 long, text string, copied boolean"))
-    freed(spark)
 
     parse = written(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_parsed, _PARSE))
-    shared = parse.groupBy("gram").agg(F.count("*").alias("places"), (F.min("phrase") != F.max("phrase")).alias("mixed")).where("places > 1").select("gram", "mixed")
-    places = written(parse.join(shared, "gram"))
-    dropped(parse)
-    freed(spark)
-
-    entries = places.where("mixed").groupBy("gram", "phrase").agg(((F.count("*") > 1) | F.max("copied")).alias("repeated"), F.min(F.struct("k1", "k2", "p", "n")).alias("at"))
-    entries = written(entries.select("gram", "phrase", "repeated", "at.*"))
+    most = max(1, parse.count() // HEAVY)
+    shared = parse.groupBy("gram").agg(F.count("*").alias("rows"), F.sum("times").alias("places"), (F.min("phrase") != F.max("phrase")).alias("mixed"))
+    shared = written(shared.where("places > 1").select("gram", "mixed", "rows"))
+    places = written(heavy_join(parse, shared.select("gram", "mixed"), ["gram"], shared.where(F.col("rows") > most)))
+    dropped(parse, shared)
+
+    entries = places.where("mixed").groupBy("gram", "phrase").agg(((F.sum("times") > 1) | F.max("copied")).alias("repeated"), F.count("*").alias("rows"), F.min(F.struct("k1", "k2", "p", "n")).alias("at"))
+    entries = written(entries.select("gram", "phrase", "repeated", "rows", "at.*"))
     hot = entries.groupBy("gram").count().where(F.col("count") > IN_TASK).select("gram", F.lit(True).alias("hot"))
     chosen = entries.join(hot, "gram", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "phrase", "p", "n", "repeated", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places"))
     blobs = texts.join(chosen, ["k1", "k2"]).select("text", "places").mapInArrow(_dictionary_texts, "gram long, phrase long, n int, repeated boolean, hot boolean, bytes binary")
     blobs = written(blobs)
-    freed(spark)
     in_task = spread(blobs.where("NOT hot").select("gram", "phrase", "n", "repeated", "bytes"), "gram").sortWithinPartitions("gram", "phrase").mapInArrow(_compared, "gram long, phrase long, a int, b int")
     windows = blobs.where("hot").select("gram", "phrase", "n", "repeated", "bytes").mapInArrow(_spread_windows, "gram long, phrase long, a int, window long, repeated boolean")
     twice = windows.groupBy("gram", "window").count().where("count > 1").select("gram", "window")
     over_cluster = windows.where("NOT repeated").join(twice, ["gram", "window"]).select("gram", "phrase", "a", (F.col("a") + 1).alias("b"))
     whole = entries.where("repeated").select("gram", "phrase", F.lit(0).alias("a"), F.col("n").alias("b"))
     runs = whole.unionByName(in_task).unionByName(over_cluster).groupBy("gram", "phrase").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    mixed = places.where("mixed").join(runs, ["gram", "phrase"]).select("k1", "k2", F.explode(F.transform("runs", lambda r: F.struct((r.a + F.col("p")).alias("a"), (r.b + F.col("p")).alias("b")))).alias("r"))
-    plain = places.where("NOT mixed").select("k1", "k2", F.struct(F.col("p").alias("a"), (F.col("p") + F.col("n")).alias("b")).alias("r"))
+    runs = written(runs)
+    mixed = heavy_join(places.where("mixed AND times = 1").select("gram", "phrase", "k1", "k2", "p"), runs, ["gram", "phrase"], entries.where(F.col("rows") > most))
+    mixed = mixed.select("k1", "k2", F.explode(F.transform("runs", lambda r: F.struct((r.a + F.col("p")).alias("a"), (r.b + F.col("p")).alias("b")))).alias("r"))
+    plain = places.where("NOT mixed OR times > 1").select("k1", "k2", F.struct(F.col("p").alias("a"), (F.col("p") + F.col("n") * F.col("times")).alias("b")).alias("r"))
     of_text = plain.unionByName(mixed).groupBy("k1", "k2").agg(F.collect_list("r").alias("runs"))
     of_text = written(of_text)
-    dropped(places, blobs, entries)
-    freed(spark)
+    dropped(places, blobs, entries, runs)
     return texts.join(of_text, ["k1", "k2"], "left").select("k1", "k2", "text", "copied", "runs").mapInArrow(_removed, _KEPT)
 
 
@@ -311,21 +316,29 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lose what they share; null ids are kept; extra columns are ignored; an empty table gives no rows.
     """
     digests = kept_texts(docs, text_col).select("k1", "k2", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_key(text_column(text_col)))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_named_key(text_column(text_col)))
     return ids.join(digests, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def with_repeats_removed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs with what is kept of their texts; characters cut through by a removal go as a whole."""
+    """The rows of docs with what is kept of their texts; characters cut through by a removal go as a whole.
+
+    A null text stays null, an empty one empty; a text that is removed as a whole becomes empty. A column n_chars, if there
+    is one, is counted anew where the text changed. Repeated rows all lose what they share; all other columns stay,
+    whatever their names; an empty table gives no rows.
+    """
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["k1", "k2", "kept"])
 
-    kept = kept_texts(docs, text_col).select("k1", "k2", "kept").mapInArrow(decoded, "k1 long, k2 long, kept string")
-    keyed = docs.select(*[F.col(c) for c in docs.columns if c != text_col], *_key(text_column(text_col)))
-    out = keyed.join(kept, ["k1", "k2"]).withColumnRenamed("kept", text_col)
+    k1, k2, kept = fresh(docs, 3)
+    found = kept_texts(docs, text_col).select("k1", "k2", "kept").mapInArrow(decoded, "k1 long, k2 long, kept string").toDF(k1, k2, kept)
+    left = F.when(F.col(text_col).isNotNull(), F.col(kept))
+    changed = {text_col: left}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(left == F.col(text_col), F.col("n_chars")).otherwise(F.length(left).cast(kind))
+    keyed = docs.withColumns(dict(zip((k1, k2), text_key(text_column(text_col)))))
+    return keyed.join(found, [k1, k2]).withColumns(changed).select(*docs.columns)

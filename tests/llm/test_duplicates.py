@@ -111,20 +111,47 @@ def test_repeats(documents, repeating_texts, in_task, gathered, chunk, monkeypat
     assert len(rows) == len(wanted) and all(got[i] == w for i, w in enumerate(wanted))
 
 
+def test_window_ranks_follow_the_order_of_bytes():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 3, 900).astype(np.uint8)
+    data[300:600] = data[:300]
+    got = repeat_removal.window_ranks(data)[:701]
+    windows = [data[i : i + 200].tobytes() for i in range(701)]
+    assert sorted(range(701), key=lambda i: (windows[i], i)) == np.argsort(got, kind="stable").tolist()
+    assert len(set(windows)) == len(set(got.tolist())) and got[0] == got[300]
+
+
+def test_hashes_of_runs_don_t_depend_on_what_is_around():
+    a, b = (np.frombuffer(x, np.uint8) for x in (b"xx run yy", b"run" * 9))
+    assert common.run_hashes(a)(np.array([3]), np.array([6])) == common.run_hashes(b)(np.array([6]), np.array([9]))
+
+
+def test_heavy_keys_join_like_others(spark):
+    left = spark.createDataFrame([(i % 7 if i % 3 else 99, i) for i in range(200)], "k long, x long")
+    right = spark.createDataFrame([(k, k * 10) for k in (1, 2, 3, 99, 500)], "k long, y long")
+    got = common.heavy_join(left, right, ["k"], spark.createDataFrame([(99,)], "k long"))
+    assert sorted(map(tuple, got.select("k", "x", "y").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "x", "y").collect()))
+
+
 def test_phrases_cover_each_window_once():
     rng = np.random.default_rng(1)
     data, offsets = rng.integers(97, 100, 5000).astype(np.uint8), np.array([0, 150, 150, 900, 5000])
-    text, start, n, _, _ = repeat_removal.phrases(data, offsets)
-    windows = sorted((t, p) for t, a, k in zip(text.tolist(), start.tolist(), n.tolist()) for p in range(a, a + k))
+    data[2000:3500] = np.resize(data[2000:2007], 1500)  # periodic
+    text, start, n, times, _, _ = repeat_removal.phrases(data, offsets)
+    assert times.max() > 1
+    windows = sorted((t, p) for t, a, k in zip(text.tolist(), start.tolist(), (n * times).tolist()) for p in range(a, a + k))
     assert windows == [(t, p) for t in range(4) for p in range(max(0, offsets[t + 1] - offsets[t] - 199))]
 
 
 def test_kept_texts_of_documents(documents):
     passage = "é" * 110
     docs = documents(["x" + passage + " tail", "head " + passage, "short", None], [1, 2, 3, None])
+    docs = docs.withColumns({c: F.lit(c) for c in ("k1", "kept", "gram", "own_0", "runs")})
     out = repeat_removal.with_repeats_removed(docs)
     assert out.columns == docs.columns
-    assert sorted((r.doc_id or 0, r.text, r.n_chars) for r in out.collect()) == [(0, "", 0), (1, "x tail", 6), (2, "head ", 5), (3, "short", 5)]
+    rows = out.collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_chars) for r in rows) == [(0, None, None), (1, "x tail", 6), (2, "head ", 5), (3, "short", 5)]
+    assert all((r.k1, r.kept, r.own_0) == ("k1", "kept", "own_0") for r in rows)
     assert repeat_removal.repeats_removed(docs.limit(0)).count() == 0
 
 
