@@ -10,7 +10,6 @@ tokens); offending offsets are the runs of tokens with a marginal of one half or
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import pretokens
-from .common import slices, text_column, text_groups
+from .common import fresh, slices, text_column, text_groups, text_key, written
 
-#: Labelled training documents of each class that the model is fitted on (those with the smallest hash of the id).
-SAMPLE = 1500
+#: Labelled training texts of each class that the model is fitted on (those with the smallest hashes), and the bytes of the
+#: longest one, so at most 2 * SAMPLE * LONGEST bytes reach the driver. All texts are scored, whatever their length.
+SAMPLE, LONGEST = 1500, 1 << 15
 #: Beginnings of words that are features beside the word itself.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Least likelihood-ratio statistic, beside twice the logarithm of the number of features, and least ratio of rates.
@@ -261,38 +262,36 @@ def fitted(texts: list[str], toxic: np.ndarray, totals: tuple[int, int]) -> Fiel
     return field
 
 
-def held_out(ids: list[int | None]) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in ids], bool)
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """The field fitted on at most SAMPLE labelled documents of each class, none of them held out.
+    """The field fitted on at most SAMPLE different labelled texts of each class, none of a held-out row.
 
-    Documents without a label, labels without a document and null labels are passed over; with one class only (or
-    none), every score is the share of toxic labels.
+    Documents without a label, labels without a document and null labels are passed over, copies of a text count once, and
+    a text that is labelled both ways is toxic. With one class only (or none), every score is the share of toxic labels.
     """
-    said = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
-    said = said.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    said = said.join(docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in said.groupBy("toxic").count().collect()}
+    text = text_column(text_col)
+    k1, k2 = text_key(text)
+    said = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
+    said = said.where("toxic IN (0, 1) AND id IS NOT NULL").where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"), F.octet_length(text).alias("size"))
+    known = written(keyed.join(said, "id").groupBy("k1", "k2").agg(F.max("toxic").alias("toxic"), F.max("size").alias("size")))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     few = None
     for kind in (0, 1):
-        own = said.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        own = known.where((F.col("toxic") == kind) & (F.col("size") <= LONGEST)).orderBy("k1", "k2").limit(SAMPLE)
         few = own if few is None else few.unionByName(own)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    rows = texts.join(F.broadcast(few), "doc_id").toPandas().sort_values(["doc_id", "text"])  # 2 * SAMPLE rows are broadcast
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).join(F.broadcast(few.select("k1", "k2", "toxic")), ["k1", "k2"])  # 2 * SAMPLE rows are broadcast
+    rows = texts.groupBy("k1", "k2", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values(["k1", "k2"])
     return fitted(rows["text"].tolist(), rows["toxic"].to_numpy() == 1, (counts.get(0, 0), counts.get(1, 0)))
 
 
-SCORED = "score double, spans array<struct<start:int,stop:int>>"
-
-
-def with_scores(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+def with_scores(docs: DataFrame, field: Field, text_col: str = "text", score: str = "score", spans: str = "spans") -> DataFrame:
     """docs with a score and the offending spans (offsets in characters); the columns of docs stay as they are.
 
     Every row is scored by its whole text alone; a null or empty text gets the score of a document without toxic
-    tokens. The names of the two new columns must be free. An empty table gives no rows.
+    tokens. score and spans name the new columns; docs must not have them. An empty table gives no rows.
     """
+    if {score.lower(), spans.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have a column {score} or {spans} already: name the new ones otherwise")
     shared = docs.sparkSession.sparkContext.broadcast(field)
     at = docs.columns.index(text_col)
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -304,27 +303,33 @@ def with_scores(docs: DataFrame, field: Field, text_col: str = "text") -> DataFr
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 words, place, owner, starts, ends = tokens(texts)
                 marginal = field.marginals(field.word_scores(words)[place], heads_of(owner, place, words)) if len(place) else np.zeros(0)
-                score = sigmoid(document_inputs(marginal, owner, len(texts)) @ field.document)
-                spans: list[list[dict]] = [[] for _ in texts]
+                value = sigmoid(document_inputs(marginal, owner, len(texts)) @ field.document)
+                found: list[list[dict]] = [[] for _ in texts]
                 for i in np.flatnonzero(marginal >= 0.5).tolist():
-                    own, begin = spans[owner[i]], int(starts[i])
+                    own, begin = found[owner[i]], int(starts[i])
                     if own and i and owner[i - 1] == owner[i] and own[-1]["stop"] == int(ends[i - 1]):
                         own[-1]["stop"] = int(ends[i])
                     else:
                         own.append({"start": begin, "stop": int(ends[i])})
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(spans, span)], names=[*batch.schema.names, "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array(found, span)], names=[*batch.schema.names, score, spans])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), SCORED]))
+    schema = T.StructType(docs.schema.fields + [T.StructField(score, T.DoubleType()), T.StructField(spans, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))])
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted, spans), one for each row of docs."""
+    """Rows (doc_id, held_out, score, predicted, spans), one for each row of docs.
+
+    Null and empty texts are scored like others; a null id is not held out; repeated rows are scored each. Extra columns
+    are ignored, whatever their names; an empty table gives no rows. See train() for labels that are missing or at odds.
+    """
     field = train(docs, labels, id_col, text_col)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return with_scores(picked, field).select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is below one half, with their columns."""
-    return with_scores(docs, train(docs, labels, text_col=text_col), text_col).where("score < 0.5").select(*docs.columns)
+def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below one half, with their columns, whatever their names."""
+    score, spans = fresh(docs, 2)
+    return with_scores(docs, train(docs, labels, id_col, text_col), text_col, score, spans).where(F.col(score) < 0.5).select(*docs.columns)
