@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from . import schemas as S
 from . import store
-from .functions.columns import wide_curve
-from .functions.trajectory import DESCRIPTORS
 from .operators import agreement, design, exchange, integrity, progress
 from .session import session
 from .sources import files, frames
@@ -40,22 +38,52 @@ def _frames(spark: SparkSession, path: str) -> DataFrame:
     return frames.zip_frames(spark, path) if path.lower().endswith(".zip") else frames.folder_frames(spark, path)
 
 
+def _split(spark: SparkSession, path: str) -> DataFrame:
+    return files.load_split(files.csv(spark, path, "video_name int, label int", ("video_name", "label"), line="line"))
+
+
+#: Where a configuration holds what commands take: option, section and name.
+_SETTINGS = [("test", "paths", "test_csv"), ("train", "paths", "train_csv"), ("votes", "paths", "annotation_xlsx"), ("stimulus", "paths", "stimulus_features"), ("duplicates", "paths", "duplicate_candidates"), ("frames", "paths", "frames_16_archive"), ("frames", "paths", "frames"), ("raters", "study", "annotators"), ("second", "study", "frame_second_rating_fraction"), ("hidden", "study", "frame_hidden_repeat_fraction"), ("gap", "study", "frame_minimum_clip_gap"), ("per_class", "study", "training_per_non_disgust_class")]
+_DEFAULTS = {"second": 0.10, "hidden": 0.02, "gap": 9, "per_class": 380}
+
+
+def _configured(a: argparse.Namespace) -> argparse.Namespace:
+    """Options as given, else from the configuration, else by default; test, train and votes must come from somewhere."""
+    config = files.load_config(a.config) if a.config else {}
+    for name, section, key in _SETTINGS:
+        value = config.get(section, {}).get(key)
+        if getattr(a, name, None) is None and value is not None and hasattr(a, name):
+            setattr(a, name, str(files.resolve(config, value)) if section == "paths" else value)
+    for name, value in _DEFAULTS.items():
+        if getattr(a, name, 0) is None:
+            setattr(a, name, value)
+    if lost := [n for n in ("test", "train", "votes") if getattr(a, n) is None]:
+        raise ValueError(f"neither the options nor a configuration name {lost}")
+    return a
+
+
 def init_db(spark, a):
     store.save(S.empty_study(spark), a.study)
 
 
 def prepare_study(spark, a):
-    read = lambda path: files.load_split(files.csv(spark, path, "video_name int, label int", ("video_name", "label")))
-    test, train = read(a.test), read(a.train)
-    votes = files.csv(spark, a.votes, ", ".join(f"`{c}` int" for c in files.VOTE_COLUMNS) + ", order int, label int", (*files.VOTE_COLUMNS, "order"))
-    if not design.vote_violations(votes, files.VOTE_COLUMNS).isEmpty():
-        raise ValueError("votes must not be negative and must add up to 10")
-    if a.duplicates:
-        train = design.excluded_duplicates(train, files.csv(spark, a.duplicates, "clip_id_1 int, clip_id_2 int"))
+    a = _configured(a)
+    test, train = _split(spark, a.test), _split(spark, a.train)
+    votes = files.votes_by_position(files.csv(spark, a.votes, "order int, label int", ("order",)))
     stimulus = files.csv(spark, a.stimulus, "clip_id int, original_frame_count double, mean_abs_change double", ("clip_id",)) if a.stimulus else None
     if stimulus is not None and not files.stimulus_audit(stimulus, test.select("clip_id").union(train.select("clip_id"))).isEmpty():
         raise ValueError("stimulus features must hold each clip once")
+    if a.duplicates and files.exists(spark, a.duplicates):
+        train = design.excluded_duplicates(train, files.csv(spark, a.duplicates, "clip_id_1 int, clip_id_2 int"))
     subset = design.alignment_subset(train, design.label_clarity(votes, files.VOTE_COLUMNS), stimulus, a.per_class)
+    sizes = train.groupBy("label").agg(F.count("*").alias("n"))
+    wrong = design.class_count_errors(subset, sizes.select("label", F.when(F.col("label") == design.WHOLE_LABEL, F.col("n")).otherwise(F.least("n", F.lit(a.per_class))).alias("expected")))
+    if found := wrong.take(7):
+        raise ValueError(f"the alignment subset has unexpected class counts: {found}")
+    if a.frames:
+        lost = integrity.missing_clips(test.select("clip_id").union(subset.select("clip_id")), _frames(spark, a.frames))
+        if found := lost.take(10):
+            raise ValueError(f"the frame source lacks selected clips, such as {[r.clip_id for r in found]}")
     study = S.empty_study(spark)
     tasks, work = design.prepare_study(test, subset, a.raters, a.second, a.hidden, a.gap)
     people = spark.createDataFrame([(c, c, 1) for c in a.raters], "code string, display_name string, active int")
@@ -65,10 +93,16 @@ def prepare_study(spark, a):
 
 def select_calibration(spark, a):
     votes = files.csv(spark, a.votes, ", ".join(f"`{c}` int" for c in files.VOTE_COLUMNS) + ", order int, label int", (*files.VOTE_COLUMNS, "order", "label"))
+    if not design.vote_violations(votes, files.VOTE_COLUMNS).isEmpty():
+        raise ValueError("votes must not be negative and must add up to 10")
     used = store.load(spark, a.study)["tasks"].where("split = 'train_alignment'").select("clip_id", F.lit(True).alias("main_study_overlap")).distinct()
     own = design.label_clarity(votes, files.VOTE_COLUMNS, validate=True).join(votes.select(F.col("order").alias("clip_id"), "label"), "clip_id")
     tested = store.load(spark, a.study)["tasks"].where("split = 'test'").select("clip_id")
     rows = own.join(tested, "clip_id", "left_anti").join(used, "clip_id", "left").fillna(False, ["main_study_overlap"])
+    if a.frames:
+        rows = rows.join(frames.complete_clips(_frames(spark, a.frames)).select("clip_id"), "clip_id", "left_semi")
+    if found := design.calibration_shortfall(rows, a.per_class).take(7):
+        raise ValueError(f"too few eligible calibration clips: {found}")
     picked = design.calibration_frames(design.calibration_selection(rows, a.per_class))
     files.write_csv(picked, f"{a.output}/key")
     manifest = picked.select("clip_id", F.lit("frame").alias("task_type"), "frame_index").unionByName(picked.select("clip_id", F.lit("clip").alias("task_type"), F.lit(None).cast("int").alias("frame_index")))
@@ -100,7 +134,8 @@ def annotator_check(spark, a):
     study = store.load(spark, a.study)
     if study["annotators"].where("active = 1").count() != 1:
         raise ValueError("a rater's bundle holds exactly one active rater")
-    integrity.missing_clips(_assigned(study), _frames(spark, a.frames)).show(8)
+    if found := integrity.missing_targets(_assigned(study), _frames(spark, a.frames)).take(8):
+        raise ValueError(f"the frame source lacks clips of the tasks, such as {[r.clip_id for r in found]}")
 
 
 def status(spark, a):
@@ -130,6 +165,26 @@ def export(spark, a):
     files.bundle_json(out["bundle"]).write.text(f"{a.output}/bundle.json")
 
 
+def export_package(spark, a):
+    """A rater's finished work as files: refused until all assignments are complete."""
+    study = store.load(spark, a.study)
+    own = exchange.rater_bundle(study, a.rater)
+    counts = progress.status_counts(_assigned(own), "annotator_code", "task_type", "split")
+    gate = progress.completion_gate(counts, "annotator_code").first()
+    if gate is None or not gate.all_complete:
+        raise ValueError(f"{a.rater} has not completed all assignments")
+    about = exchange.export_results(study, a.rater)["bundle"].first().asDict()
+    about |= {"exported_at": about["exported_at"].isoformat(), "design_version": about["design_version"] or "unknown", "total_assignments": about["completed_assignments"]}
+    tasks = own["tasks"].join(own["assignments"].select("task_uuid", "queue_position"), "task_uuid")
+    columns = {t: [f.name for f in S.schema(t).fields] for t in ("assignments", "tasks", "frame_ratings", "clip_ratings")}
+    files.package(spark, about, {"assignments": (own["assignments"], columns["assignments"], "queue_position"), "tasks": (tasks, columns["tasks"], "queue_position"), "frame_ratings": (own["frame_ratings"], columns["frame_ratings"], "assignment_uuid"), "clip_ratings": (own["clip_ratings"], columns["clip_ratings"], "assignment_uuid")}, a.output)
+
+
+def release_check(spark, a):
+    if found := files.release_findings(spark, a.folder).take(30):
+        raise ValueError(f"not to be published: {[tuple(r) for r in found]}")
+
+
 def merge(spark, a):
     bundles = files.bundle_folders(spark, a.folders, _RATING_CSV)
     bundles["clip_ratings"] = bundles["clip_ratings"].withColumn("intensities", F.from_json("intensities", "array<double>"))
@@ -140,22 +195,21 @@ def create_adjudications(spark, a):
     study = store.load(spark, a.study)
     new = agreement.new_adjudications(_rated(study), study["tasks"], study["annotators"], study["assignments"])
     new.where("problem IS NOT NULL").select("task_uuid", "problem").show(30)
-    good = new.where("problem IS NULL")
+    good = new.where("problem IS NULL AND NOT assigned")
     work = exchange.inserted(study["assignments"], good.select("assignment_uuid", "task_uuid", "annotator_code", "role", "queue_position", F.lit("pending").alias("status")), ["assignment_uuid"])
-    cases = exchange.upserted(study["adjudication_cases"], good.select("task_uuid", "reasons", F.lit("pending").alias("status"), F.current_timestamp().alias("created_at")), ["task_uuid"])
-    store.save(study | {"assignments": work, "adjudication_cases": cases}, a.study)
+    store.save(study | {"assignments": work, "adjudication_cases": agreement.refreshed_cases(study["adjudication_cases"], new)}, a.study)
 
 
 def export_consensus(spark, a):
     study = store.load(spark, a.study)
     agreed = agreement.consensus(_rated(study), carry=("clip_id", "split"))
-    files.write_csv(agreed.select("clip_id", "split", "n_ratings", "category", *wide_curve(F.col("curve")), *DESCRIPTORS), f"{a.output}/trajectory_consensus", nan_text="nan")
-    files.write_csv(agreement.adjudication_records(agreed), f"{a.output}/adjudications")
+    files.write_csv(agreement.consensus_table(agreed), f"{a.output}/trajectory_consensus", nan_text="nan")
+    files.write_csv(agreement.adjudication_table(agreed), f"{a.output}/adjudications")
     work = study["assignments"].join(study["tasks"].where("split <> 'calibration'"), "task_uuid").join(study["frame_ratings"], "assignment_uuid")
     rows = work.select("task_uuid", "source_task_uuid", "repeat_kind", "annotator_code", "clip_id", F.col("frame_index").alias("frame"), F.col("visible_category").alias("category"), "intensity")
     if not agreement.primary_duplicates(rows).isEmpty():
         raise ValueError("a test frame has more than one primary rating")
-    files.write_csv(rows.where("repeat_kind = 'none'").select("clip_id", "frame", "annotator_code", "category", "intensity"), f"{a.output}/frame_primary")
+    files.write_csv(rows.where("repeat_kind = 'none'").select("clip_id", "frame", "annotator_code", F.col("category").alias("visible_category"), "intensity"), f"{a.output}/frame_primary")
     files.write_csv(agreement.reliability_pairs(rows), f"{a.output}/frame_reliability_pairs")
     files.write_csv(rows, f"{a.output}/raw_frames", compression="gzip")
     files.write_csv(_rated(study), f"{a.output}/raw_clips", compression="gzip")
@@ -179,8 +233,9 @@ def make_demo(spark, a):
 #: Each command with the options it takes beside --study.
 COMMANDS = {
     init_db: {}, status: {}, next_task: {}, create_adjudications: {},
-    prepare_study: {"test": {}, "train": {}, "votes": {}, "stimulus": {"default": None}, "duplicates": {"default": None}, "raters": {"nargs": 2}, "second": {"type": float, "default": 0.10}, "hidden": {"type": float, "default": 0.02}, "gap": {"type": int, "default": 9}, "per-class": {"type": int, "default": 380}},
-    select_calibration: {"votes": {}, "output": {}, "per-class": {"type": int, "default": 4}},
+    prepare_study: {"config": {"default": None}, "test": {"default": None}, "train": {"default": None}, "votes": {"default": None}, "stimulus": {"default": None}, "duplicates": {"default": None}, "frames": {"default": None}, "raters": {"nargs": "+", "default": None}, "second": {"type": float, "default": None}, "hidden": {"type": float, "default": None}, "gap": {"type": int, "default": None}, "per-class": {"type": int, "default": None}},
+    select_calibration: {"votes": {}, "output": {}, "frames": {"default": None}, "per-class": {"type": int, "default": 4}},
+    export_package: {"rater": {}, "output": {}}, release_check: {"folder": {}},
     prepare_calibration: {"manifest": {}, "raters": {"type": int, "default": 3}},
     calibration_report: {"output": {}}, prepare_practice: {"frames": {}, "output": {}}, annotator_check: {"frames": {}},
     workload_report: {"output": {}}, backup: {"output": {}}, make_annotator_bundle: {"rater": {}, "output": {}}, export: {"rater": {}, "output": {}},
@@ -193,7 +248,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     commands = parser.add_subparsers(required=True)
     for run, options in COMMANDS.items():
         own = commands.add_parser(run.__name__.replace("_", "-"))
-        own.add_argument("--study", type=Path, required=run is not make_demo)
+        own.add_argument("--study", type=Path, required=run not in (make_demo, release_check))
         for name, kind in options.items():
             own.add_argument(f"--{name}", **({"required": True} | kind if "default" not in kind and "action" not in kind else kind))
         own.set_defaults(run=run)

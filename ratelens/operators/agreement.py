@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.trajectory import with_descriptors
+from ..functions.trajectory import DESCRIPTORS, with_descriptors
 from ..schemas import NO_CONSENSUS
 
 #: Differences that call for a third rating: of intensity at any point, and of apex positions.
@@ -80,24 +80,55 @@ def adjudication_records(agreed: DataFrame, key: str = "task_uuid") -> DataFrame
     return agreed.where("needed").select(key, F.array_join("reasons", "|").alias("reasons"), third.code.alias("third_annotator"), third.category.alias("third_category"), third.curve.alias("third_curve"), F.col("category").alias("final_category"), F.col("curve").alias("final_curve"), F.lit("complete").alias("status"))
 
 
+def _json_list(values: Column) -> Column:
+    """A list of numbers as JSON text."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: x.cast("string")), ", "), F.lit("]"))
+
+
+def consensus_table(agreed: DataFrame) -> DataFrame:
+    """The exported consensus: a row for each clip with its category, its curve (as text and point by point) and descriptors.
+
+    agreed: consensus() with the columns clip_id and split carried along.
+    """
+    rounded = F.transform("curve", lambda x: F.bround(x, 6))
+    scalars = [d for d in DESCRIPTORS if d != "adjacent_differences"]
+    return agreed.select("clip_id", "split", "n_ratings", F.col("category").alias("dominant_category"), _json_list(rounded).alias("intensities_json"), *C.wide_curve(F.col("curve")), *scalars, _json_list(F.transform("adjacent_differences", lambda x: F.bround(x, 6))).alias("adjacent_differences_json"))
+
+
+def adjudication_table(agreed: DataFrame) -> DataFrame:
+    """The exported adjudications: what third ratings said and what came of them."""
+    third = F.get(F.col("third"), F.lit(0))
+    said = F.transform(third.curve, lambda x: F.when(x == F.floor(x), x.cast("int").cast("string")).otherwise(x.cast("string")))
+    return agreed.where("needed").select("clip_id", "split", F.array_join("reasons", "|").alias("reasons"), third.code.alias("third_annotator"), third.category.alias("third_category"), _json_list(said).alias("third_intensities_json"), F.col("category").alias("final_category"), _json_list(F.transform("curve", lambda x: F.bround(x, 6))).alias("final_intensities_json"), F.lit("complete").alias("status"))
+
+
 def new_adjudications(ratings: DataFrame, tasks: DataFrame, annotators: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Third ratings to assign: rows (task_uuid, reasons, annotator_code, assignment_uuid, role, queue_position, problem).
+    """Third ratings that are needed: rows (task_uuid, reasons, annotator_code, assignment_uuid, role, queue_position, problem, assigned).
 
-    Only clip tasks outside calibration whose two base ratings disagree and which have no adjudication yet. Where there
-    is not exactly one other active rater, the problem says so and no rater is named. New cases of a rater follow the
-    rater's queue.
+    Clip tasks outside calibration whose two base ratings disagree. assigned says that the rater has the adjudication
+    already (its case is refreshed, nothing is added, queue_position is null). Where there is not exactly one other active
+    rater, the problem says so and no rater is named. New cases of a rater follow the rater's queue.
     """
     wanted = tasks.where("task_type = 'clip' AND split <> 'calibration'").select("task_uuid")
     own = ratings.join(wanted, "task_uuid", "left_semi")
-    open_cases = disagreements(own).where("needed").join(assignments.where("role = 'adjudication'").select("task_uuid"), "task_uuid", "left_anti")
     raters = own.where("role <> 'adjudication'").groupBy("task_uuid").agg(F.collect_set("annotator_code").alias("had"))
     active = annotators.where("active = 1").agg(F.collect_set("code").alias("codes"))  # one row
-    rows = open_cases.join(raters, "task_uuid").crossJoin(F.broadcast(active)).withColumn("_free", F.array_except("codes", "had"))
+    rows = disagreements(own).where("needed").join(raters, "task_uuid").crossJoin(F.broadcast(active)).withColumn("_free", F.array_except("codes", "had"))
     rows = rows.withColumn("annotator_code", F.when(F.size("_free") == 1, F.col("_free")[0])).withColumn("problem", F.when(F.size("_free") != 1, F.lit("no unique third rater")))
+    there = assignments.where("role = 'adjudication'").select("task_uuid", "annotator_code", F.lit(True).alias("assigned")).distinct()
+    rows = rows.join(there, ["task_uuid", "annotator_code"], "left").withColumn("assigned", F.coalesce("assigned", F.lit(False)))
     last = assignments.groupBy("annotator_code").agg(F.max("queue_position").alias("_last"))
-    by = Window.partitionBy("annotator_code").orderBy("task_uuid")
-    rows = rows.join(last, "annotator_code", "left").withColumn("queue_position", F.when(F.col("annotator_code").isNotNull(), F.coalesce("_last", F.lit(0)) + F.row_number().over(by)))
-    return rows.select("task_uuid", "reasons", "annotator_code", F.when(F.col("annotator_code").isNotNull(), C.stable_uuid("assignment", F.col("task_uuid"), F.col("annotator_code"), "adjudication")).alias("assignment_uuid"), F.lit("adjudication").alias("role"), "queue_position", "problem")
+    by = Window.partitionBy("annotator_code", "assigned").orderBy("task_uuid")
+    rows = rows.join(last, "annotator_code", "left").withColumn("queue_position", F.when(F.col("annotator_code").isNotNull() & ~F.col("assigned"), F.coalesce("_last", F.lit(0)) + F.row_number().over(by)))
+    return rows.select("task_uuid", "reasons", "annotator_code", F.when(F.col("annotator_code").isNotNull(), C.stable_uuid("assignment", F.col("task_uuid"), F.col("annotator_code"), "adjudication")).alias("assignment_uuid"), F.lit("adjudication").alias("role"), "queue_position", "problem", "assigned")
+
+
+def refreshed_cases(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """The adjudication cases after a scan: found ones get their reasons anew and keep their status (pending if new)."""
+    known = cases.select("task_uuid", F.col("status").alias("_status"))
+    new = found.where("problem IS NULL").select("task_uuid", "reasons").join(known, "task_uuid", "left")
+    new = new.select("task_uuid", "reasons", F.coalesce("_status", F.lit("pending")).alias("status"), F.current_timestamp().alias("created_at"))
+    return cases.join(new.select("task_uuid"), "task_uuid", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def reliability_pairs(frames: DataFrame, keys: tuple[str, ...] = ("clip_id", "frame")) -> DataFrame:

@@ -16,6 +16,8 @@ from ..schemas import CURVE_POINTS, EMOTIONS
 
 #: Fixed values of the design: the class that is kept whole, and the frames that calibration cycles through.
 WHOLE_LABEL, CALIBRATION_FRAMES = 6, [2, 6, 11, 15]
+#: The tiers of a duplicate review that exclude training clips.
+NEAR_TIERS = ["very_high_similarity", "high_similarity"]
 
 
 def shuffled(seed: int, *keys: str | Column) -> Column:
@@ -64,7 +66,7 @@ def stratified_sample(rows: DataFrame, strata: list[str], fraction: float, order
     return numbered.join(taken.select(*strata, "allocated"), strata).where("_rank <= allocated").drop("_rank", "allocated")
 
 
-def alignment_subset(train: DataFrame, clarity: DataFrame, stimulus: DataFrame | None = None, per_class: int = 380, seed: int = 20260912) -> DataFrame:
+def alignment_subset(train: DataFrame, clarity: DataFrame, stimulus: DataFrame | None = None, per_class: int = 380, seed: int = 1) -> DataFrame:
     """The training clips for human alignment: one class whole, the others at most per_class clips, spread over strata
     of vote entropy, original length and motion; sorted by label and clip where written."""
     rows = train.join(clarity, "clip_id", "left")
@@ -105,7 +107,7 @@ def primary_index(strata: list[str], order: list[Column], offset: Column, raters
     return F.pmod(place + offset, F.lit(raters)).cast("int")
 
 
-def frame_design(test: DataFrame, raters: list[str], second_fraction: float, hidden_fraction: float, seed: int = 20260912) -> tuple[DataFrame, DataFrame]:
+def frame_design(test: DataFrame, raters: list[str], second_fraction: float, hidden_fraction: float, seed: int = 2) -> tuple[DataFrame, DataFrame]:
     """Frame tasks and their assignments: a primary rater for each frame, second ratings and hidden repeats for samples."""
     if len(raters) != 2:
         raise ValueError("the formal study takes exactly two raters")
@@ -134,7 +136,7 @@ def clip_design(clips: DataFrame, split: str, raters: list[str]) -> tuple[DataFr
     return tasks, rows.select(C.stable_uuid("assignment", F.col("task_uuid"), F.col("r.code"), F.concat(F.lit("clip"), F.col("r.i").cast("string"))).alias("assignment_uuid"), "task_uuid", F.col("r.code").alias("annotator_code"), role.alias("role"), "clip_id")
 
 
-def spaced(items: list[tuple[str, int]], gap: int) -> list[str]:
+def spaced(items: list[tuple[str, int]], gap: int) -> list[tuple[str, int]]:
     """An order of (id, clip) items in which more than gap places lie between two of one clip: always the free clip
     with most items left, the one met first among equals. Raises if no clip is free."""
     waiting: dict[int, deque[str]] = defaultdict(deque)
@@ -146,7 +148,7 @@ def spaced(items: list[tuple[str, int]], gap: int) -> list[str]:
         free[len(own)].add(rank[clip])
     clips = list(waiting)
     resting: deque[tuple[int, int]] = deque()
-    out: list[str] = []
+    out: list[tuple[str, int]] = []
     top = len(free) - 1
     while len(out) < len(items):
         while resting and resting[0][0] <= len(out):
@@ -160,13 +162,13 @@ def spaced(items: list[tuple[str, int]], gap: int) -> list[str]:
         number = min(free[top])
         free[top].discard(number)
         clip = clips[number]
-        out.append(waiting[clip].popleft())
+        out.append((waiting[clip].popleft(), clip))
         if waiting[clip]:
             resting.append((len(out) + gap, clip))
     return out
 
 
-def scheduled(items: DataFrame, gap: int, seed: int = 9100, rater: str = "annotator_code", item: str = "assignment_uuid", clip: str = "clip_id") -> DataFrame:
+def scheduled(items: DataFrame, gap: int, seed: int = 5, rater: str = "annotator_code", item: str = "assignment_uuid", clip: str = "clip_id") -> DataFrame:
     """Rows (rater, item, clip, position): each rater's items in an order that keeps the gap.
 
     The order of one rater is sequential by nature, so a task works through one rater's list after another; raters are
@@ -177,10 +179,9 @@ def scheduled(items: DataFrame, gap: int, seed: int = 9100, rater: str = "annota
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
         for code, own in groupby(ordered, key=lambda r: r[0]):
-            clips = {r[1]: r[2] for r in own}
-            placed = spaced(list(clips.items()), gap)
+            placed = spaced([(r[1], r[2]) for r in own], gap)
             n = len(placed)
-            yield pa.RecordBatch.from_arrays([pa.array([code] * n, arrow), pa.array(placed), pa.array([clips[x] for x in placed], pa.int64()), pa.array(range(1, n + 1), pa.int32())], names=["rater", "item", "clip", "position"])
+            yield pa.RecordBatch.from_arrays([pa.array([code] * n, arrow), pa.array([x for x, _ in placed], pa.string()), pa.array([c for _, c in placed], pa.int64()), pa.array(range(1, n + 1), pa.int32())], names=["rater", "item", "clip", "position"])
 
     kind = items.schema[rater].dataType
     arrow = to_arrow_type(kind)
@@ -189,7 +190,7 @@ def scheduled(items: DataFrame, gap: int, seed: int = 9100, rater: str = "annota
     return out.select(F.col("rater").alias(rater), F.col("item").alias(item), F.col("clip").alias(clip), "position")
 
 
-def queues(frames: DataFrame, clips: DataFrame, seed: int = 9200) -> DataFrame:
+def queues(frames: DataFrame, clips: DataFrame, seed: int = 6) -> DataFrame:
     """Queue positions from 1: scheduled frames first, then clips in shuffled order."""
     rows = frames.select("annotator_code", "assignment_uuid", F.lit(0).alias("_phase"), F.col("position").cast("string").alias("_tie"), F.col("position").alias("_at"))
     rows = rows.unionByName(clips.select("annotator_code", "assignment_uuid", F.lit(1).alias("_phase"), shuffled(seed, "assignment_uuid").alias("_tie"), F.lit(0).alias("_at")))
@@ -246,14 +247,14 @@ def prepare_calibration(manifest: DataFrame, annotators: DataFrame, tasks: DataF
     size = manifest.count()
     shifted = assignments.join(codes, assignments.annotator_code == codes.code, "left").withColumn("queue_position", F.col("queue_position") + F.when(F.col("code").isNotNull(), size).otherwise(0)).drop("code")
     new_tasks = new.select("task_uuid", "task_type", F.lit("calibration").alias("split"), "clip_id", "frame_index", F.lit(None).cast("string").alias("source_task_uuid"), F.lit("none").alias("repeat_kind")).dropDuplicates(["task_uuid"])
-    work = new.crossJoin(codes.withColumnRenamed("code", "annotator_code"))  # a handful of raters
+    work = new.crossJoin(F.broadcast(codes.withColumnRenamed("code", "annotator_code")))  # n_raters rows, as checked
     work = work.select(C.stable_uuid("assignment", F.col("task_uuid"), F.col("annotator_code"), "calibration").alias("assignment_uuid"), "task_uuid", "annotator_code", F.lit("primary").alias("role"), F.col(position).alias("queue_position"), F.lit("pending").alias("status"))
     out_tasks = tasks.unionByName(new_tasks.join(tasks.select("task_uuid"), "task_uuid", "left_anti"), allowMissingColumns=True)
     out_work = shifted.unionByName(work.join(assignments.select("assignment_uuid"), "assignment_uuid", "left_anti"), allowMissingColumns=True)
     return out_tasks, out_work
 
 
-def practice_set(clips: DataFrame, formal: DataFrame, frames: int = 14, clip_tasks: int = 7, seed: int = 20260912) -> DataFrame:
+def practice_set(clips: DataFrame, formal: DataFrame, frames: int = 14, clip_tasks: int = 7, seed: int = 7) -> DataFrame:
     """Practice tasks from complete clips outside the formal study: rows (position, task_type, clip_id, frame_index)."""
     eligible = clips.select("clip_id").distinct().join(formal.select("clip_id"), "clip_id", "left_anti")
     picked = eligible.orderBy(shuffled(seed, "clip_id"), "clip_id").limit(frames + clip_tasks)
@@ -266,7 +267,7 @@ def excluded_duplicates(train: DataFrame, duplicates: DataFrame) -> DataFrame:
     """train without the clips that close duplicates name on their training side; without tiers nothing is excluded."""
     if "review_tier" not in duplicates.columns:
         return train
-    near = duplicates.where(F.col("review_tier").isin("very_high", "high"))
+    near = duplicates.where(F.col("review_tier").isin(*NEAR_TIERS))
     ends = near.select(F.col("split_1").alias("split"), F.col("clip_id_1").alias("clip_id")).union(near.select("split_2", "clip_id_2"))
     return train.join(ends.where("split = 'train'").select("clip_id").distinct(), "clip_id", "left_anti")
 

@@ -9,11 +9,13 @@ from ..functions import columns as C
 
 Study = dict[str, DataFrame]
 RATINGS = ("frame_ratings", "clip_ratings")
+FLAGS = ("occlusion", "speaking", "abrupt_change", "subject_switch")
 
 
 def latest(rows: DataFrame, keys: list[str], *newest: str) -> DataFrame:
-    """One row for each key: the newest by the given columns (an upsert's result)."""
-    by = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in newest])
+    """One row for each key: the newest by the given columns, ties by all other columns (an upsert's result)."""
+    rest = [f.name for f in rows.schema.fields if f.name not in (*keys, *newest) and f.dataType.typeName() != "map"]
+    by = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in (*newest, *rest)])
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
@@ -36,6 +38,8 @@ def save_ratings(study: Study, kind: str, ratings: DataFrame) -> tuple[Study, Da
     error = C.frame_rating_error(F.col("visible_category"), F.col("intensity")) if kind == "frame_ratings" else C.clip_rating_error(F.col("dominant_category"), F.col("intensities"))
     known = study["assignments"].select("assignment_uuid", F.lit(True).alias("_known"))
     checked = ratings.join(known, "assignment_uuid", "left").withColumn("error", F.coalesce(F.when(F.col("_known").isNull(), F.lit("assignment")), error)).drop("_known")
+    if kind == "clip_ratings":
+        checked = checked.withColumns({c: C.flag(F.col(c)) for c in FLAGS if c in checked.columns})
     good = latest(checked.where("error IS NULL"), ["assignment_uuid"], "submitted_at")
     done = good.select("assignment_uuid", F.col("submitted_at").alias("_at"), C.duration(F.col("duration_ms")).alias("_ms"))
     work = study["assignments"].join(done, "assignment_uuid", "left")
@@ -97,8 +101,8 @@ def export_results(study: Study, rater: str) -> Study:
 
 
 def merge_problems(study: Study, bundles: Study) -> DataFrame:
-    """Assignments of bundles that the study does not know, or knows with another task, rater or role."""
-    keys = ("task_uuid", "annotator_code", "role")
+    """Assignments of bundles that the study does not know, or knows with another task or rater."""
+    keys = ("task_uuid", "annotator_code")
     known = study["assignments"].select("assignment_uuid", *[F.col(c).alias(f"own_{c}") for c in keys])
     rows = bundles["assignments"].select("assignment_uuid", *keys).join(known, "assignment_uuid", "left")
     differs = F.col("own_task_uuid").isNull()
@@ -110,22 +114,27 @@ def merge_problems(study: Study, bundles: Study) -> DataFrame:
 def merged(study: Study, bundles: Study) -> Study:
     """The study with all bundles that it has not imported yet; raises if any assignment does not fit (nothing is taken).
 
-    bundles: tables of one or more exports, each row with its bundle_id; bundle has bundle_id, design_version and
-    source_path. The checks collect a count and the design versions only.
+    bundles: tables of one or more exports, each row with its bundle_id; bundle has bundle_id, design_version, source_path
+    and, where the order of bundles matters, their number: what a later one holds wins. Imported assignments are complete.
+    The checks collect a count and the design versions only.
     """
-    new = bundles["bundle"].join(study["import_log"].select("bundle_id"), "bundle_id", "left_anti")
-    fresh = {t: bundles[t].join(new.select("bundle_id"), "bundle_id", "left_semi") for t in ("assignments", *RATINGS)}
+    about = bundles["bundle"] if "number" in bundles["bundle"].columns else bundles["bundle"].withColumn("number", F.lit(0))
+    new = about.join(study["import_log"].select("bundle_id"), "bundle_id", "left_anti")
+    new = new.withColumn("_n", F.row_number().over(Window.partitionBy("bundle_id").orderBy("number", "source_path"))).where("_n = 1").drop("_n")
+    fresh = {t: bundles[t].join(new.select("bundle_id", F.col("number").alias("_number")), "bundle_id") for t in ("assignments", *RATINGS)}
     version = study["study_meta"].where("key = 'design_version'").select("value").first()
     if version and not new.where(~F.col("design_version").eqNullSafe(F.lit(version[0]))).isEmpty():
         raise ValueError("a bundle is of another design version")
     if not merge_problems(study, fresh).isEmpty():
         raise ValueError("a bundle holds assignments that the study does not know")
-    done = fresh["assignments"].select("assignment_uuid", *[F.col(c).alias(f"new_{c}") for c in ("status", "started_at", "completed_at", "duration_ms")]).dropDuplicates(["assignment_uuid"])
+    times = ("started_at", "completed_at", "duration_ms")
+    done = latest(fresh["assignments"], ["assignment_uuid"], "_number").select("assignment_uuid", F.lit("complete").alias("new_status"), *[F.col(c).alias(f"new_{c}") for c in times])
     work = study["assignments"].join(done, "assignment_uuid", "left")
-    work = work.withColumns({c: F.when(F.col("new_status").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)) for c in ("started_at", "completed_at", "duration_ms")} | {"status": F.coalesce("new_status", "status")})
+    work = work.withColumns({c: F.when(F.col("new_status").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)) for c in times} | {"status": F.coalesce("new_status", "status")})
     out = study | {"assignments": work.select(*study["assignments"].columns)}
     for t in RATINGS:
-        out[t] = upserted(study[t], latest(fresh[t].select(*study[t].columns), ["assignment_uuid"], "submitted_at"), ["assignment_uuid"])
+        rated = latest(fresh[t], ["assignment_uuid"], "_number", "submitted_at").withColumn("submitted_at", F.coalesce("submitted_at", F.current_timestamp()))
+        out[t] = upserted(study[t], rated.select(*study[t].columns), ["assignment_uuid"])
     counts = fresh["assignments"].groupBy("bundle_id").agg(F.count("*").cast("int").alias("rows_imported"))
     log = new.join(counts, "bundle_id", "left").select("bundle_id", F.current_timestamp().alias("imported_at"), "source_path", F.coalesce("rows_imported", F.lit(0)).alias("rows_imported"))
     return out | {"import_log": study["import_log"].unionByName(log)}

@@ -99,3 +99,13 @@ def missing_clips(wanted: DataFrame, frames: DataFrame) -> DataFrame:
     """Clips of a rater's tasks that do not have all frames."""
     whole = frames.groupBy("clip_id").agg(F.count_distinct("frame_index").alias("n")).where(F.col("n") == S.CURVE_POINTS)
     return wanted.select("clip_id").distinct().join(whole, "clip_id", "left_anti")
+
+
+def targets(assigned: DataFrame, *keys: str) -> DataFrame:
+    """The different images that raters see: rows (keys, clip_id, frame_index), a clip's task standing for its first frame."""
+    return assigned.select(*keys, "clip_id", F.coalesce("frame_index", F.lit(1)).alias("frame_index")).distinct()
+
+
+def missing_targets(assigned: DataFrame, frames: DataFrame) -> DataFrame:
+    """The clips among the targets that do not have all frames."""
+    return missing_clips(targets(assigned), frames)

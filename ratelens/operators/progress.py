@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 
 def with_tasks(assignments: DataFrame, tasks: DataFrame, *columns: str) -> DataFrame:
     """Assignments with columns of their tasks (assignments without a task are left out)."""
@@ -43,6 +45,12 @@ def workload(assigned: DataFrame, rater: str = "annotator_code", kind: str = "ta
     return out.select(rater, kind, split, "total", "completed", left.alias("remaining"), (pace / 1000).alias("median_completed_seconds"), (left * pace / 3.6e6).alias("estimated_remaining_hours"))
 
 
+def logged_in(annotators: DataFrame, entered: DataFrame, text: str = "text") -> DataFrame:
+    """Entered codes that belong to an active rater, blanks and case aside: the rows of entered with the rater's code."""
+    active = annotators.where("active = 1").select("code")
+    return entered.withColumn("code", C.login_code(F.col(text))).join(active, "code", "left_semi")
+
+
 def active_time(events: DataFrame, key: str, at_ms: Column, visible: Column, cap_ms: int = 60_000, order: tuple[str, ...] = ()) -> DataFrame:
     """Milliseconds of activity: gaps between events up to a cap, counted while the page was visible before the event."""
     rows = events.select(key, at_ms.alias("_at"), visible.alias("_visible"), *order)

@@ -11,9 +11,9 @@ from ..functions import columns as C
 from ..functions.trajectory import DESCRIPTORS, with_descriptors
 from ..operators import agreement, design, exchange, integrity, progress
 from ..sources import files
-from . import adapters
+from . import adapters, study, study_sql
 from .adapters import load
-from .sql import SQL  # noqa: F401
+from .sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,14 +73,11 @@ def unassigned(spark, sf):
     return load(spark, sf, "orders").select(F.col("o_orderkey").alias("task_uuid")).join(adapters.assigned(spark, sf).select("task_uuid"), "task_uuid", "left_anti")
 
 
-
-
 @query
 def vote_clarity(spark, sf):
     events = load(spark, sf, "events")
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(5).collect()]
-    votes = events.groupBy(F.col("user_id").alias("order")).agg(*[F.count_if(F.col("event_type") == k).alias(f"v{i}") for i, k in enumerate(kinds)])
-    return _round(design.label_clarity(votes, [f"v{i}" for i in range(len(kinds))]), "vote_entropy")
+    votes = events.groupBy(F.col("user_id").alias("order")).agg(*[F.count_if(F.col("event_id") % 7 * (F.col("event_id") % 3) % 7 == i).alias(v) for i, v in enumerate(files.VOTE_COLUMNS)])
+    return _round(design.label_clarity(votes, files.VOTE_COLUMNS), "vote_entropy")
 
 
 @query
@@ -136,10 +133,16 @@ def calibration_pick(spark, sf):
     return design.calibration_frames(picked).select("label", "clip_id", "calibration_profile", "frame_index")
 
 
+@query
+def manifest_violations(spark, sf):
+    rows = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("clip_id"), F.when(F.col("l_linenumber") == 7, "image").when(F.col("l_linenumber") == 6, "clip").otherwise("frame").alias("task_type"), F.when(F.col("l_linenumber") < 5, F.col("l_suppkey") % 18).alias("frame_index"))
+    return files.manifest_violations(rows)
+
+
 @query
 def practice_set(spark, sf):
     clips = load(spark, sf, "documents").select(F.col("doc_id").alias("clip_id"))
-    return design.practice_set(clips, clips.where("clip_id % 3 = 0"))
+    return design.practice_set(clips, load(spark, sf, "labels").select(F.col("doc_id").alias("clip_id")))
 
 
 @query
@@ -148,14 +151,6 @@ def gap_violations(spark, sf):
     return rows.select("user_id", "event_type", "event_id", "position", "previous")
 
 
-@query
-def gap_schedule(spark, sf):
-    """Each user's orders as frame tasks of a clip, in an order that keeps a gap of one task (not SQL: invariants are tested)."""
-    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("annotator_code"), F.col("o_orderkey").alias("assignment_uuid"), (F.col("o_orderkey") % 1009).alias("clip_id"))
-    once = orders.withColumn("n", F.count("*").over(Window.partitionBy("annotator_code", "clip_id"))).where("n = 1").drop("n")
-    return design.scheduled(once, 1)
-
-
 @query
 def active_time(spark, sf):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -179,6 +174,12 @@ def trajectory_wide(spark, sf):
     return adapters.clip_ratings(spark, sf).select("task_uuid", "annotator_code", "category", *C.wide_curve(F.col("curve")))
 
 
+@query
+def adjacent_differences(spark, sf):
+    rows = with_descriptors(adapters.clip_ratings(spark, sf), "curve", "category")
+    return rows.select("task_uuid", "annotator_code", F.posexplode("adjacent_differences").alias("position", "difference"))
+
+
 _SCALARS = [d for d in DESCRIPTORS if d != "adjacent_differences"]
 
 
@@ -227,28 +228,18 @@ def calibration_summary(spark, sf):
     return _round(agreement.calibration_summary(agreement.calibration_report(adapters.clip_ratings(spark, sf))), "unanimity", "mean_gap")
 
 
-@query
-def merge_check(spark, sf):
-    known = load(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("assignment_uuid"), F.col("o_custkey").alias("task_uuid"), F.col("o_orderstatus").alias("annotator_code"), F.lit("primary").alias("role"))
-    sent = load(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("assignment_uuid"), F.when(F.col("o_orderkey") % 6 == 0, -1).otherwise(F.col("o_custkey")).alias("task_uuid"), F.col("o_orderstatus").alias("annotator_code"), F.lit("primary").alias("role"))
-    return exchange.merge_problems({"assignments": known}, {"assignments": sent})
-
-
 @query
 def upsert(spark, sf):
     orders = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    new = orders.where("o_orderkey % 4 = 0").select((F.col("o_orderkey") + 2).alias("o_orderkey"), F.lit(0.0).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))
+    new = orders.select((F.col("o_orderkey") * 2).alias("o_orderkey"), F.lit(0.0).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))
     return exchange.upserted(orders, new, ["o_orderkey"])
 
 
 @query
-def constraint_violations(spark, sf):
-    lines, orders = load(spark, sf, "lineitem"), load(spark, sf, "orders").where("o_orderkey % 10 <> 0")
-    out = integrity.unique(lines, "unique", "l_orderkey", "l_linenumber")
-    out = out.unionAll(integrity.references(lines, "reference", "l_linenumber", "l_orderkey", orders, "o_orderkey"))
-    out = out.unionAll(integrity.in_domain(orders, "domain", "o_orderkey", "o_orderstatus", ["O", "F"]))
-    out = out.unionAll(integrity.in_range(lines, "range", "l_orderkey", "l_linenumber", 2, 6))
-    return out.groupBy("check", "subject", "detail").agg(F.count("*").alias("n"))
+def insert_new(spark, sf):
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    new = orders.select((F.col("o_orderkey") * 2).alias("o_orderkey"), F.lit(0.0).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))
+    return exchange.inserted(orders, new, ["o_orderkey"])
 
 
 @query
@@ -289,19 +280,23 @@ def split_first(spark, sf):
 def excluded_duplicates(spark, sf):
     train = load(spark, sf, "customer").select(F.col("c_custkey").alias("clip_id"))
     orders = load(spark, sf, "orders")
-    near = orders.select(F.when(F.col("o_orderkey") % 3 == 0, "very_high").when(F.col("o_orderkey") % 3 == 1, "high").otherwise("low").alias("review_tier"), F.when(F.col("o_orderkey") % 7 == 0, "train").otherwise("test").alias("split_1"), F.col("o_custkey").alias("clip_id_1"), F.when(F.col("o_orderkey") % 11 == 0, "train").otherwise("test").alias("split_2"), (F.col("o_custkey") + 1).alias("clip_id_2"))
+    near = orders.select(F.when(F.col("o_orderkey") % 3 == 0, "very_high_similarity").when(F.col("o_orderkey") % 3 == 1, "high_similarity").otherwise("very_high").alias("review_tier"), F.when(F.col("o_orderkey") % 7 == 0, "train").otherwise("test").alias("split_1"), F.col("o_custkey").alias("clip_id_1"), F.when(F.col("o_orderkey") % 11 == 0, "train").otherwise("test").alias("split_2"), (F.col("o_custkey") + 1).alias("clip_id_2"))
     return design.excluded_duplicates(train, near)
 
 
 @query
 def stimulus_audit(spark, sf):
     clips = load(spark, sf, "orders").select(F.col("o_orderkey").alias("clip_id"))
-    stimulus = load(spark, sf, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("clip_id"))
+    stimulus = load(spark, sf, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).alias("clip_id"))
     return files.stimulus_audit(stimulus, clips)
 
 
 @query
 def missing_clips(spark, sf):
-    frames = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (F.col("l_partkey") % 16 + 1).alias("frame_index"))
-    wanted = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("clip_id"))
-    return integrity.missing_clips(wanted, frames.where("clip_id % 3 > 0 OR frame_index < 9"))
+    frames = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (F.col("l_partkey") % (F.col("l_suppkey") % 3 + 15) + 1).alias("frame_index"))
+    wanted = load(spark, sf, "supplier").select((F.col("s_suppkey") + 2).alias("clip_id"))
+    return integrity.missing_clips(wanted, frames)
+
+
+QUERIES |= study.QUERIES
+SQL |= study_sql.SQL

@@ -120,11 +120,11 @@ SQL["task_authorised"] = f"""WITH {_ASSIGNED} SELECT o_orderkey AS task_uuid, o_
 
 SQL["unassigned"] = "SELECT o_orderkey AS task_uuid FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"
 
-SQL["vote_clarity"] = """WITH kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events)),
-n AS (SELECT user_id, i, CAST(count(event_id) AS DOUBLE) AS v FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN kinds LEFT JOIN events USING (user_id, event_type) GROUP BY ALL),
+SQL["vote_clarity"] = """WITH kinds AS (SELECT unnest(range(7)) AS i), e AS (SELECT user_id, event_id % 7 * (event_id % 3) % 7 AS i, event_id FROM events),
+n AS (SELECT user_id, i, CAST(count(event_id) AS DOUBLE) AS v FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN kinds LEFT JOIN e USING (user_id, i) GROUP BY ALL),
 r AS (SELECT *, sum(v) OVER (PARTITION BY user_id) AS t, row_number() OVER (PARTITION BY user_id ORDER BY v DESC) AS o FROM n)
 SELECT CAST(user_id AS INTEGER) AS clip_id, max(v) AS vote_max, max(v) FILTER (o = 1) - max(v) FILTER (o = 2) AS vote_margin,
-  round(-sum(CASE WHEN v > 0 THEN v / t * ln(v / t) ELSE 0 END) / ln(5.0), 6) AS vote_entropy, max(v) FILTER (i = 2) AS neutral_votes, max(t) AS vote_total FROM r GROUP BY user_id"""
+  round(-sum(CASE WHEN v > 0 THEN v / t * ln(v / t) ELSE 0 END) / ln(7.0), 6) AS vote_entropy, max(v) FILTER (i = 2) AS neutral_votes, max(t) AS vote_total FROM r GROUP BY user_id"""
 
 SQL["quartile_bin"] = """WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
 SELECT o_orderkey, CASE WHEN n >= 4 THEN CAST(greatest(0, ceil(4.0 * (r - 1) / (n - 1)) - 1) AS INTEGER) END AS quarter FROM r"""
@@ -149,7 +149,7 @@ s AS (SELECT *, concat_ws('|', clarity_bin, length_bin, motion_bin) AS s FROM b)
 n AS (SELECT label, s, count(*) AS n FROM s GROUP BY ALL),
 e AS (SELECT *, least(60, sum(n) OVER (PARTITION BY label)) AS t, n * least(60, sum(n) OVER (PARTITION BY label)) / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE) AS e FROM n),
 f AS (SELECT *, t - sum(floor(e)) OVER (PARTITION BY label) AS rest, row_number() OVER (PARTITION BY label ORDER BY round(e - floor(e), 9) DESC, s) AS k FROM e),
-r AS (SELECT *, row_number() OVER (PARTITION BY label, s ORDER BY md5('20260912|' || doc_id), doc_id) AS r FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY label, s ORDER BY md5('1|' || doc_id), doc_id) AS r FROM s)
 SELECT r.doc_id AS clip_id, r.label, clarity_bin, length_bin, motion_bin FROM r JOIN f ON r.label = f.label AND r.s = f.s WHERE r.label = 6 OR r <= floor(e) + CASE WHEN k <= rest THEN 1 ELSE 0 END"""
 
 SQL["alternating_primary"] = "SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 + o_custkey % 7) % 2 AS INTEGER) AS \"primary\" FROM orders"
@@ -164,7 +164,7 @@ r AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTI
 p AS (SELECT *, CASE WHEN k <= 3 THEN 'clear' WHEN k > n - 2 THEN 'category_boundary' END AS p FROM r WHERE n >= 5)
 SELECT lang AS label, doc_id AS clip_id, p AS calibration_profile, [2, 6, 11, 15][CAST((row_number() OVER (PARTITION BY lang ORDER BY p, doc_id) - 1) % 4 + 1 AS INTEGER)] AS frame_index FROM p WHERE p IS NOT NULL"""
 
-SQL["practice_set"] = """WITH r AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('20260912|' || doc_id), doc_id) AS INTEGER) AS position FROM documents WHERE doc_id % 3 <> 0)
+SQL["practice_set"] = """WITH r AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) AS INTEGER) AS position FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
 SELECT position, CASE WHEN position <= 14 THEN 'frame' ELSE 'clip' END AS task_type, doc_id AS clip_id, CASE WHEN position <= 14 THEN CAST((position - 1) * 5 % 16 + 1 AS INTEGER) END AS frame_index FROM r WHERE position <= 21"""
 
 SQL["gap_violations"] = """WITH p AS (SELECT user_id, event_type, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS position FROM events),
@@ -208,20 +208,6 @@ SQL["calibration_report"] = f"WITH {_POINTS}, {_REPORT} SELECT task_uuid, n_comp
 
 SQL["calibration_summary"] = f"WITH {_POINTS}, {_REPORT} SELECT count(*) AS completed, round(avg(category_unanimous), 6) AS unanimity, round(avg(mean_pairwise_intensity_gap), 6) AS mean_gap FROM report WHERE n_completed = 3"
 
-SQL["merge_check"] = """SELECT s.o_orderkey AS assignment_uuid, CASE WHEN k.o_orderkey IS NULL THEN 'unknown' ELSE 'mismatch' END AS problem
-FROM orders s LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) k USING (o_orderkey) WHERE s.o_orderkey % 2 = 0 AND (k.o_orderkey IS NULL OR s.o_orderkey % 6 = 0)"""
-
-SQL["upsert"] = """WITH n AS (SELECT o_orderkey + 2 AS o_orderkey, CAST(0 AS DOUBLE) AS o_totalprice, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 4 = 0)
-SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT * FROM n"""
-
-SQL["constraint_violations"] = """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0),
-v AS (
-  SELECT 'unique' AS "check", l_orderkey || '|' || l_linenumber AS subject, CAST(count(*) AS VARCHAR) AS detail FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
-  UNION ALL SELECT 'reference', CAST(l_linenumber AS VARCHAR), CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)
-  UNION ALL SELECT 'domain', CAST(o_orderkey AS VARCHAR), o_orderstatus FROM o WHERE o_orderstatus NOT IN ('O', 'F')
-  UNION ALL SELECT 'range', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_linenumber NOT BETWEEN 2 AND 6)
-SELECT "check", subject, detail, count(*) AS n FROM v GROUP BY ALL"""
-
 SQL["rating_errors"] = f"""WITH {_FRAMES}, x AS (SELECT task_uuid, CASE WHEN task_uuid % 11 = 0 THEN 'Boredom' ELSE category END AS c, CASE WHEN task_uuid % 13 = 0 THEN 9 ELSE intensity END AS v FROM f)
 SELECT task_uuid, CASE WHEN c = 'Boredom' THEN 'category' WHEN v NOT BETWEEN 0 AND 6 THEN 'intensity' WHEN c IN ('Neutral', 'Face not visible') AND v <> 0 THEN 'must_be_zero'
   WHEN c NOT IN ('Neutral', 'Unclear', 'Face not visible') AND v < 1 THEN 'must_be_positive' END AS error FROM x"""
@@ -240,8 +226,19 @@ SELECT CAST(v AS INTEGER) AS clip_id, CAST(label AS INTEGER) AS label, ['Happine
 SQL["excluded_duplicates"] = """SELECT c_custkey AS clip_id FROM customer WHERE c_custkey NOT IN (
   SELECT o_custkey FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 7 = 0 UNION ALL SELECT o_custkey + 1 FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 11 = 0)"""
 
-SQL["stimulus_audit"] = """SELECT 'missing' AS "check", o_orderkey AS subject FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 2)
-UNION ALL SELECT 'duplicate', l_orderkey FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey HAVING count(*) > 1"""
+SQL["upsert"] = """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey * 2 FROM orders) UNION ALL SELECT o_orderkey * 2, 0, 'X' FROM orders"""
+
+SQL["insert_new"] = """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders UNION ALL SELECT o_orderkey * 2, 0, 'X' FROM orders WHERE o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)"""
+
+SQL["stimulus_audit"] = """SELECT 'missing' AS "check", o_orderkey AS subject FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey + l_linenumber FROM lineitem)
+UNION ALL SELECT 'duplicate', l_orderkey + l_linenumber FROM lineitem GROUP BY l_orderkey + l_linenumber HAVING count(*) > 1"""
+
+SQL["missing_clips"] = """SELECT s_suppkey + 2 AS clip_id FROM supplier WHERE s_suppkey + 2 NOT IN (
+  SELECT l_suppkey FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey % (l_suppkey % 3 + 15)) = 16)"""
+
+SQL["manifest_violations"] = """SELECT 'task_type' AS "check", CAST(l_partkey AS VARCHAR) AS subject, 'image' AS detail FROM lineitem WHERE l_linenumber = 7
+UNION ALL SELECT 'frame_index', CAST(l_partkey AS VARCHAR), CAST(l_suppkey % 18 AS VARCHAR) FROM lineitem WHERE l_linenumber < 5 AND l_suppkey % 18 NOT BETWEEN 1 AND 16
+UNION ALL SELECT 'frame_index', CAST(l_partkey AS VARCHAR), NULL FROM lineitem WHERE l_linenumber = 5"""
 
-SQL["missing_clips"] = """SELECT s_suppkey AS clip_id FROM supplier WHERE s_suppkey NOT IN (
-  SELECT l_suppkey FROM lineitem WHERE l_suppkey % 3 > 0 OR l_partkey % 16 + 1 < 9 GROUP BY l_suppkey HAVING count(DISTINCT l_partkey % 16) = 16)"""
+SQL["adjacent_differences"] = f"""WITH {_POINTS}, s AS (SELECT task_uuid, annotator_code, i - 1 AS position, round(v - lag(v) OVER (PARTITION BY task_uuid, annotator_code ORDER BY i), 6) AS difference FROM pt)
+SELECT task_uuid, annotator_code, position, difference FROM s WHERE difference IS NOT NULL"""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators.integrity import in_domain, in_range
@@ -15,21 +17,32 @@ from ..operators.integrity import in_domain, in_range
 VOTE_COLUMNS = ["1happy", "2sad", "3neutral", "4angry", "5surprise", "6disgust", "7fear"]
 
 
-def csv(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """A CSV file with a header, read by name into the given schema; missing required columns raise."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def csv(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = (), line: str | None = None) -> DataFrame:
+    """A CSV file with a header, read by name into the given schema; missing required columns raise.
+
+    line names a further column that rises with the rows of the file; times may have either form that studies hold.
+    """
+    path = str(path)
     names = [n.strip() for n in spark.read.option("header", True).csv(path).columns]
     if lost := set(required) - set(names):
         raise ValueError(f"{path} lacks the columns {sorted(lost)}")
     kinds = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return raw.select(*[F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) for c in raw.columns])
+    value = lambda c: C.stamp(F.col(f"`{c}`")) if kinds.get(c, T.StringType()) == T.TimestampType() else F.col(f"`{c}`").cast(kinds.get(c, T.StringType()))
+    order = [F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias(line)] if line else []
+    return raw.select(*[value(c).alias(c) for c in raw.columns], *order)
 
 
-def load_split(rows: DataFrame, ordinal: str | None = None) -> DataFrame:
-    """Clips of a split: label 1 to 7, the first row of each clip (by the ordinal column, else by label), with emotions."""
-    order = [ordinal] if ordinal else ["label"]
-    own = rows.select(F.col("video_name").cast("int").alias("clip_id"), F.col("label").cast("int").alias("label"), *([ordinal] if ordinal else []))
-    own = own.where(F.col("label").between(1, 7)).withColumn("_n", F.row_number().over(Window.partitionBy("clip_id").orderBy(*order))).where("_n = 1")
+def load_split(rows: DataFrame, ordinal: str = "line") -> DataFrame:
+    """Clips of a split: label 1 to 7, the first row of each clip in the order of the ordinal column, with emotions."""
+    own = rows.select(F.col("video_name").cast("int").alias("clip_id"), F.col("label").cast("int").alias("label"), ordinal)
+    own = own.where(F.col("label").between(1, 7)).withColumn("_n", F.row_number().over(Window.partitionBy("clip_id").orderBy(ordinal))).where("_n = 1")
     return own.select("clip_id", "label", C.emotion(F.col("label")).alias("emotion"))
 
 
@@ -40,6 +53,14 @@ def votes_from_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> Da
     return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
 
 
+def votes_by_position(rows: DataFrame) -> DataFrame:
+    """A vote table whose first seven columns are the votes in class order, whatever their names."""
+    if len(rows.columns) < len(VOTE_COLUMNS):
+        raise ValueError("a vote table has at least seven columns")
+    rest = [c for c in rows.columns[len(VOTE_COLUMNS) :] if c not in VOTE_COLUMNS]
+    return rows.select(*[F.col(f"`{c}`").cast("int").alias(v) for c, v in zip(rows.columns, VOTE_COLUMNS)], *rest)
+
+
 def stimulus_audit(stimulus: DataFrame, clips: DataFrame) -> DataFrame:
     """Rows (check, subject): study clips without stimulus features, and clips with several rows."""
     lost = clips.select("clip_id").distinct().join(stimulus.select("clip_id"), "clip_id", "left_anti").select(F.lit("missing").alias("check"), F.col("clip_id").alias("subject"))
@@ -72,20 +93,12 @@ def resolve(config: dict, value: str, root: str | Path = ".") -> Path:
 def bundle_folders(spark: SparkSession, folders: list[str], schemas: dict[str, str]) -> dict[str, DataFrame]:
     """The tables of export folders with their bundle ids; a folder describes itself in bundle.json or manifest.json."""
     out: dict[str, DataFrame] = {}
-    for folder in folders:
-        about = None
-        for name in ("bundle.json", "manifest.json"):
-            try:
-                about = spark.read.option("multiLine", True).schema("bundle_id string, annotator string, design_version string, exported_at string, completed_assignments int").json(f"{folder}/{name}")
-                about.limit(1).collect()
-                break
-            except Exception as error:  # Spark names a missing path in many ways
-                if "PATH_NOT_FOUND" not in str(error) and "does not exist" not in str(error):
-                    raise
-                about = None
-        if about is None:
+    for number, folder in enumerate(map(str, folders)):
+        found = [name for name in ("bundle.json", "manifest.json") if exists(spark, f"{folder}/{name}")]
+        if not found:
             raise FileNotFoundError(f"{folder} holds neither bundle.json nor manifest.json")
-        about = about.withColumn("source_path", F.lit(folder))
+        about = spark.read.option("multiLine", True).schema("bundle_id string, annotator string, design_version string, exported_at string, completed_assignments int").json(f"{folder}/{found[0]}")
+        about = about.withColumns({"source_path": F.lit(folder), "number": F.lit(number)})
         tables = {"bundle": about} | {t: csv(spark, f"{folder}/{t}.csv", s).crossJoin(F.broadcast(about.select("bundle_id"))) for t, s in schemas.items()}  # one row
         out = {k: out[k].unionByName(v) if k in out else v for k, v in tables.items()}
     return out
@@ -103,6 +116,31 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, compre
     out.write.option("header", True).option("compression", compression).csv(path)
 
 
+def write_lines(df: DataFrame, path: str, columns: list[str], *order: str) -> None:
+    """One CSV file with a byte order mark and a header, for readers of text tables; for small results such as one rater's.
+
+    Values with a comma, a quote or a line break are quoted, quotes doubled; nulls are empty.
+    """
+    quoted = lambda c: F.when(c.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    cells = [F.coalesce(quoted((F.to_json(c) if df.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c)).cast("string")), F.lit("")) for c in columns]
+    head = df.sparkSession.createDataFrame([("\ufeff" + ",".join(columns),)], "value string")
+    rows = df.orderBy(*order).select(F.concat_ws(",", *cells).alias("value"))
+    head.coalesce(1).unionAll(rows).coalesce(1).write.text(path)
+
+
+def package(spark: SparkSession, about: dict[str, object], tables: dict[str, tuple[DataFrame, list[str], str]], folder: str) -> dict[str, str]:
+    """A rater's results: a CSV with a byte order mark for each table, and manifest.json with the digest of each.
+
+    tables: by name, the rows, the columns to write and the column to sort by. Returns the digests.
+    """
+    for name, (df, columns, order) in tables.items():
+        write_lines(df, f"{folder}/{name}.csv", columns, order)
+    found = {name: file_hashes(spark, f"{folder}/{name}.csv").where("path LIKE '%/part-%'").first()["sha256"] for name in tables}
+    text = json.dumps(about | {"files": {f"{n}.csv": h for n, h in found.items()}}, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/manifest.json")
+    return found
+
+
 def bundle_json(about: DataFrame) -> DataFrame:
     """The description of an export as JSON text."""
     return about.select(F.to_json(F.struct(*about.columns)).alias("value"))
