@@ -246,25 +246,29 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Rows (node, component) of linked nodes, component being the smallest node that can be reached.
 
     Large-star and small-star rounds (Kiveris et al., 2014) over a written edge table, after each task has reduced
-    its own edges to a forest. No node, edge or component reaches the driver; nodes without an edge have no row.
+    its own edges to a forest. A centre with very many edges (heavy_join) keeps them where they are. No node, edge or
+    component reaches the driver; nodes without an edge have no row.
     """
-    spark = edges.sparkSession
     e = edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).cast("long").alias("a"), F.least(left, right).cast("long").alias("b"))
     e = written(e.mapInArrow(_local_forests, "a long, b long").distinct())
+
+    def hung_on(rows: DataFrame, centre: str, low: DataFrame, most: int) -> DataFrame:
+        return heavy_join(rows, low.select(centre, "m"), [centre], low.where(F.col("rows") > most))
+
     before = None
     while True:
         count = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if count == before or not count.n:
             break
-        before = count
+        before, most = count, max(1, count.n // HEAVY)
         both = e.union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        high = large.where("a <> b").distinct()
-        low = high.groupBy("a").agg(F.min("b").alias("m"))
-        small = high.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("rows"))
+        large = hung_on(both, "u", low, most).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        high = written(large.where("a <> b").distinct())
+        low = high.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
+        small = hung_on(high, "a", low, most).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         new = written(small.where("a <> b").distinct())
-        dropped(e)
+        dropped(e, high)
         e = new
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _forest, components, raw_texts, spread, text_column, text_groups, written
+from .common import HEAVY, _forest, components, dropped, fresh, heavy_join, raw_texts, spread, text_column, text_groups, text_key, written
 
 BITS, SHINGLE, SEED = 64, 4, 42
 #: Fingerprints whose bit statistics guide the plan. Any plan gives the same result; this only steers its cost.
@@ -32,17 +32,17 @@ PAIRS = 1 << 20
 ROW_COST = 40.0
 
 
-def text_hashes(text: bytes) -> list[int]:
+def text_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
     """XXH64 of each shingle of a text's words."""
     words = text.lower().split()  # both touch ASCII only: A-Z, and blanks \x20 \x09-\x0D
     if not words:
         return []
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return [digest(joined, SEED)]
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
 
 
 def fingerprints(hashes: list[list[int]]) -> np.ndarray:
@@ -62,13 +62,18 @@ def fingerprints(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in text_groups(batch):
-            data, offsets = raw_texts(part.column(1))
-            flat, at = data.tobytes(), offsets.tolist()
-            prints = fingerprints([text_hashes(flat[a:b]) for a, b in zip(at[:-1], at[1:])])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+def _fingerprint_rows(shingle: int):
+    """Rows (doc_id, k1, k2, text) to rows (doc_id, k1, k2, fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_groups(batch):
+                data, offsets = raw_texts(part.column(3))
+                flat, at = data.tobytes(), offsets.tolist()
+                prints = fingerprints([text_hashes(flat[a:b], shingle) for a, b in zip(at[:-1], at[1:])])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(prints.view(np.int64))], names=["doc_id", "k1", "k2", "fp"])
+
+    return run
 
 
 def grouped_bits(prints: np.ndarray, parts: int) -> list[list[int]]:
@@ -141,25 +146,28 @@ def _stored_and_probing(plan: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [(i, np.uint64(mask), np.array(probe_masks(mask, t), np.uint64)) for i, (mask, t) in enumerate(plan)]
         for batch in batches:
-            prints, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1)
+            prints = batch.column(0).to_numpy().view(np.uint64)
             for i, mask, flips in masks:
                 value = prints & mask
-                yield _rows(i, value, prints, rep, True)
+                yield _rows(i, value, prints, True)
                 for flip in flips:
-                    yield _rows(i, value ^ flip, prints, rep, False)
+                    yield _rows(i, value ^ flip, prints, False)
 
     return run
 
 
-def _rows(part: int, key: np.ndarray, prints: np.ndarray, rep: pa.Array, stored: bool) -> pa.RecordBatch:
+_MET = "part int, key long, fp long, stored boolean"
+
+
+def _rows(part: int, key: np.ndarray, prints: np.ndarray, stored: bool) -> pa.RecordBatch:
     n = len(key)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(key.view(np.int64)), pa.array(prints.view(np.int64)), rep, pa.array(np.full(n, stored))], names=["part", "key", "fp", "rep", "stored"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(key.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(np.full(n, stored))], names=["part", "key", "fp", "stored"])
 
 
 def _verifier(radius: int):
     """Verifies, in rows sorted by their meeting place, all pairs of a left and a right row."""
 
-    def links(fp: np.ndarray, rep: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(fp: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
         l, r = np.flatnonzero(left), np.flatnonzero(right)
         low, high = np.searchsorted(place[r], place[l], "left"), np.searchsorted(place[r], place[l], "right")
         count = high - low
@@ -173,7 +181,7 @@ def _verifier(radius: int):
             b = r[np.repeat(low[at:stop] - first, n) + np.arange(len(a))]
             near = (fp[a] < fp[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius)
             if near.any():
-                x, y = _forest(rep[a[near]], rep[b[near]])
+                x, y = _forest(fp[a[near]].view(np.int64), fp[b[near]].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
             at = stop
 
@@ -199,53 +207,74 @@ def _verifier(radius: int):
         new = np.zeros(len(cols[0]), bool)
         for c in cols[:4]:
             new[1:] |= c[1:] != c[:-1]
-        yield from links(cols[4].view(np.uint64), cols[5], np.cumsum(new), cols[6], cols[7])
+        yield from links(cols[4].view(np.uint64), np.cumsum(new), cols[5], cols[6])
 
     return run
 
 
 def linked_prints(prints: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect the representatives of all fingerprints within the radius of one another.
+    """Links (a, b) that connect all fingerprints within the radius of one another.
 
-    prints: one row (fp, rep) for each different fingerprint. Not every pair is a row: each task reduces the pairs it
+    prints: one row (fp) for each different fingerprint. Not every pair is a row: each task reduces the pairs it
     has verified to a forest, which connects the same fingerprints.
     """
     total = prints.count()
     sample = prints.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    plan = choose(sample, total, radius)
-    rows = prints.select("fp", "rep").mapInArrow(_stored_and_probing(plan), "part int, key long, fp long, rep long, stored boolean")
-    # values that many fingerprints share (or are probed at) are split into pairs of blocks
-    stored = prints.select("fp", "rep").mapInArrow(_stored_and_probing([(mask, 0) for mask, _ in plan]), "part int, key long, fp long, rep long, stored boolean")
-    hot = stored.groupBy("part", "key").count().where(F.col("count") > BLOCK).select("part", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
+    rows = prints.select("fp").mapInArrow(_stored_and_probing(choose(sample, total, radius)), _MET)
+    # values that many fingerprints have or are probed at are split: lefts (all) and rights (stored) meet by blocks
+    hot = rows.groupBy("part", "key").agg(F.count("*").alias("all"), F.count_if("stored").alias("own")).where((F.col("all") > BLOCK) & (F.col("own") > 0))
+    hot = written(hot.select("part", "key", F.ceil(F.col("all") / BLOCK).cast("int").alias("n"), F.ceil(F.col("own") / BLOCK).cast("int").alias("m")))
     dealt = rows.join(hot, ["part", "key"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("n", F.lit(1))).cast("int")
-    every = F.sequence(F.lit(0), F.col("n") - 1)
-    as_left = F.transform(every, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("l"), F.lit(False).alias("r")))
-    as_right = F.transform(every, lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("l"), F.lit(True).alias("r")))
+    at_left, at_right = (F.pmod(F.xxhash64("fp"), F.coalesce(c, F.lit(1))).cast("int") for c in ("n", "m"))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(at_left.alias("i"), j.alias("j"), F.lit(True).alias("l"), F.lit(False).alias("r")))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), at_right.alias("j"), F.lit(False).alias("l"), F.lit(True).alias("r")))
     once = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("l"), F.col("stored").alias("r")))
     where = F.when(F.col("n").isNull(), once).when(F.col("stored"), F.concat(as_left, as_right)).otherwise(as_left)
-    meeting = dealt.select("part", "key", "fp", "rep", F.explode(where).alias("w")).select("part", "key", "w.i", "w.j", "fp", "rep", "w.l", "w.r")
+    meeting = dealt.select("part", "key", "fp", F.explode(where).alias("w")).select("part", "key", "w.i", "w.j", "fp", "w.l", "w.r")
     meeting = spread(meeting, "part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
     return meeting.mapInArrow(_verifier(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped_rows(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, k1, k2, fp, component_id), one for each row of docs; k1 and k2 are the text's key."""
+    text = text_column(text_col)
+    k1, k2 = text_key(text)
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
+    found = written(picked.mapInArrow(_fingerprint_rows(shingle), "doc_id long, k1 long, k2 long, fp long"))
+    prints = written(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")))
+    parts = prints.join(components(linked_prints(prints, radius), "a", "b"), F.col("fp") == F.col("node"), "left")
+    parts = written(parts.select("fp", "low", "rows", F.coalesce("component", "fp").alias("part")))
+    ids = parts.groupBy("part").agg(F.min("low").alias("component_id"), F.count("*").alias("prints"))
+    named = written(heavy_join(parts, ids.select("part", "component_id"), ["part"], ids.where(F.col("prints") > max(1, parts.count() // HEAVY))).select("fp", "rows", "component_id"))
+    dropped(prints, parts)
+    return heavy_join(found, named.select("fp", "component_id"), ["fp"], named.where(F.col("rows") > max(1, found.count() // HEAVY)))
+
+
+def simhash_components(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one for each row of docs.
 
     component_id is the smallest doc_id reachable over links of at most radius differing bits. A text without words
-    (null, empty, blanks only) has fingerprint zero and is linked like any other. Repeated ids give repeated rows; a
-    null id is its own component only if no other document shares the fingerprint; extra columns are ignored; an empty
-    table gives no rows. Documents of one fingerprint are one node, so groups of copies cost one row.
+    (null, empty, blanks only) has fingerprint zero and is linked like any other. Rows are linked by their fingerprints
+    alone: repeated rows and rows of one id with other texts are rows like any other, and rows without an id link too
+    (component_id is null if no row that they reach has an id). Extra columns are ignored; an empty table gives no rows.
+    Documents of one fingerprint are one node, so groups of copies cost one row.
+    """
+    rows = grouped_rows(docs, radius, shingle, id_col, text_col)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of near-duplicates, with its columns, whatever their names: the row with the smallest id.
+
+    Of several rows of a group with that id (repeated rows, or other texts of one id), the one with the smallest text hash
+    stays; equal rows are one. Rows without an id stay. An empty table gives no rows.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    found = written(picked.mapInArrow(_fingerprint_rows, "doc_id long, fp long"))
-    prints = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = components(linked_prints(prints.where("rep IS NOT NULL"), radius), "a", "b")
-    named = prints.join(parts, prints.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, with their columns; rows without an id stay."""
-    kept = simhash_components(docs.where(F.col(id_col).isNotNull()), radius, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    own = docs.where(F.col(id_col).isNotNull())
+    first = grouped_rows(own, radius, shingle, id_col, text_col).where("doc_id = component_id")
+    first = first.groupBy("component_id", "doc_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.*").distinct()
+    i, k1, k2, row = fresh(docs, 4)
+    keyed = own.withColumns({i: F.col(id_col).cast("long")} | dict(zip((k1, k2), text_key(text_column(text_col)))))
+    kept = keyed.join(first.toDF(i, k1, k2), [i, k1, k2], "left_semi")
+    # repeated rows: partial aggregates leave one of each task
+    kept = kept.groupBy(i, k1, k2).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(row)).select(f"{row}.*")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
