@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, spread, written
+from .common import HEAVY, components, dropped, heavy_join, spread, written
 
 #: Neighbours in a list at first, and rounds of neighbours-of-neighbours joins.
 NEIGHBOURS, ROUNDS = 8, 3
@@ -252,7 +252,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     """
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists("v", lambda x: x != 0)
-    good = raw.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
+    fit = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))
+    key = [F.xxhash64("label", "v").alias("k1"), F.xxhash64("v", "label").alias("k2")]  # two hashes tell classes apart
+    good, rest = raw.where(fit), raw.where(~fit)
     classes = written(good.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")))
     nodes = written(classes.select("node", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("grp"), "mult", "v").mapInArrow(_packed, NODES))
     # a row for each WHOLE nodes at most
@@ -276,8 +278,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     parts = written(components(links, "u", "v"))
     linked = written(counted(parts.join(nodes, "node").select("component", "node", "mult", "vec"), threshold))
     found = classes.join(linked, "node", "left").join(parts, "node", "left")
-    found = found.select("label", "v", (F.col("mult") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("c"))
-    out = raw.join(found, ["label", "v"], "left")
-    usable = F.col("vec_id").isNotNull()
-    component = F.when(usable, F.coalesce("c", "vec_id"))
-    return out.select("vec_id", F.when(usable, F.coalesce("n", F.lit(0))).otherwise(0).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    found = written(found.select(*key, "mult", (F.col("mult") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    ids = good.select("vec_id", *key)
+    total = found.agg(F.sum("mult")).first()[0] or 0
+    out = heavy_join(ids, found.drop("mult"), ["k1", "k2"], found.where(F.col("mult") > max(1, total // HEAVY))).select("vec_id", "n_links", "component_id")
+    out = out.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    dropped(classes, nodes)
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
