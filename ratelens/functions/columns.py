@@ -57,8 +57,12 @@ def quartile_bin(value: Column, order: list[Column], within: list[Column] | None
     keys = [*(within or []), value.isNull()]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value, *order))
     known = F.count(value).over(Window.partitionBy(*keys))
-    place = F.greatest(F.lit(0), F.ceil(F.lit(4) * (rank - 1) / (known - 1)) - 1).cast("int")
-    return F.when(value.isNotNull() & (known >= 4), place)
+    return F.when(value.isNotNull(), quarter(rank, known))
+
+
+def quarter(rank: Column, known: Column) -> Column:
+    """The quarter (0 to 3) of a rank from 1 among so many values; null for fewer than four."""
+    return F.when(known >= 4, F.greatest(F.lit(0), F.ceil(F.lit(4) * (rank - 1) / (known - 1)) - 1).cast("int"))
 
 
 def frame_rating_error(category: Column, intensity: Column) -> Column:

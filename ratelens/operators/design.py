@@ -45,6 +45,41 @@ def vote_violations(votes: DataFrame, columns: list[str]) -> DataFrame:
     return votes.where(_bad_votes(columns))
 
 
+def placed(rows: DataFrame, within: list[str], value: str, order: list[str], slices: int = 64) -> DataFrame:
+    """rows with _place, the rank from 1 by a number and then by order among rows of the same within columns, and _known,
+    how many of these have the number; rows without it have no place.
+
+    The number's range is cut at approximate quantiles (the ranks are exact for any cuts); rows are sorted within a group
+    and slice only, and the counts of the slices before are added. The cuts, at most slices numbers, are collected.
+    """
+    cuts = rows.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    cut = rows.withColumn("_slice", F.when(F.col(value).isNotNull(), part))
+    sizes = cut.where("_slice IS NOT NULL").groupBy(*within, "_slice").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*(within or [F.lit(1)]))  # over slices, not over rows
+    sizes = sizes.withColumn("_before", F.sum("_n").over(by.orderBy("_slice")) - F.col("_n")).withColumn("_known", F.sum("_n").over(by))
+    names = [*within, "_slice"]
+    sizes = sizes.select(*[F.col(c).alias(f"_key_{i}") for i, c in enumerate(names)], "_before", "_known")
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{i}"))
+    rank = F.row_number().over(Window.partitionBy(*within, "_slice").orderBy(value, *order))
+    out = cut.join(sizes, same, "left").withColumn("_place", F.when(F.col("_slice").isNotNull(), F.col("_before") + rank))
+    return out.drop("_slice", "_before", *[f"_key_{i}" for i in range(len(names))])
+
+
+def quartiles(rows: DataFrame, name: str, value: str, order: list[str], within: list[str] | None = None) -> DataFrame:
+    """rows with the quarter (see columns.quartile_bin) of a number, for groups of any size."""
+    out = placed(rows, within or [], value, order)
+    return out.withColumn(name, C.quarter(F.col("_place"), F.col("_known"))).drop("_place", "_known")
+
+
+def primary_turns(rows: DataFrame, name: str, strata: list[str], value: str, offset: Column, raters: int = 2) -> DataFrame:
+    """rows with the number of their primary rater (see primary_index), for strata of any size, taken in the order of a number."""
+    out = placed(rows, strata, value, [])
+    return out.withColumn(name, F.pmod(F.col("_place") - 1 + offset, F.lit(raters)).cast("int")).drop("_place", "_known")
+
+
 def largest_remainder(sizes: DataFrame, keys: list[str], target: Column, exact: Column, within: list[str] | None = None) -> DataFrame:
     """sizes with a column allocated: floors of the exact shares, the rest by largest fraction, then by key.
 
@@ -77,7 +112,7 @@ def alignment_subset(train: DataFrame, clarity: DataFrame, stimulus: DataFrame |
         rows = rows.join(once.select("clip_id", *named), "clip_id", "left")
         sources += [(c, b) for c, b in (("original_frame_count", "length_bin"), ("mean_abs_change", "motion_bin")) if c in named]
     for source, name in sources:
-        rows = rows.withColumn(name, C.quartile_bin(F.col(source), [F.col("clip_id")]))
+        rows = quartiles(rows, name, source, ["clip_id"])
     stratum = F.concat_ws("|", *[F.coalesce(F.col(b), F.lit(-1)).cast("string") for _, b in sources])
     rows = rows.withColumn("_stratum", stratum)
     sizes = rows.groupBy("label", "_stratum").agg(F.count("*").alias("_n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .design import placed
 
 
 def with_tasks(assignments: DataFrame, tasks: DataFrame, *columns: str) -> DataFrame:
@@ -37,7 +38,8 @@ def workload(assigned: DataFrame, rater: str = "annotator_code", kind: str = "ta
     """
     done = assigned.where("status = 'complete' AND duration_ms > 0")
     own = done.groupBy(rater, kind).agg(F.median("duration_ms").alias("own"))
-    pooled = done.groupBy(kind).agg(F.median("duration_ms").alias("pooled"))
+    middle = placed(done.select(kind, "duration_ms"), [kind], "duration_ms", [])  # a kind may hold any number of durations
+    pooled = middle.where((F.col("_place") == F.expr("(_known + 1) div 2")) | (F.col("_place") == F.expr("(_known + 2) div 2"))).groupBy(kind).agg(F.avg("duration_ms").alias("pooled"))
     counts = assigned.groupBy(rater, kind, split).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "complete").alias("completed"))
     pace = F.coalesce("own", "pooled")
     left = F.col("total") - F.col("completed")

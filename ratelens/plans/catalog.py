@@ -83,7 +83,7 @@ def vote_clarity(spark, sf):
 @query
 def quartile_bin(spark, sf):
     rows = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return rows.select("o_orderkey", C.quartile_bin(F.col("o_totalprice"), [F.col("o_orderkey")], [F.col("o_orderstatus")]).alias("quarter"))
+    return design.quartiles(rows, "quarter", "o_totalprice", ["o_orderkey"], ["o_orderstatus"]).select("o_orderkey", "quarter")
 
 
 @query
@@ -111,7 +111,7 @@ def alignment_subset(spark, sf):
 @query
 def alternating_primary(spark, sf):
     rows = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    return rows.select("o_orderkey", design.primary_index(["o_orderstatus"], [F.col("o_orderkey")], F.col("o_custkey") % 7).alias("primary"))
+    return design.primary_turns(rows, "primary", ["o_orderstatus"], "o_orderkey", F.col("o_custkey") % 7).select("o_orderkey", "primary")
 
 
 @query

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +12,20 @@ Study = dict[str, DataFrame]
 _DONE = "_COMPLETE"
 
 
-def versions(folder: str | Path) -> list[int]:
-    return sorted(int(p.parent.name) for p in Path(folder).glob(f"*/{_DONE}"))
+def versions(folder: str) -> list[int]:
+    """The numbers of the complete snapshots in a folder of any file system that Spark reads."""
+    spark = SparkSession.active()
+    where, system = _located(spark, str(folder))
+    found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, f"*/{_DONE}")) if system.exists(where) else None
+    return sorted(int(s.getPath().getParent().getName()) for s in found or [])
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def load(spark: SparkSession, folder: str | Path) -> Study:
+def load(spark: SparkSession, folder: str) -> Study:
     """The newest complete snapshot."""
     found = versions(folder)
     if not found:
@@ -26,7 +33,7 @@ def load(spark: SparkSession, folder: str | Path) -> Study:
     return restored(spark, f"{folder}/{found[-1]:06d}", list(S.TABLES))
 
 
-def save(study: Study, folder: str | Path) -> int:
+def save(study: Study, folder: str) -> int:
     """Writes a new snapshot; the one before stays as it is, so a failed write changes nothing."""
     number = (versions(folder) or [0])[-1] + 1
     conformed = {}
@@ -34,9 +41,10 @@ def save(study: Study, folder: str | Path) -> int:
         df = study[name]
         columns = [(F.col(f.name) if f.name in df.columns else _missing(f.name)).cast(f.dataType).alias(f.name) for f in S.schema(name).fields]
         conformed[name] = df.select(*columns)
-    path = Path(folder) / f"{number:06d}"
-    snapshot(conformed, str(path))
-    (path / _DONE).touch()
+    path = f"{folder}/{number:06d}"
+    snapshot(conformed, path)
+    done, system = _located(SparkSession.active(), f"{path}/{_DONE}")
+    system.create(done).close()
     return number
 
 
