@@ -48,7 +48,10 @@ class TokenCosts:
 
 @dataclass
 class Flattener:
-    """Visits typed parts in order; texts are escaped, every other part becomes a numbered placeholder."""
+    """Visits typed parts in order; texts are escaped, every other part becomes a numbered placeholder.
+
+    A part of a type that no method visits becomes a placeholder "other" of one token, its type kept with the attachment.
+    """
 
     costs: TokenCosts = field(default_factory=TokenCosts)
     attachments: list[dict] = field(default_factory=list)
@@ -56,9 +59,7 @@ class Flattener:
     def visit(self, part: dict) -> str:
         kind = part.get("type") or "text"
         method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown content part: {kind}")
-        return method(part)
+        return method(part) if method else self._placeholder(part | {"ref": part.get("ref") or kind}, "other", 1)
 
     def visit_text(self, part: dict) -> str:
         return escape(part.get("text") or "")

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import raw_texts, text_column, text_groups
 
@@ -178,17 +179,58 @@ def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, MEDIA)
 
 
+DECODED = "rows int, cols int, channels int, tile binary, dhash string, error string"
+
+
+def with_decoded(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """media with what its images hold: the columns rows, cols, channels, tile (NPY), dhash and error.
+
+    Images may be Netpbm (P1 to P6) or BMP files. A null gives nulls; bytes that are no such image give an error text and
+    nulls, and fail no task. The other columns stay as they are, in Python as in the plan; media must not have columns of
+    the new names. An empty table gives no rows. No shuffle.
+    """
+    schema = T.StructType(media.schema.fields + T._parse_datatype_string(DECODED).fields)
+    at = media.columns.index(media_col)
+    names = [x.split()[0] for x in DECODED.split(", ")]
+    kinds = [pa.int32()] * 3 + [pa.binary(), pa.string(), pa.string()]
+
+    def decoded(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6
+        try:
+            image = decode(data)
+            return (*image.shape, *features(image), None)
+        except (ValueError, IndexError) as error:
+            return (None, None, None, None, None, str(error) or type(error).__name__)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):  # one image at a time, as each may be large
+                found = decoded(batch.column(at)[i].as_py())
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *(pa.array([x], k) for x, k in zip(found, kinds))], names=[*batch.schema.names, *names])
+
+    return media.mapInArrow(run, schema)
+
+
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """What stored media hold, read back from their bytes: payload digests, and the feature (dhash and tile checksum)."""
+    """What stored media hold, read back from their bytes: payload digests, and the feature (dhash and tile checksum).
+
+    media: the rows of stored_media(); null or broken bytes give null digests. Repeated rows and null ids stay; extra
+    columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, n, stored, tile, dhash in zip(*(c.to_pylist() for c in batch.columns)):
-                payload = decode(stored).tobytes()
+                try:
+                    payload = decode(stored or b"").tobytes()
+                except (ValueError, IndexError):
+                    rows.append((doc, n, *[None] * 6))
+                    continue
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_BYTES:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{dhash}-{zlib.crc32(tile):08x}"))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = list(zip(*rows)) or [[]] * len(kinds)

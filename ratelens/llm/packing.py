@@ -34,6 +34,8 @@ PLAIN_STEP = 64
 HORIZON = 1 << 18
 #: Different pre-tokens whose ids a worker remembers before it starts afresh.
 REMEMBERED = 200_000
+#: Characters of the longest pre-token that is remembered, which bounds the memory by bytes.
+LONGEST = 64
 
 
 class ByteVocabulary:
@@ -54,13 +56,17 @@ class ByteVocabulary:
 
     def word_ids(self, words: list[str]) -> list[bytes]:
         """Each word's ids as 32-bit numbers."""
-        known = self.known
+        known, out = self.known, []
         if len(known) > REMEMBERED:
             known.clear()
         for w in words:
-            if w not in known:
-                known[w] = np.array(self.core.encode_single_piece(w.encode()), np.uint32).tobytes()
-        return [known[w] for w in words]
+            ids = known.get(w)
+            if ids is None:
+                ids = np.array(self.core.encode_single_piece(w.encode()), np.uint32).tobytes()
+                if len(w) <= LONGEST:
+                    known[w] = ids
+            out.append(ids)
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after another, the offsets of the texts in them, and which ids end a sentence."""

@@ -41,6 +41,8 @@ HELD_OUT = 20
 #: Quantile of the held-out trusted scores and of their densities (from below), a margin (nats per word) above the first,
 #: and the share of the second that is enough: long documents repeat pairs too, empty repetition lies far lower.
 QUANTILE, MARGIN, ENOUGH = 0.995, 0.05, 0.75
+#: Held-out documents up to which quantiles are exact.
+ACCURACY = 1_000_000
 #: Held-out documents of a language whose own quantiles weigh as much as those of all languages.
 LANGUAGE_WEIGHT = 50
 #: Parts of the word pairs that are counted, and of the texts that are scored, one after another.
@@ -388,7 +390,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     means = written(own.groupBy("lang").agg(((F.sum("loss") + PRIOR_MEAN * every) / (F.sum("n") + PRIOR_MEAN)).alias("mean"), F.count("*").alias("docs")))
     score, density = figures(F.col("mean"))
     apart = own.join(means, "lang").select("lang", (score - F.col("mean")).alias("score"), (density - F.col("mean")).alias("density"))
-    quantiles = [F.percentile_approx("score", QUANTILE, 10_000).alias("high"), F.percentile_approx("density", 1 - QUANTILE, 10_000).alias("low")]
+    quantiles = [F.percentile_approx("score", QUANTILE, ACCURACY).alias("high"), F.percentile_approx("density", 1 - QUANTILE, ACCURACY).alias("low")]
     of_all = apart.agg(*quantiles).first()
     share = F.col("docs") / (F.col("docs") + LANGUAGE_WEIGHT)
     limits = apart.groupBy("lang").agg(*quantiles).join(means, "lang")

@@ -21,6 +21,8 @@ from .common import public_path, raw_texts, text_column, text_groups
 
 #: Different merged pre-tokens that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
+#: Characters of the longest word that is remembered, which bounds the memory by bytes.
+LONGEST = 64
 
 
 class WordVocabulary:
@@ -106,9 +108,10 @@ class Counter:
         rest = [w for w, n in zip(words, out) if n is None]
         if rest:
             found = self.model.merged_sizes(rest).tolist()
-            if len(self.known) + len(rest) > REMEMBERED + len(self.whole):
+            short = [(w, n) for w, n in zip(rest, found) if len(w) <= LONGEST]
+            if len(self.known) + len(short) > REMEMBERED + len(self.whole):
                 self.known = dict.fromkeys(self.whole, 1)
-            self.known.update(zip(rest, found))
+            self.known.update(short)
             more = iter(found)
             out = [next(more) if n is None else n for n in out]
         return np.array(out, np.int64)

@@ -64,6 +64,16 @@ def test_representatives_keep_columns(documents):
     assert simhash_dedup.simhash_components(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_ids(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(5, text), (5, text), (5, "other words here"), (3, text), (3, text), (None, text), (9, "other words here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_ID2", F.lit(1))
+    got = simhash_dedup.simhash_components(docs).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got if r.component_id is not None) == [(0, 3), (3, 3), (3, 3), (5, 3), (5, 3), (5, 5), (9, 5)]
+    kept = simhash_dedup.representatives(docs).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == sorted([(0, ""), (0, text), (3, text), (5, "other words here")])
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)]

@@ -1,6 +1,7 @@
 """Quality, toxicity, media, chats and the pipeline."""
 
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -240,6 +241,28 @@ def test_media_formats_and_digests(documents, odd_texts):
     assert media_columns.media_digests(media.limit(0)).count() == 0
 
 
+def test_media_columns_of_any_image(spark):
+    rng = np.random.default_rng(1)
+    grey, colour = rng.integers(0, 256, (40, 30, 1)).astype(np.uint8), rng.integers(0, 256, (21, 50, 3)).astype(np.uint8)
+    files = [media_columns.encode_netpbm(grey), media_columns.encode_bmp(grey), media_columns.encode_bmp(colour), b"BM", b"P5\n4 4\n255\nab", b"", None]
+    df = spark.createDataFrame(list(enumerate(files)), "n long, media binary").withColumns({"doc_id": F.lit(7), "kept": F.lit("x")})
+    rows = {r.n: r for r in media_columns.with_decoded(df).collect()}
+    assert [(r.rows, r.cols, r.channels) for r in (rows[0], rows[1], rows[2])] == [(40, 30, 1), (40, 30, 1), (21, 50, 3)]
+    assert rows[0].tile == rows[1].tile and rows[0].dhash == rows[1].dhash and rows[0].kept == "x"
+    assert all(rows[i].error and rows[i].tile is None for i in (3, 4, 5)) and rows[6].error is None and rows[6].tile is None
+    side = media_columns.TILE
+    tile = np.load(io.BytesIO(rows[0].tile))
+    plain = np.zeros((side, side))
+    for i in range(side):
+        for j in range(side):
+            area = [(min((i + 1) * 40 / side, y + 1) - max(i * 40 / side, y), min((j + 1) * 30 / side, x + 1) - max(j * 30 / side, x), grey[y, x, 0]) for y in range(40) for x in range(30) if y + 1 > i * 40 / side and y < (i + 1) * 40 / side and x + 1 > j * 30 / side and x < (j + 1) * 30 / side]
+            plain[i, j] = sum(h * w * float(v) for h, w, v in area) / (40 * 30 / side / side)
+    assert np.abs(tile.reshape(side, side) - plain).max() <= 0.5 + 1e-6
+    assert media_columns.with_decoded(df.limit(0)).count() == 0
+    broken = spark.createDataFrame([(1, 2, None, None, None), (2, 2, b"xx", b"", "")], media_columns.MEDIA)
+    assert {r.payload_sha256 for r in media_columns.media_digests(broken).collect()} == {None}
+
+
 @pytest.mark.parametrize("text", ["<|im_end|>", "<\\|x|>", "a<\\\\|b", "<<||", "", "plain < | text"])
 def test_escapes_are_reversible(text):
     assert chat_format.unescape(chat_format.escape(text)) == text and "<|" not in chat_format.escape(text)
@@ -252,6 +275,8 @@ def test_attachments(spark):
     part = "struct<type:string,text:string,ref:string,width:int,height:int,milliseconds:int,pages:int>"
     parts = [("text", "see <|image:0|>", None, None, None, None, None), ("image", None, "a.png", 56, 29, None, None), ("audio", None, "b.wav", None, None, 100, None), ("document", None, "c.pdf", None, None, None, 2)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [])], f"conv_id long, turn int, role string, parts array<{part}>")
+    odd = chat_format.formatted_chats(spark.createDataFrame([(1, 0, "user", [("video", None, None, 1, 1, None, None)])], df.schema), parts_col="parts").first()
+    assert [(a.kind, a.ref, a.tokens) for a in odd.attachments] == [("other", "video", 1)] and "<|other:0|>" in odd.formatted
     row = chat_format.formatted_chats(df, parts_col="parts").first()
     assert [(a.number, a.kind, a.ref, a.tokens) for a in row.attachments] == [(0, "image", "a.png", 4), (1, "audio", "b.wav", 3), (2, "document", "c.pdf", 512)]
     assert row.expanded_tokens == 519 and "see <\\|image:0|><|image:0|><|audio:1|><|document:2|>" in row.formatted
@@ -273,18 +298,64 @@ def test_conversations_with_ties_nulls_and_clashing_columns(spark):
 
 
 def test_pipeline(spark):
+    """Each stage's decisions against plain versions, and the rows of run()."""
     import corpus_pipeline as pipeline
+    from test_duplicates import plain_removal, reached
 
     docs = table(spark, SF, "documents")
-    columns, before = docs.columns, docs.count()
-    for _, stage in pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema).cache()
-        assert docs.columns == columns and 0 < docs.count() <= before
-        before = docs.count()
-    packed = pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
-    again = pipeline.run(spark, SF)
-    assert again.agg(F.sum("length")).first()[0] == sum(r.length for r in packed)
+    columns = docs.columns
+    stages = dict(pipeline.STAGES)
+
+    def after(name):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == columns
+        return spark.createDataFrame(out.collect(), docs.schema)
+
+    rows = {r.doc_id: r for r in docs.collect()}
+    kept = {r.doc_id for r in quality_lm.quality(docs, table(spark, SF, "labels")).where("kept").collect()}  # itself held against dictionaries above
+    docs = after("quality")
+    assert sorted(map(tuple, docs.collect())) == sorted(tuple(rows[i]) for i in kept)
+    field = toxicity.train(docs, table(spark, SF, "labels"))
+    rows, clean = {r.doc_id: r for r in docs.collect()}, set()
+    for i, r in rows.items():
+        words, place, owner, _, _ = toxicity.tokens([r.text or ""])
+        marginal = field.marginals(field.word_scores(words)[place], toxicity.heads_of(owner, place, words)) if len(place) else np.zeros(0)
+        if toxicity.sigmoid(toxicity.document_inputs(marginal, owner, 1) @ field.document)[0] < 0.5:
+            clean.add(i)
+    docs = after("toxicity")
+    assert sorted(map(tuple, docs.collect())) == sorted(tuple(rows[i]) for i in clean)
+    every = sorted(docs.collect(), key=lambda r: r.doc_id)
+    prints = [int(x) for x in simhash_dedup.fingerprints([simhash_dedup.text_hashes((r.text or "").encode(), 5) for r in every])]
+    links = [(i, j) for i in range(len(every)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= pipeline.NEAR_BITS]
+    label = reached(len(every), links)
+    docs = after("simhash")
+    assert sorted(map(tuple, docs.collect())) == sorted(tuple(r) for i, r in enumerate(every) if label[i] == i)
+    every = sorted(docs.collect(), key=lambda r: r.doc_id)
+    wanted = plain_removal([r.text for r in every])
+    docs = after("repeats")
+    left = sorted(docs.collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in left] == [r.doc_id for r in every]
+    for r, before, (size, gone, _, digest) in zip(left, every, wanted):
+        assert (r.text == before.text) == (gone == 0) and size - gone - 8 * 3 <= len((r.text or "").encode()) <= size - gone
+        if len((r.text or "").encode()) == size - gone:
+            assert hashlib.sha256((r.text or "").encode()).hexdigest() == digest
+    packed = stages["packing"](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in left}
+    ours = Counter((r.doc_id, r.doc_tokens) for r in packed)
+    ran = pipeline.run(spark, SF).collect()
+    assert set(ours) == {(r.doc_id, r.doc_tokens) for r in ran} and sum(r.length for r in packed) == sum(r.length for r in ran) == sum(n for _, n in ours)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as pipeline
+
+    names = ["score", "spans", "kept", "loss", "k1", "k2", "fp", "rows", "gram", "own_0", "component_id", "label"]
+    docs = table(spark, SF, "documents").limit(60).withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names), name
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() >= 60
 
 
 def test_registered_names():
