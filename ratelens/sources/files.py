@@ -123,9 +123,12 @@ def write_lines(df: DataFrame, path: str, columns: list[str], *order: str) -> No
     """
     quoted = lambda c: F.when(c.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     cells = [F.coalesce(quoted((F.to_json(c) if df.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c)).cast("string")), F.lit("")) for c in columns]
+    kinds = [df.schema[c].dataType for c in order]
     head = df.sparkSession.createDataFrame([("\ufeff" + ",".join(columns),)], "value string")
-    rows = df.orderBy(*order).select(F.concat_ws(",", *cells).alias("value"))
-    head.coalesce(1).unionAll(rows).coalesce(1).write.text(path)
+    head = head.select(F.lit(0).alias("_at"), *[F.lit(None).cast(k).alias(f"_o{i}") for i, k in enumerate(kinds)], "value")
+    rows = df.select(F.lit(1).alias("_at"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.concat_ws(",", *cells).alias("value"))
+    sorted_rows = head.unionAll(rows).coalesce(1).sortWithinPartitions("_at", *[f"_o{i}" for i in range(len(order))], "value")
+    sorted_rows.select("value").write.text(path)
 
 
 def package(spark: SparkSession, about: dict[str, object], tables: dict[str, tuple[DataFrame, list[str], str]], folder: str) -> dict[str, str]:
