@@ -154,7 +154,11 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:
-    """Digests of formatted conversations, read back from the formatted text and its loss spans alone."""
+    """Digests of formatted conversations, read back from the formatted text and its loss spans alone.
+
+    chats: the rows of formatted_chats(), which says what nulls, ties and repeated rows become. A conversation without an
+    assistant has no loss characters and the digest of the empty text; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -308,7 +308,12 @@ DIGEST = "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, decoded_s
 
 
 def round_trips(docs: DataFrame, model_file: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of each text's ids (unsigned 32-bit, little-endian) and of the text decoded from them."""
+    """Digests of each text's ids (unsigned 32-bit, little-endian) and of the text decoded from them, one row for each row of docs.
+
+    A null text counts as empty and has no ids. Null and repeated ids and repeated rows are coded like any other; extra
+    columns are ignored, whatever their names; an empty table gives no rows. Whole texts are coded; memory follows the
+    longest run that no blank ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = model(model_file)
