@@ -4,7 +4,8 @@ The 64 fingerprint bits are grouped into parts, correlated bits together. If the
 sum(t_i + 1) = radius + 1, two fingerprints within the radius differ by at most t_i bits in some part i (a part with
 t_i = -1 is not looked at). Number of parts and thresholds are chosen by dynamic programming on estimated candidate
 counts; then each fingerprint is stored under its part values, probes the values within t_i bits, and every candidate
-is verified on all bits.
+is verified on all bits. 64 bits can't tell near-duplicates from the chance neighbours of very many documents; where texts
+are to be dropped, candidates are verified on 192 further bits of the same kind as well.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY, _forest, components, dropped, fresh, heavy_join, raw_texts, spread, text_column, text_groups, text_key, written
+from .common import HEAVY, MIX, _forest, components, dropped, fresh, heavy_join, odd_numbers, raw_texts, spread, text_column, text_groups, text_key, written
 
 BITS, SHINGLE, SEED = 64, 4, 42
+#: Columns of the further bits, and the multipliers that turn a shingle's hash into those behind them.
+WIDE = ["w0", "w1", "w2"]
+_TURNS = odd_numbers(len(WIDE), 17)
 #: Fingerprints whose bit statistics guide the plan. Any plan gives the same result; this only steers its cost.
 SAMPLE = 2048
 #: Largest block of fingerprints that meet under one part value; values with more are split into pairs of blocks.
@@ -47,12 +51,21 @@ def text_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
 
 def fingerprints(hashes: list[list[int]]) -> np.ndarray:
     """Majority fingerprints (unsigned) of lists of hashes; an empty list gives zero."""
-    sizes = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(hashes), np.uint64)
+    return _majorities(np.array([x for h in hashes for x in h], np.uint64), np.array([len(h) for h in hashes], np.int64))
+
+
+def wide_fingerprints(hashes: list[list[int]]) -> list[np.ndarray]:
+    """The fingerprints of fingerprints(), and those of the WIDE columns."""
+    flat, sizes = np.array([x for h in hashes for x in h], np.uint64), np.array([len(h) for h in hashes], np.int64)
+    mixed = [(flat ^ (flat >> np.uint64(32))) * turn for turn in _TURNS]
+    return [_majorities(x, sizes) for x in (flat, *[(m ^ (m >> np.uint64(29))) * MIX for m in mixed])]
+
+
+def _majorities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(sizes), np.uint64)
     has = np.flatnonzero(sizes)
     if not len(has):
         return out
-    flat = np.array([x for h in hashes for x in h], np.uint64)
     heads = np.concatenate([[0], np.cumsum(sizes[has])[:-1]])
     for byte in range(8):
         part = ((flat >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.uint8)
@@ -62,16 +75,17 @@ def fingerprints(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def _fingerprint_rows(shingle: int):
-    """Rows (doc_id, k1, k2, text) to rows (doc_id, k1, k2, fp)."""
+def _fingerprint_rows(shingle: int, wide: list[str]):
+    """Rows (doc_id, k1, k2, text) to rows (doc_id, k1, k2, fp), with the wide columns behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_groups(batch):
                 data, offsets = raw_texts(part.column(3))
                 flat, at = data.tobytes(), offsets.tolist()
-                prints = fingerprints([text_hashes(flat[a:b], shingle) for a, b in zip(at[:-1], at[1:])])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(prints.view(np.int64))], names=["doc_id", "k1", "k2", "fp"])
+                hashes = [text_hashes(flat[a:b], shingle) for a, b in zip(at[:-1], at[1:])]
+                prints = wide_fingerprints(hashes) if wide else [fingerprints(hashes)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array(p.view(np.int64)) for p in prints]], names=["doc_id", "k1", "k2", "fp", *wide])
 
     return run
 
@@ -146,12 +160,12 @@ def _stored_and_probing(plan: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [(i, np.uint64(mask), np.array(probe_masks(mask, t), np.uint64)) for i, (mask, t) in enumerate(plan)]
         for batch in batches:
-            prints = batch.column(0).to_numpy().view(np.uint64)
+            prints, *more = (c.to_numpy().view(np.uint64) for c in batch.columns)
             for i, mask, flips in masks:
                 value = prints & mask
-                yield _rows(i, value, prints, True)
+                yield _rows(i, value, prints, True, more)
                 for flip in flips:
-                    yield _rows(i, value ^ flip, prints, False)
+                    yield _rows(i, value ^ flip, prints, False, more)
 
     return run
 
@@ -159,15 +173,17 @@ def _stored_and_probing(plan: list[tuple[int, int]]):
 _MET = "part int, key long, fp long, stored boolean"
 
 
-def _rows(part: int, key: np.ndarray, prints: np.ndarray, stored: bool) -> pa.RecordBatch:
+def _rows(part: int, key: np.ndarray, prints: np.ndarray, stored: bool, more: list[np.ndarray]) -> pa.RecordBatch:
     n = len(key)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(key.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(np.full(n, stored))], names=["part", "key", "fp", "stored"])
+    longs = [pa.array(x.view(np.int64)) for x in (key, prints, *more)]
+    cols = [pa.array(np.full(n, part, np.int32)), *longs[:2], pa.array(np.full(n, stored)), *longs[2:]]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "key", "fp", "stored", *WIDE[: len(more)]])
 
 
-def _verifier(radius: int):
+def _verifier(radius: int, verify: int | None):
     """Verifies, in rows sorted by their meeting place, all pairs of a left and a right row."""
 
-    def links(fp: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(fp: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         l, r = np.flatnonzero(left), np.flatnonzero(right)
         low, high = np.searchsorted(place[r], place[l], "left"), np.searchsorted(place[r], place[l], "right")
         count = high - low
@@ -179,9 +195,13 @@ def _verifier(radius: int):
             a = np.repeat(l[at:stop], n)
             first = np.cumsum(n) - n
             b = r[np.repeat(low[at:stop] - first, n) + np.arange(len(a))]
-            near = (fp[a] < fp[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius)
-            if near.any():
-                x, y = _forest(fp[a[near]].view(np.int64), fp[b[near]].view(np.int64))
+            near = np.flatnonzero((fp[a] < fp[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius))
+            a, b = a[near], b[near]
+            if verify is not None:
+                near = sum(np.bitwise_count(w[a] ^ w[b]) for w in more) <= verify  # at most 192, so bytes suffice
+                a, b = a[near], b[near]
+            if len(a):
+                x, y = _forest(fp[a].view(np.int64), fp[b].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
             at = stop
 
@@ -207,20 +227,21 @@ def _verifier(radius: int):
         new = np.zeros(len(cols[0]), bool)
         for c in cols[:4]:
             new[1:] |= c[1:] != c[:-1]
-        yield from links(cols[4].view(np.uint64), np.cumsum(new), cols[5], cols[6])
+        yield from links(cols[4].view(np.uint64), np.cumsum(new), cols[5], cols[6], [c.view(np.uint64) for c in cols[7:]])
 
     return run
 
 
-def linked_prints(prints: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within the radius of one another.
+def linked_prints(prints: DataFrame, radius: int, verify: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within the radius of one another, and within verify of the further bits.
 
-    prints: one row (fp) for each different fingerprint. Not every pair is a row: each task reduces the pairs it
+    prints: one row (fp, and with verify the WIDE columns) for each different fingerprint. Not every pair is a row: each task reduces the pairs it
     has verified to a forest, which connects the same fingerprints.
     """
     total = prints.count()
     sample = prints.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    rows = prints.select("fp").mapInArrow(_stored_and_probing(choose(sample, total, radius)), _MET)
+    wide = [] if verify is None else WIDE
+    rows = prints.select("fp", *wide).mapInArrow(_stored_and_probing(choose(sample, total, radius)), ", ".join([_MET, *[f"{w} long" for w in wide]]))
     # values that many fingerprints have or are probed at are split: lefts (all) and rights (stored) meet by blocks
     hot = rows.groupBy("part", "key").agg(F.count("*").alias("all"), F.count_if("stored").alias("own")).where((F.col("all") > BLOCK) & (F.col("own") > 0))
     hot = written(hot.select("part", "key", F.ceil(F.col("all") / BLOCK).cast("int").alias("n"), F.ceil(F.col("own") / BLOCK).cast("int").alias("m")))
@@ -230,23 +251,30 @@ def linked_prints(prints: DataFrame, radius: int) -> DataFrame:
     as_right = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), at_right.alias("j"), F.lit(False).alias("l"), F.lit(True).alias("r")))
     once = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("l"), F.col("stored").alias("r")))
     where = F.when(F.col("n").isNull(), once).when(F.col("stored"), F.concat(as_left, as_right)).otherwise(as_left)
-    meeting = dealt.select("part", "key", "fp", F.explode(where).alias("w")).select("part", "key", "w.i", "w.j", "fp", "w.l", "w.r")
+    meeting = dealt.select("part", "key", "fp", *wide, F.explode(where).alias("at")).select("part", "key", "at.i", "at.j", "fp", "at.l", "at.r", *wide)
     meeting = spread(meeting, "part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
-    return meeting.mapInArrow(_verifier(radius), "a long, b long")
+    return meeting.mapInArrow(_verifier(radius, verify), "a long, b long")
 
 
-def grouped_rows(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, k1, k2, fp, component_id), one for each row of docs; k1 and k2 are the text's key."""
+def grouped_rows(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str, verify: int | None = None) -> DataFrame:
+    """Rows (doc_id, k1, k2, fp, component_id), one for each row of docs; k1 and k2 are the text's key.
+
+    Texts of one fingerprint are one node; the least of their further bits stand for them.
+    """
+    wide = [] if verify is None else WIDE
     text = text_column(text_col)
     k1, k2 = text_key(text)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
-    found = written(picked.mapInArrow(_fingerprint_rows(shingle), "doc_id long, k1 long, k2 long, fp long"))
-    prints = written(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")))
-    parts = prints.join(components(linked_prints(prints, radius), "a", "b"), F.col("fp") == F.col("node"), "left")
+    found = written(picked.mapInArrow(_fingerprint_rows(shingle, wide), ", ".join(f"{c} long" for c in ["doc_id", "k1", "k2", "fp", *wide])))
+    least = [F.min(F.struct(*wide)).alias("least")] if wide else []
+    prints = found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"), *least)
+    prints = written(prints.select("fp", "low", "rows", *[f"least.{w}" for w in wide]))
+    parts = prints.join(components(linked_prints(prints, radius, verify), "a", "b"), F.col("fp") == F.col("node"), "left")
     parts = written(parts.select("fp", "low", "rows", F.coalesce("component", "fp").alias("part")))
     ids = parts.groupBy("part").agg(F.min("low").alias("component_id"), F.count("*").alias("prints"))
     named = written(heavy_join(parts, ids.select("part", "component_id"), ["part"], ids.where(F.col("prints") > max(1, parts.count() // HEAVY))).select("fp", "rows", "component_id"))
     dropped(prints, parts)
+    found = found.select("doc_id", "k1", "k2", "fp")
     return heavy_join(found, named.select("fp", "component_id"), ["fp"], named.where(F.col("rows") > max(1, found.count() // HEAVY)))
 
 
@@ -263,14 +291,16 @@ def simhash_components(docs: DataFrame, radius: int = 4, id_col: str = "doc_id",
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, verify: int | None = None) -> DataFrame:
     """One row of each group of near-duplicates, with its columns, whatever their names: the row with the smallest id.
 
+    Links have at most radius differing bits of 64 and, if verify is given, at most verify of 192 further ones.
+
     Of several rows of a group with that id (repeated rows, or other texts of one id), the one with the smallest text hash
     stays; equal rows are one. Rows without an id stay. An empty table gives no rows.
     """
     own = docs.where(F.col(id_col).isNotNull())
-    first = grouped_rows(own, radius, shingle, id_col, text_col).where("doc_id = component_id")
+    first = grouped_rows(own, radius, shingle, id_col, text_col, verify).where("doc_id = component_id")
     first = first.groupBy("component_id", "doc_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.*").distinct()
     i, k1, k2, row = fresh(docs, 4)
     keyed = own.withColumns({i: F.col(id_col).cast("long")} | dict(zip((k1, k2), text_key(text_column(text_col)))))

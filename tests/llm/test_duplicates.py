@@ -45,13 +45,48 @@ def test_simhash_components(documents, near_texts, block, monkeypatch):
     assert [rows[i].component_id for i in range(len(prints))] == reached(len(prints), links)
 
 
-def test_every_plan_covers_the_radius():
+def plain_near(texts, radius, verify):
+    """Links of texts whose five-word prints are near in 64 and in 192 bits, the least wide print standing for each print."""
+    every = [simhash_dedup.wide_fingerprints([simhash_dedup.text_hashes((t or "").encode(), 5)]) for t in texts]
+    prints = [int(x[0][0]) for x in every]
+    wide = [tuple(int(w[0].view(np.int64)) for w in x[1:]) for x in every]
+    least = {p: min(w for p2, w in zip(prints, wide) if p2 == p) for p in prints}
+    far = {(p, q): sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(least[p], least[q])) for p in least for q in least if (p ^ q).bit_count() <= radius}
+    return [(a, b) for a in range(len(prints)) for b in range(a) if far.get((prints[a], prints[b]), verify + 1) <= verify]
+
+
+@pytest.mark.parametrize("block", [8192, 3])
+def test_links_are_verified_on_further_bits(documents, near_texts, block, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    edited = [" ".join(rnd.choice("xyz") + w if rnd.random() < rate else w for w in words) for rate in (0.01, 0.02, 0.04, 0.08) for _ in range(12)]
+    texts = [*near_texts, *edited, "one two", "one two", "one three"]
+    links = {(radius, verify): plain_near(texts, radius, verify) for radius, verify in [(10, 192), (10, 36), (10, 20)]}
+    assert len(links[10, 192]) > len(links[10, 36]) > len(links[10, 20]) > 0
+    for (radius, verify), pairs in links.items():
+        label = reached(len(texts), pairs)
+        kept = simhash_dedup.representatives(documents(texts), radius=radius, shingle=5, verify=verify).collect()
+        assert sorted(r.doc_id for r in kept) == [i for i, x in enumerate(label) if i == x], (radius, verify)
+
+
+def test_further_bits_differ_from_the_fingerprint():
+    hashes = [[int(x) for x in np.random.default_rng(i).integers(0, 1 << 63, 40, dtype=np.uint64) * 2] for i in range(200)]
+    every = simhash_dedup.wide_fingerprints([*hashes, []])
+    assert np.array_equal(every[0], simhash_dedup.fingerprints([*hashes, []])) and all(p[-1] == 0 for p in every)
+    for i, p in enumerate(every):
+        for q in every[:i]:
+            assert abs(np.bitwise_count(p[:-1] ^ q[:-1]).mean() - 32) < 1
+
+
+@pytest.mark.parametrize("radius", [4, 10])
+def test_every_plan_covers_the_radius(radius):
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 1 << 63, 500, dtype=np.uint64) & np.uint64(0x0F0F0F0F0F0F0F0F)
     for total in (10, 10_000, 10**7, 10**10):
-        plan = simhash_dedup.choose(prints, total, 4)
+        plan = simhash_dedup.choose(prints, total, radius)
         for _ in range(200):
-            bits = rng.choice(64, rng.integers(0, 5), replace=False)
+            bits = rng.choice(64, rng.integers(0, radius + 1), replace=False)
             change = sum(1 << int(b) for b in bits)
             assert any((mask & change).bit_count() <= t for mask, t in plan)
 

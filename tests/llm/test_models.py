@@ -300,7 +300,7 @@ def test_conversations_with_ties_nulls_and_clashing_columns(spark):
 def test_pipeline(spark):
     """Each stage's decisions against plain versions, and the rows of run()."""
     import corpus_pipeline as pipeline
-    from test_duplicates import plain_removal, reached
+    from test_duplicates import plain_near, plain_removal, reached
 
     docs = table(spark, SF, "documents")
     columns = docs.columns
@@ -325,9 +325,7 @@ def test_pipeline(spark):
     docs = after("toxicity")
     assert sorted(map(tuple, docs.collect())) == sorted(tuple(rows[i]) for i in clean)
     every = sorted(docs.collect(), key=lambda r: r.doc_id)
-    prints = [int(x) for x in simhash_dedup.fingerprints([simhash_dedup.text_hashes((r.text or "").encode(), 5) for r in every])]
-    links = [(i, j) for i in range(len(every)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= pipeline.NEAR_BITS]
-    label = reached(len(every), links)
+    label = reached(len(every), plain_near([r.text for r in every], pipeline.NEAR_BITS, pipeline.NEAR_OF_WIDE))
     docs = after("simhash")
     assert sorted(map(tuple, docs.collect())) == sorted(tuple(r) for i, r in enumerate(every) if label[i] == i)
     every = sorted(docs.collect(), key=lambda r: r.doc_id)
