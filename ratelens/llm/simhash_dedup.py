@@ -3,8 +3,9 @@
 The 64 fingerprint bits are grouped into parts, correlated bits together. If the thresholds t_i of the parts satisfy
 sum(t_i + 1) = radius + 1, two fingerprints within the radius differ by at most t_i bits in some part i (a part with
 t_i = -1 is not looked at). Number of parts and thresholds are chosen by dynamic programming on estimated candidate
-counts; then each fingerprint is stored under its part values, probes the values within t_i bits, and every candidate
-is verified on all bits. 64 bits can't tell near-duplicates from the chance neighbours of very many documents; where texts
+counts; then each fingerprint is stored under its part values and probes the values within t_i bits, and every candidate
+is verified on all bits. Of two values that differ, the one whose lowest differing bit is 0 probes the other, so a
+fingerprint sends half of the values around its own. 64 bits can't tell near-duplicates from the chance neighbours of very many documents; where texts
 are to be dropped, candidates are verified on 192 further bits of the same kind as well.
 """
 
@@ -136,7 +137,7 @@ def choose(prints: np.ndarray, total: int, radius: int) -> list[tuple[int, int]]
                     else:
                         ball = sum(comb(width, k) for k in range(t + 1))
                         rate = max(near[t] / max(1, len(differing)), ball / 2.0**width)
-                        more = pairs * rate + ROW_COST * total * (ball + (t > 0))
+                        more = pairs * rate + ROW_COST * total * (1 + ball) / 2  # stored once, and half of the rest
                     new = (cost + more, [*plan, (mask, t)])
                     if spent + t + 1 not in step or new[0] < step[spent + t + 1][0]:
                         step[spent + t + 1] = new
@@ -156,6 +157,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _lowest(flips: np.ndarray) -> np.ndarray:
+    """The lowest bit of each that is set."""
+    return flips & (~flips + np.uint64(1))
+
+
 def _stored_and_probing(plan: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [(i, np.uint64(mask), np.array(probe_masks(mask, t), np.uint64)) for i, (mask, t) in enumerate(plan)]
@@ -164,8 +170,9 @@ def _stored_and_probing(plan: list[tuple[int, int]]):
             for i, mask, flips in masks:
                 value = prints & mask
                 yield _rows(i, value, prints, True, more)
-                for flip in flips:
-                    yield _rows(i, value ^ flip, prints, False, more)
+                for flip, low in zip(flips, _lowest(flips)):
+                    own = np.flatnonzero(prints & low == 0)
+                    yield _rows(i, value[own] ^ flip, prints[own], False, [m[own] for m in more])
 
     return run
 
@@ -180,10 +187,11 @@ def _rows(part: int, key: np.ndarray, prints: np.ndarray, stored: bool, more: li
     return pa.RecordBatch.from_arrays(cols, names=["part", "key", "fp", "stored", *WIDE[: len(more)]])
 
 
-def _verifier(radius: int, verify: int | None):
+def _verifier(plan: list[tuple[int, int]], radius: int, verify: int | None):
     """Verifies, in rows sorted by their meeting place, all pairs of a left and a right row."""
+    masks = np.array([mask for mask, _ in plan], np.uint64)
 
-    def links(fp: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def links(fp: np.ndarray, place: np.ndarray, probing: np.ndarray, left: np.ndarray, right: np.ndarray, more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         l, r = np.flatnonzero(left), np.flatnonzero(right)
         low, high = np.searchsorted(place[r], place[l], "left"), np.searchsorted(place[r], place[l], "right")
         count = high - low
@@ -195,7 +203,8 @@ def _verifier(radius: int, verify: int | None):
             a = np.repeat(l[at:stop], n)
             first = np.cumsum(n) - n
             b = r[np.repeat(low[at:stop] - first, n) + np.arange(len(a))]
-            near = np.flatnonzero((fp[a] < fp[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius))
+            # a probing row is the only one of its pair to meet the other here; two stored ones would meet twice
+            near = np.flatnonzero((probing[a] | (fp[a] < fp[b])) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius))
             a, b = a[near], b[near]
             if verify is not None:
                 near = sum(np.bitwise_count(w[a] ^ w[b]) for w in more) <= verify  # at most 192, so bytes suffice
@@ -227,11 +236,44 @@ def _verifier(radius: int, verify: int | None):
         new = np.zeros(len(cols[0]), bool)
         for c in cols[:4]:
             new[1:] |= c[1:] != c[:-1]
-        yield from links(cols[4].view(np.uint64), np.cumsum(new), cols[5], cols[6], [c.view(np.uint64) for c in cols[7:]])
+        prints = cols[4].view(np.uint64)
+        probing = prints & masks[cols[0]] != cols[1].view(np.uint64)
+        yield from links(prints, np.cumsum(new), probing, cols[5], cols[6], [c.view(np.uint64) for c in cols[7:]])
 
     return run
 
 
+def _around(plan: list[tuple[int, int]]):
+    """Rows (part, key, own) to rows (part, key, met): the rows that the fingerprints of a value send to it and around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = [np.array([0, *probe_masks(mask, t)], np.uint64) for mask, t in plan]
+        for batch in batches:
+            part, key, own = (c.to_numpy() for c in batch.columns)
+            for i, around in enumerate(flips):
+                at = np.flatnonzero(part == i)
+                for flip, low in zip(around, _lowest(around)):
+                    to = at[key[at].view(np.uint64) & low == 0]
+                    met = (key[to].view(np.uint64) ^ flip).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[to]), pa.array(met), pa.array(own[to])], names=["part", "key", "met"])
+
+    return run
+
+
+def _hot(prints: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
+    """Rows (part, key, n, m): values where more than BLOCK rows may meet, with the numbers of blocks of all rows and of stored ones.
+
+    Only stored rows are counted. Values with few of them send at most BLOCK rows to any one value, all together, so the rows
+    that the others send decide; no value left out meets more than 2 BLOCK rows.
+    """
+    around = max(1 + len(probe_masks(mask, t)) for mask, t in plan)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for i, (mask, _) in enumerate(plan)]))
+    own = written(prints.select(each.alias("at")).groupBy("at.part", "at.key").agg(F.count("*").alias("own")))
+    met = own.where(F.col("own") > BLOCK / around).mapInArrow(_around(plan), "part int, key long, met long").groupBy("part", "key").agg(F.sum("met").alias("all"))
+    met = met.where(F.col("all") > BLOCK).join(own, ["part", "key"])
+    return met.select("part", "key", F.ceil(F.col("all") / BLOCK).cast("int").alias("n"), F.ceil(F.col("own") / BLOCK).cast("int").alias("m"))
+
+
 def linked_prints(prints: DataFrame, radius: int, verify: int | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints within the radius of one another, and within verify of the further bits.
 
@@ -241,10 +283,9 @@ def linked_prints(prints: DataFrame, radius: int, verify: int | None = None) ->
     total = prints.count()
     sample = prints.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     wide = [] if verify is None else WIDE
-    rows = prints.select("fp", *wide).mapInArrow(_stored_and_probing(choose(sample, total, radius)), ", ".join([_MET, *[f"{w} long" for w in wide]]))
-    # values that many fingerprints have or are probed at are split: lefts (all) and rights (stored) meet by blocks
-    hot = rows.groupBy("part", "key").agg(F.count("*").alias("all"), F.count_if("stored").alias("own")).where((F.col("all") > BLOCK) & (F.col("own") > 0))
-    hot = written(hot.select("part", "key", F.ceil(F.col("all") / BLOCK).cast("int").alias("n"), F.ceil(F.col("own") / BLOCK).cast("int").alias("m")))
+    plan = choose(sample, total, radius)
+    rows = prints.select("fp", *wide).mapInArrow(_stored_and_probing(plan), ", ".join([_MET, *[f"{w} long" for w in wide]]))
+    hot = written(_hot(prints, plan))
     dealt = rows.join(hot, ["part", "key"], "left")
     at_left, at_right = (F.pmod(F.xxhash64("fp"), F.coalesce(c, F.lit(1))).cast("int") for c in ("n", "m"))
     as_left = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(at_left.alias("i"), j.alias("j"), F.lit(True).alias("l"), F.lit(False).alias("r")))
@@ -253,7 +294,7 @@ def linked_prints(prints: DataFrame, radius: int, verify: int | None = None) ->
     where = F.when(F.col("n").isNull(), once).when(F.col("stored"), F.concat(as_left, as_right)).otherwise(as_left)
     meeting = dealt.select("part", "key", "fp", *wide, F.explode(where).alias("at")).select("part", "key", "at.i", "at.j", "fp", "at.l", "at.r", *wide)
     meeting = spread(meeting, "part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
-    return meeting.mapInArrow(_verifier(radius, verify), "a long, b long")
+    return meeting.mapInArrow(_verifier(plan, radius, verify), "a long, b long")
 
 
 def grouped_rows(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str, verify: int | None = None) -> DataFrame:

@@ -91,6 +91,31 @@ def test_every_plan_covers_the_radius(radius):
             assert any((mask & change).bit_count() <= t for mask, t in plan)
 
 
+@pytest.mark.parametrize("radius", [4, 10])
+@pytest.mark.parametrize("block", [8192, 40, 3])
+def test_probes_find_all_near_prints(spark, radius, block, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    plans = []
+    choose = simhash_dedup.choose
+    monkeypatch.setattr(simhash_dedup, "choose", lambda prints, total, radius: plans.append(choose(prints, 10**8, radius)) or plans[-1])
+    rng = random.Random(radius)
+    prints = {0, (1 << 64) - 1}
+    for size in (2, 2, 3, 5, 60):
+        centre = rng.getrandbits(64)
+        prints |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius))) for _ in range(size)}
+    prints = sorted(prints)
+    rows = spark.createDataFrame([(p - (p >> 63 << 64),) for p in prints], "fp long")
+    found = {r.node: r.component for r in common.components(simhash_dedup.linked_prints(rows, radius), "a", "b").collect()}
+    assert max(t for _, t in plans[0]) >= 1  # else nothing probes
+    links = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius]
+    label = reached(len(prints), links)
+    groups = {}
+    for i, p in enumerate(prints):
+        signed = p - (p >> 63 << 64)
+        groups.setdefault(label[i], set()).add(found.get(signed, signed))
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
 def test_representatives_keep_columns(documents):
     docs = documents(["a b c d e f", "a b c d e f", "", None, "q w e r t y"], [5, 3, 9, 8, None]).withColumn("fp", F.lit("own"))
     kept = simhash_dedup.representatives(docs)
