@@ -34,7 +34,7 @@ BLOCK = 8192
 #: Candidate pairs that a task verifies at once.
 PAIRS = 1 << 20
 #: Cost of storing or probing a row, in verified candidates.
-ROW_COST = 400.0
+ROW_COST = 800.0
 
 
 def text_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
