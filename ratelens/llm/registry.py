@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, media_columns, near_embeddings, packing, piece_codec, quality_lm, repeat_removal, simhash_dedup, token_counts, toxicity
+from . import chat_format, exact_dedup, fill_in_middle, hard_negatives, media_columns, near_embeddings, packing, piece_codec, quality_lm, repeat_removal, simhash_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -56,6 +57,20 @@ def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_removal.repeats_removed(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest="text_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.formatted(table(spark, sf_dir, "documents")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", relabelled), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -68,6 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_quality_lm": op9_quality_lm,
         "op10_repeat_removal": op10_repeat_removal,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -100,5 +118,33 @@ FROM embeddings e JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_
 """
 
 
+OP11_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)
+"""
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, x, regexp_extract_all(x, '[^\n]*\n|[^\n]+') AS l, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 8) AS BIGINT)) AS r FROM t),
+c AS (SELECT *, len(l) AS n, least(r[1] % (len(l) + 1), r[2] % (len(l) + 1)) AS a, greatest(r[1] % (len(l) + 1), r[2] % (len(l) + 1)) AS b,
+  CASE WHEN x = '' OR regexp_matches(x, '<[PSM]>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, x, n, form, array_to_string(l[:a], '') AS pre, array_to_string(l[a + 1:b], '') AS mid, array_to_string(l[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256 FROM p
+"""
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_embeddings": OP3_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op3_near_embeddings": OP3_SQL, "op7_chat_formatting": OP7_SQL, "op11_exact_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_hard_negatives": OP13_SQL}
