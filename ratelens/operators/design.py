@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Iterator
-from itertools import groupby
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import columns as C
 from ..schemas import CURVE_POINTS, EMOTIONS
+from . import order as order_of
 
 #: Fixed values of the design: the class that is kept whole, and the frames that calibration cycles through.
 WHOLE_LABEL, CALIBRATION_FRAMES = 6, [2, 6, 11, 15]
@@ -45,27 +40,12 @@ def vote_violations(votes: DataFrame, columns: list[str]) -> DataFrame:
     return votes.where(_bad_votes(columns))
 
 
-def placed(rows: DataFrame, within: list[str], value: str, order: list[str], slices: int = 64) -> DataFrame:
-    """rows with _place, the rank from 1 by a number and then by order among rows of the same within columns, and _known,
-    how many of these have the number; rows without it have no place.
-
-    The number's range is cut at approximate quantiles (the ranks are exact for any cuts); rows are sorted within a group
-    and slice only, and the counts of the slices before are added. The cuts, at most slices numbers, are collected.
-    """
-    cuts = rows.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    cut = rows.withColumn("_slice", F.when(F.col(value).isNotNull(), part))
-    sizes = cut.where("_slice IS NOT NULL").groupBy(*within, "_slice").agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(*(within or [F.lit(1)]))  # over slices, not over rows
-    sizes = sizes.withColumn("_before", F.sum("_n").over(by.orderBy("_slice")) - F.col("_n")).withColumn("_known", F.sum("_n").over(by))
-    names = [*within, "_slice"]
-    sizes = sizes.select(*[F.col(c).alias(f"_key_{i}") for i, c in enumerate(names)], "_before", "_known")
-    same = F.lit(True)
-    for i, c in enumerate(names):
-        same = same & F.col(c).eqNullSafe(F.col(f"_key_{i}"))
-    rank = F.row_number().over(Window.partitionBy(*within, "_slice").orderBy(value, *order))
-    out = cut.join(sizes, same, "left").withColumn("_place", F.when(F.col("_slice").isNotNull(), F.col("_before") + rank))
-    return out.drop("_slice", "_before", *[f"_key_{i}" for i in range(len(names))])
+def placed(rows: DataFrame, within: list[str], value: str, order: list[str]) -> DataFrame:
+    """rows with _place, the rank from 1 by a value and then by order among rows of the same within columns, and _known,
+    how many of these have the value; rows without it have neither. Ties and missing values may be any share of the rows,
+    as they are dealt by order too."""
+    out = order_of.ranked(rows.withColumn("_lost", F.col(value).isNull()), [*within, "_lost"], [value, *order], "_place", "_known")
+    return out.withColumns({c: F.when(~F.col("_lost"), F.col(c)) for c in ("_place", "_known")}).drop("_lost")
 
 
 def quartiles(rows: DataFrame, name: str, value: str, order: list[str], within: list[str] | None = None) -> DataFrame:
@@ -74,9 +54,10 @@ def quartiles(rows: DataFrame, name: str, value: str, order: list[str], within:
     return out.withColumn(name, C.quarter(F.col("_place"), F.col("_known"))).drop("_place", "_known")
 
 
-def primary_turns(rows: DataFrame, name: str, strata: list[str], value: str, offset: Column, raters: int = 2) -> DataFrame:
-    """rows with the number of their primary rater (see primary_index), for strata of any size, taken in the order of a number."""
-    out = placed(rows, strata, value, [])
+def primary_turns(rows: DataFrame, name: str, strata: list[str], value: str, offset: Column, order: list[str] | None = None, raters: int = 2) -> DataFrame:
+    """rows with the number (from 0) of their primary rater: raters take turns in the order of a value, starting where the
+    offset says, within strata of any size."""
+    out = placed(rows, strata, value, order or [])
     return out.withColumn(name, F.pmod(F.col("_place") - 1 + offset, F.lit(raters)).cast("int")).drop("_place", "_known")
 
 
@@ -92,13 +73,13 @@ def largest_remainder(sizes: DataFrame, keys: list[str], target: Column, exact:
     return rows.withColumn("allocated", F.col("_floor") + (rank <= F.col("_left")).cast("bigint")).drop("_exact", "_floor", "_left")
 
 
-def stratified_sample(rows: DataFrame, strata: list[str], fraction: float, order: Column) -> DataFrame:
-    """A sample of round-half-even(rows * fraction) rows, allocated to strata by largest remainder, without replacement."""
+def stratified_sample(rows: DataFrame, strata: list[str], fraction: float, draw: Column) -> DataFrame:
+    """A sample of round-half-even(rows * fraction) rows, allocated to strata by largest remainder, without replacement:
+    those of the smallest draws (see shuffled)."""
     sizes = rows.groupBy(*strata).agg(F.count("*").alias("_n"))
     all_rows = F.sum("_n").over(Window.partitionBy(F.lit(1)))  # over strata, not over rows
     taken = largest_remainder(sizes.withColumn("_all", all_rows), strata, F.bround(F.col("_all") * fraction).cast("bigint"), F.col("_n") * fraction)
-    numbered = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(order)))
-    return numbered.join(taken.select(*strata, "allocated"), strata).where("_rank <= allocated").drop("_rank", "allocated")
+    return order_of.first_drawn(rows, strata, draw, taken, "allocated")
 
 
 def alignment_subset(train: DataFrame, clarity: DataFrame, stimulus: DataFrame | None = None, per_class: int = 380, seed: int = 1) -> DataFrame:
@@ -119,9 +100,8 @@ def alignment_subset(train: DataFrame, clarity: DataFrame, stimulus: DataFrame |
     size = F.sum("_n").over(Window.partitionBy("label"))
     sizes = sizes.withColumn("_target", F.least(F.lit(per_class), size)).withColumn("_share", F.col("_n") * F.col("_target") / size)
     taken = largest_remainder(sizes, ["_stratum"], F.col("_target"), F.col("_share"), ["label"])
-    numbered = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("label", "_stratum").orderBy(shuffled(seed, "clip_id"), "clip_id")))
-    chosen = numbered.join(taken.select("label", "_stratum", "allocated"), ["label", "_stratum"])
-    return chosen.where((F.col("label") == WHOLE_LABEL) | (F.col("_rank") <= F.col("allocated"))).drop("_stratum", "_rank", "allocated")
+    quota = taken.select("label", "_stratum", F.when(F.col("label") == WHOLE_LABEL, F.col("_n")).otherwise(F.col("allocated")).alias("allocated"))
+    return order_of.first_drawn(rows, ["label", "_stratum"], shuffled(seed, "clip_id"), quota, "allocated", ties=["clip_id"]).drop("_stratum")
 
 
 def class_count_errors(selected: DataFrame, expected: DataFrame) -> DataFrame:
@@ -136,20 +116,15 @@ def frame_targets(test: DataFrame) -> DataFrame:
     return test.select("clip_id", "label", F.explode(F.sequence(F.lit(1), F.lit(CURVE_POINTS))).alias("frame_index"))
 
 
-def primary_index(strata: list[str], order: list[Column], offset: Column, raters: int = 2) -> Column:
-    """Which rater (from 0) is primary: raters take turns within a stratum, starting where the offset says."""
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1
-    return F.pmod(place + offset, F.lit(raters)).cast("int")
-
-
 def frame_design(test: DataFrame, raters: list[str], second_fraction: float, hidden_fraction: float, seed: int = 2) -> tuple[DataFrame, DataFrame]:
     """Frame tasks and their assignments: a primary rater for each frame, second ratings and hidden repeats for samples."""
     if len(raters) != 2:
         raise ValueError("the formal study takes exactly two raters")
     codes = F.array(*map(F.lit, raters))
     base = frame_targets(test)
-    turn = primary_index(["label", "frame_index"], [shuffled(seed, "clip_id", "frame_index"), F.col("clip_id")], F.col("label") + F.col("frame_index"))
-    base = base.withColumn("_turn", turn).withColumn("base_uuid", C.stable_uuid("frame", "test", F.col("clip_id"), F.col("frame_index"), "primary"))
+    base = base.withColumn("_draw", shuffled(seed, "clip_id", "frame_index"))
+    base = primary_turns(base, "_turn", ["label", "frame_index"], "_draw", F.col("label") + F.col("frame_index"), ["clip_id"]).drop("_draw")
+    base = base.withColumn("base_uuid", C.stable_uuid("frame", "test", F.col("clip_id"), F.col("frame_index"), "primary"))
     rows = base.select("clip_id", "frame_index", F.col("base_uuid").alias("task_uuid"), F.lit(None).cast("string").alias("source_task_uuid"), F.lit("none").alias("repeat_kind"), F.element_at(codes, F.col("_turn") + 1).alias("annotator_code"), F.lit("primary").alias("role"))
     second = stratified_sample(base, ["label", "frame_index"], second_fraction, shuffled(seed + 1, "clip_id", "frame_index"))
     hidden = stratified_sample(base, ["label", "frame_index"], hidden_fraction, shuffled(seed + 2, "clip_id", "frame_index"))
@@ -171,66 +146,62 @@ def clip_design(clips: DataFrame, split: str, raters: list[str]) -> tuple[DataFr
     return tasks, rows.select(C.stable_uuid("assignment", F.col("task_uuid"), F.col("r.code"), F.concat(F.lit("clip"), F.col("r.i").cast("string"))).alias("assignment_uuid"), "task_uuid", F.col("r.code").alias("annotator_code"), role.alias("role"), "clip_id")
 
 
-def spaced(items: list[tuple[str, int]], gap: int) -> list[tuple[str, int]]:
-    """An order of (id, clip) items in which more than gap places lie between two of one clip: always the free clip
-    with most items left, the one met first among equals. Raises if no clip is free."""
-    waiting: dict[int, deque[str]] = defaultdict(deque)
-    for item, clip in items:
-        waiting[clip].append(item)
-    rank = {clip: i for i, clip in enumerate(waiting)}
-    free = [set() for _ in range(max(map(len, waiting.values()), default=0) + 1)]
-    for clip, own in waiting.items():
-        free[len(own)].add(rank[clip])
-    clips = list(waiting)
-    resting: deque[tuple[int, int]] = deque()
-    out: list[tuple[str, int]] = []
-    top = len(free) - 1
-    while len(out) < len(items):
-        while resting and resting[0][0] <= len(out):
-            clip = resting.popleft()[1]
-            free[len(waiting[clip])].add(rank[clip])
-            top = max(top, len(waiting[clip]))
-        while top > 0 and not free[top]:
-            top -= 1
-        if top <= 0:
-            raise ValueError(f"frame tasks can't keep a gap of {gap} tasks between frames of a clip")
-        number = min(free[top])
-        free[top].discard(number)
-        clip = clips[number]
-        out.append((waiting[clip].popleft(), clip))
-        if waiting[clip]:
-            resting.append((len(out) + gap, clip))
-    return out
+#: Places of a schedule's round that are shuffled among one another at most.
+CHUNK = 1024
+
+
+def schedule_needs(items: DataFrame, gap: int, rater: str = "annotator_code", clip: str = "clip_id") -> DataFrame:
+    """For each rater the items, the most of one clip (largest), the clips that have as many (ties), the least number of
+    items that a schedule with the gap takes (needed), and whether there is one (feasible).
+
+    Between two items of a clip lie more than gap others, so the items of a largest clip are the heads of largest - 1
+    rounds of gap + 1 places, and a last place for each of the ties: no schedule is shorter, and any longer one can be filled.
+    """
+    per = items.groupBy(F.col(rater).alias("rater"), clip).agg(F.count("*").alias("n"))
+    by_size = per.groupBy("rater", "n").agg(F.count("*").alias("clips"))
+    out = by_size.groupBy("rater").agg(F.sum(F.col("n") * F.col("clips")).alias("items"), F.max("n").alias("largest"), F.max_by("clips", "n").alias("ties"))
+    out = out.withColumn("needed", (F.col("largest") - 1) * (gap + 1) + F.col("ties"))
+    return out.withColumn("feasible", F.col("needed") <= F.col("items"))
 
 
 def scheduled(items: DataFrame, gap: int, seed: int = 5, rater: str = "annotator_code", item: str = "assignment_uuid", clip: str = "clip_id") -> DataFrame:
-    """Rows (rater, item, clip, position): each rater's items in an order that keeps the gap.
+    """Rows (rater, item, clip, position): each rater's items in an order that keeps the gap; position is null for raters
+    who can have none (see schedule_needs). Raters may have any number of items.
 
-    The order of one rater is sequential by nature, so a task works through one rater's list after another; raters are
-    independent.
+    Clips are dealt out by falling number of items, drawn among equals. The clips of most items have one in each round, the
+    others go on from round to round but the last, so every round has more than gap items and a clip keeps its place from
+    one round to the next; clips that go past the last such round have a round without them between. Where rounds are
+    longer than the gap needs, neighbouring places are shuffled within each round, by as many places as may be lost.
     """
-    rows = items.select(F.col(rater).alias("rater"), F.col(item).cast("string").alias("item"), F.col(clip).cast("bigint").alias("clip"), shuffled(seed, item).alias("draw"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-        for code, own in groupby(ordered, key=lambda r: r[0]):
-            placed = spaced([(r[1], r[2]) for r in own], gap)
-            n = len(placed)
-            yield pa.RecordBatch.from_arrays([pa.array([code] * n, arrow), pa.array([x for x, _ in placed], pa.string()), pa.array([c for _, c in placed], pa.int64()), pa.array(range(1, n + 1), pa.int32())], names=["rater", "item", "clip", "position"])
-
-    kind = items.schema[rater].dataType
-    arrow = to_arrow_type(kind)
-    dealt = rows.repartition("rater").sortWithinPartitions("rater", "draw", "item")
-    out = dealt.mapInArrow(run, f"rater {kind.simpleString()}, item string, clip bigint, position int")
+    names = [F.col(rater).alias("rater"), F.col(item).cast("string").alias("item"), F.col(clip).cast("bigint").alias("clip")]
+    rows = items.select(*names)
+    counts = rows.groupBy("rater", "clip").agg(F.count("*").alias("n")).withColumnsRenamed({"rater": "_r", "clip": "_c"})
+    rows = rows.join(counts, F.col("rater").eqNullSafe(F.col("_r")) & F.col("clip").eqNullSafe(F.col("_c"))).drop("_r", "_c")
+    rows = rows.withColumns({"clip_draw": shuffled(seed, "clip"), "draw": shuffled(seed, "item")})
+    rows = order_of.ranked(rows, ["rater"], [F.desc("n"), "clip_draw", "clip", "draw", "item"], "s")
+    needs = schedule_needs(items, gap, rater, clip).withColumnsRenamed({"rater": "_r", "items": "all"})
+    rows = rows.join(needs, F.col("rater").eqNullSafe(F.col("_r"))).drop("_r").withColumn("s", F.col("s") - 1)
+    heads = F.col("largest") * F.col("ties")
+    rounds = F.greatest(F.col("largest") - 1, F.lit(1))
+    rows = rows.withColumns({"rest": F.col("s") - heads, "rounds": rounds, "left": F.col("all") - heads})
+    head = F.col("rest") < 0
+    even = F.expr("ties + left div rounds")  # places of a round; the first ones have one more where it does not come out even
+    rows = rows.withColumns({"round": F.when(head, F.expr("s % largest")).otherwise(F.expr("rest % rounds")), "at": F.when(head, F.expr("s div largest")).otherwise(F.expr("ties + rest div rounds")), "even": even})
+    chunk = F.greatest(F.least(F.when(F.col("largest") > 1, F.col("even") - gap).otherwise(F.col("all")), F.lit(CHUNK)), F.lit(1))
+    rows = rows.withColumn("chunk", chunk).withColumn("part", F.expr("at div chunk"))
+    by = Window.partitionBy("rater", "round", "part").orderBy(shuffled(seed + 1, "item"), "item")  # at most CHUNK rows
+    start = F.col("round") * F.col("even") + F.least(F.col("round"), F.expr("left % rounds"))
+    position = start + F.col("part") * F.col("chunk") + F.row_number().over(by)
+    out = rows.withColumn("position", F.when(F.col("feasible"), position).cast("int"))
     return out.select(F.col("rater").alias(rater), F.col("item").alias(item), F.col("clip").alias(clip), "position")
 
 
 def queues(frames: DataFrame, clips: DataFrame, seed: int = 6) -> DataFrame:
     """Queue positions from 1: scheduled frames first, then clips in shuffled order."""
-    rows = frames.select("annotator_code", "assignment_uuid", F.lit(0).alias("_phase"), F.col("position").cast("string").alias("_tie"), F.col("position").alias("_at"))
+    rows = frames.select("annotator_code", "assignment_uuid", F.lit(0).alias("_phase"), F.lit("").alias("_tie"), F.col("position").alias("_at"))
     rows = rows.unionByName(clips.select("annotator_code", "assignment_uuid", F.lit(1).alias("_phase"), shuffled(seed, "assignment_uuid").alias("_tie"), F.lit(0).alias("_at")))
-    by = Window.partitionBy("annotator_code").orderBy("_phase", "_at", "_tie", "assignment_uuid")
-    return rows.select("annotator_code", "assignment_uuid", F.row_number().over(by).alias("queue_position"))
+    out = order_of.ranked(rows, ["annotator_code"], ["_phase", "_at", "_tie", "assignment_uuid"], "queue_position")
+    return out.select("annotator_code", "assignment_uuid", F.col("queue_position").cast("int").alias("queue_position"))
 
 
 def prepare_study(test: DataFrame, alignment: DataFrame, raters: list[str], second_fraction: float = 0.10, hidden_fraction: float = 0.02, gap: int = 9) -> tuple[DataFrame, DataFrame]:
@@ -240,6 +211,8 @@ def prepare_study(test: DataFrame, alignment: DataFrame, raters: list[str], seco
     train_tasks, train_work = clip_design(alignment, "train_alignment", raters)
     tasks = frame_tasks.unionByName(test_tasks).unionByName(train_tasks)
     work = frame_work.unionByName(test_work).unionByName(train_work)
+    if found := schedule_needs(frame_work, gap).where("NOT feasible").take(len(raters)):
+        raise ValueError(f"frame tasks can't keep a gap of {gap} tasks between frames of a clip: {found}")
     order = queues(scheduled(frame_work, gap), test_work.unionByName(train_work))
     return tasks, work.join(order, ["annotator_code", "assignment_uuid"]).withColumn("status", F.lit("pending"))
 

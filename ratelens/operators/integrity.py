@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from . import order as order_of
 from .agreement import disagreements
 
 
@@ -64,14 +65,17 @@ def constraint_violations(study: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, out)
 
 
-def gap_violations(rows: DataFrame, rater: str, clip: str, order: list[str], gap: int, first_only: bool = True) -> DataFrame:
-    """Items whose clip came up at most gap places before in the rater's order; the first of each rater, or all."""
-    placed = rows.withColumn("position", F.row_number().over(Window.partitionBy(rater).orderBy(*order)))
-    before = F.lag("position").over(Window.partitionBy(rater, clip).orderBy("position"))
-    near = placed.withColumn("previous", before).where(F.col("position") - F.col("previous") <= gap)
-    if first_only:
-        near = near.withColumn("_n", F.row_number().over(Window.partitionBy(rater).orderBy("position"))).where("_n = 1").drop("_n")
-    return near
+def gap_violations(rows: DataFrame, rater: str, clip: str, order: list[str], gap: int, first_only: bool = True, block: int = order_of.BLOCK) -> DataFrame:
+    """Items whose clip came up at most gap places before in the rater's order; the first of each rater, or all.
+
+    A queue of any length is looked at in blocks of places, each with the gap places before it.
+    """
+    placed = order_of.with_neighbours(order_of.ranked(rows, [rater], order, "position"), "position", gap, block)
+    before = F.lag("position").over(Window.partitionBy(rater, "_block", clip).orderBy("position"))
+    near = placed.withColumn("previous", before).where(F.col("_own") & (F.col("position") - F.col("previous") <= gap)).drop("_block", "_own")
+    if not first_only:
+        return near
+    return near.groupBy(rater).agg(F.min_by(F.struct(*near.columns), "position").alias("first")).select("first.*")
 
 
 def study_violations(study: dict[str, DataFrame], test_clips: int, gap: int, require_complete: bool = False) -> DataFrame:

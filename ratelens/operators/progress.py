@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .design import placed
+from . import order as order_of
 
 
 def with_tasks(assignments: DataFrame, tasks: DataFrame, *columns: str) -> DataFrame:
@@ -36,10 +36,9 @@ def workload(assigned: DataFrame, rater: str = "annotator_code", kind: str = "ta
 
     The pace is the rater's exact median over positive durations of complete work of the kind, else that of all raters.
     """
-    done = assigned.where("status = 'complete' AND duration_ms > 0")
-    own = done.groupBy(rater, kind).agg(F.median("duration_ms").alias("own"))
-    middle = placed(done.select(kind, "duration_ms"), [kind], "duration_ms", [])  # a kind may hold any number of durations
-    pooled = middle.where((F.col("_place") == F.expr("(_known + 1) div 2")) | (F.col("_place") == F.expr("(_known + 2) div 2"))).groupBy(kind).agg(F.avg("duration_ms").alias("pooled"))
+    done = assigned.where("status = 'complete' AND duration_ms > 0").groupBy(rater, kind, "duration_ms").agg(F.count("*").alias("n"))
+    own = order_of.exact_medians(done, [rater, kind], "duration_ms", "n", "own")
+    pooled = order_of.exact_medians(done.groupBy(kind, "duration_ms").agg(F.sum("n").alias("n")), [kind], "duration_ms", "n", "pooled")
     counts = assigned.groupBy(rater, kind, split).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "complete").alias("completed"))
     pace = F.coalesce("own", "pooled")
     left = F.col("total") - F.col("completed")
@@ -53,20 +52,20 @@ def logged_in(annotators: DataFrame, entered: DataFrame, text: str = "text") ->
     return entered.withColumn("code", C.login_code(F.col(text))).join(active, "code", "left_semi")
 
 
-def active_time(events: DataFrame, key: str, at_ms: Column, visible: Column, cap_ms: int = 60_000, order: tuple[str, ...] = ()) -> DataFrame:
+def active_time(events: DataFrame, key: str, at_ms: Column, visible: Column, cap_ms: int = 60_000, order: tuple[str, ...] = (), block: int = order_of.BLOCK) -> DataFrame:
     """Milliseconds of activity: gaps between events up to a cap, counted while the page was visible before the event."""
-    rows = events.select(key, at_ms.alias("_at"), visible.alias("_visible"), *order)
-    by = Window.partitionBy(key).orderBy("_at", *order)
-    gap = F.least(F.col("_at") - F.lag("_at").over(by), F.lit(cap_ms))
-    rows = rows.withColumn("_gap", F.when(F.lag("_visible").over(by), gap))
+    rows = events.select(key, at_ms.alias("_when"), visible.alias("_visible"), *order)
+    rows = order_of.with_neighbours(order_of.ranked(rows, [key], ["_when", *order, "_visible"], "_place"), "_place", 1, block)
+    by = Window.partitionBy(key, "_block").orderBy("_place")
+    gap = F.least(F.col("_when") - F.lag("_when").over(by), F.lit(cap_ms))
+    rows = rows.withColumn("_gap", F.when(F.lag("_visible").over(by), gap)).where("_own")
     return rows.groupBy(key).agg(F.coalesce(F.sum("_gap"), F.lit(0)).cast("bigint").alias("active_ms"))
 
 
 def probes(assigned: DataFrame, key: str, *order: str) -> DataFrame:
     """The first, middle and last task of each key's list."""
-    by = Window.partitionBy(key)
-    rows = assigned.withColumn("_n", F.row_number().over(by.orderBy(*order))).withColumn("_all", F.count("*").over(by))
-    return rows.where("_n IN (1, _all div 2 + 1, _all)").drop("_n", "_all")
+    rows = order_of.ranked(assigned, [key], list(order), "_n", "_size")
+    return rows.where("_n IN (1, _size div 2 + 1, _size)").drop("_n", "_size")
 
 
 def owned_task(assigned: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:

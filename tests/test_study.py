@@ -85,13 +85,6 @@ def test_design_counts_and_gap(spark, study):
         assert (rows[r.source_task_uuid].annotator_code == r.annotator_code) == (r.repeat_kind == "within_rater")
 
 
-def test_impossible_gap():
-    with pytest.raises(ValueError):
-        design.spaced([("a", 1), ("b", 1)], 1)
-    assert sorted(design.spaced([("a", 1), ("b", 2)], 1)) == [("a", 1), ("b", 2)] and design.spaced([], 3) == []
-    assert sorted(design.spaced([("a", 1), ("a", 2), ("b", 1)], 1)) == [("a", 1), ("a", 2), ("b", 1)]
-
-
 RATINGS = "task_uuid string, annotator_code string, role string, category string, curve array<double>"
 ZEROS, LEFT, RIGHT = [0.0] * 16, [5.0, 5.0] + [0.0] * 14, [0.0] * 14 + [5.0, 5.0]
 
