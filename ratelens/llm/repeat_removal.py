@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY, MIX, dropped, fresh, heavy_join, odd_numbers, raw_texts, run_hashes, spread, text_column, text_groups, text_key, written
+from .common import HEAVY, MIX, dropped, fresh, heavy_join, odd_numbers, raw_texts, release, run_hashes, spread, text_column, text_groups, text_key, written
 
 #: Bytes of a window, and of the rolling hash that sets triggers.
 LENGTH, GRAM = 200, 32
@@ -191,6 +191,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = held.slice(int(other[-1]) + 1)
     if held is not None and len(held):
         yield found(held)
+    release()
 
 
 def _spread_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +227,7 @@ def _without_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         held = now.slice(len(now) - 1)
     if held is not None:
         yield held
+    release()
 
 
 def _copies_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +242,18 @@ def _copies_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         at, many = order[first], np.diff(np.append(first, len(k1))) > 1
         rows = batch.take(pa.array(at))
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(many)], names=["k1", "k2", "text", "copied"])
+    release()
 
 
 def _named_key(text: Column) -> list[Column]:
     return [k.alias(x) for k, x in zip(text_key(text), ("k1", "k2"))]
 
 
-_KEPT = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary"
+_KEPT = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept {}"
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], decoded: bool = False) -> Iterator[pa.RecordBatch]:
+    """What is kept of each text: its bytes, or as text the characters that are whole."""
     names = [x.split()[0] for x in _KEPT.split(", ")]
     for batch in batches:
         for part in text_groups(batch):
@@ -266,14 +270,18 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keep = (np.cumsum(change) == 0).astype(np.int64)
                 kept = keep[:-1].astype(bool)
                 spans = int((~kept & np.append(True, kept[:-1])).sum()) if len(text) else 0
-                rows.append((k1, k2, len(text), int((~kept).sum()), spans, np.frombuffer(text, np.uint8)[kept].tobytes()))
-            kinds = [pa.int64()] * 5 + [pa.binary()]
+                left = np.frombuffer(text, np.uint8)[kept].tobytes()
+                rows.append((k1, k2, len(text), int((~kept).sum()), spans, left.decode("utf-8", "ignore") if decoded else left))
+            kinds = [pa.int64()] * 5 + [pa.string() if decoded else pa.binary()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def kept_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (k1, k2, n_bytes, n_removed, n_spans, kept), one for each different text; k1 and k2 are the text's key."""
+def kept_texts(docs: DataFrame, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Rows (k1, k2, n_bytes, n_removed, n_spans, kept), one for each different text; k1 and k2 are the text's key.
+
+    kept is binary, or, decoded, a text without the characters that a removal cuts through.
+    """
     text = text_column(text_col)
     keyed = docs.select(text.alias("text")).select(*_named_key(F.col("text")), "text")
     few = keyed.mapInArrow(_copies_of_batch, "k1 long, k2 long, text string, copied boolean")
@@ -305,7 +313,7 @@ def kept_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     of_text = plain.unionByName(mixed).groupBy("k1", "k2").agg(F.collect_list("r").alias("runs"))
     of_text = written(of_text)
     dropped(places, blobs, entries, runs)
-    return texts.join(of_text, ["k1", "k2"], "left").select("k1", "k2", "text", "copied", "runs").mapInArrow(_removed, _KEPT)
+    return texts.join(of_text, ["k1", "k2"], "left").select("k1", "k2", "text", "copied", "runs").mapInArrow(lambda batches: _removed(batches, decoded), _KEPT.format("string" if decoded else "binary"))
 
 
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,13 +336,8 @@ def with_repeats_removed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     whatever their names; an empty table gives no rows.
     """
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["k1", "k2", "kept"])
-
     k1, k2, kept = fresh(docs, 3)
-    found = kept_texts(docs, text_col).select("k1", "k2", "kept").mapInArrow(decoded, "k1 long, k2 long, kept string").toDF(k1, k2, kept)
+    found = kept_texts(docs, text_col, decoded=True).select("k1", "k2", "kept").toDF(k1, k2, kept)
     left = F.when(F.col(text_col).isNotNull(), F.col(kept))
     changed = {text_col: left}
     if "n_chars" in docs.columns:
