@@ -102,6 +102,18 @@ def adjudication_table(agreed: DataFrame) -> DataFrame:
     return agreed.where("needed").select("clip_id", "split", F.array_join("reasons", "|").alias("reasons"), third.code.alias("third_annotator"), third.category.alias("third_category"), _json_list(said).alias("third_intensities_json"), F.col("category").alias("final_category"), _json_list(F.transform("curve", lambda x: F.bround(x, 6))).alias("final_intensities_json"), F.lit("complete").alias("status"))
 
 
+def raw_frames(rows: DataFrame) -> DataFrame:
+    """The exported frame ratings, calibration and repeats included: rows of tasks, assignments and ratings joined."""
+    return rows.select("task_uuid", "source_task_uuid", "annotator_code", "role", "duration_ms", "clip_id", "frame", "repeat_kind", F.col("category").alias("visible_category"), "intensity", "submitted_at")
+
+
+def raw_clips(assignments: DataFrame, tasks: DataFrame, ratings: DataFrame) -> DataFrame:
+    """The exported clip ratings, calibration and adjudications included, with their curves as text and point by point."""
+    rows = assignments.join(tasks.select("task_uuid", "clip_id", "split"), "task_uuid").join(ratings, "assignment_uuid")
+    whole = F.transform("intensities", lambda x: x.cast("int"))
+    return rows.select("annotator_code", "role", "duration_ms", "clip_id", "split", "dominant_category", _json_list(F.transform(whole, lambda x: x.cast("string"))).alias("intensities_json"), "occlusion", "speaking", "abrupt_change", "subject_switch", "submitted_at", *C.wide_curve(whole))
+
+
 def new_adjudications(ratings: DataFrame, tasks: DataFrame, annotators: DataFrame, assignments: DataFrame) -> DataFrame:
     """Third ratings that are needed: rows (task_uuid, reasons, annotator_code, assignment_uuid, role, queue_position, problem, assigned).
 

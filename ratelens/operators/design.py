@@ -233,6 +233,16 @@ def calibration_shortfall(candidates: DataFrame, per_class: int = 4, label: str
     return candidates.groupBy(label).agg(F.count("*").alias("eligible")).where(F.col("eligible") < per_class)
 
 
+def calibration_manifest(picked: DataFrame, label: str = "label") -> DataFrame:
+    """The blind manifest of calibration_frames(): rows (place, clip_id, task_type, frame_index), first all frames, then all
+    clips, each by class, profile and clip."""
+    own = picked.select("clip_id", label, "calibration_profile", "frame_index")
+    frames = own.withColumns({"task_type": F.lit("frame"), "_phase": F.lit(0)})
+    clips = own.withColumns({"task_type": F.lit("clip"), "_phase": F.lit(1), "frame_index": F.lit(None).cast("int")})
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_phase", label, "calibration_profile", "clip_id"))  # a few dozen rows
+    return frames.unionByName(clips).select(place.alias("place"), "clip_id", "task_type", "frame_index")
+
+
 def calibration_frames(selected: DataFrame, label: str = "label", clip: str = "clip_id") -> DataFrame:
     """selected with the frame that each clip shows: positions are taken in turn within a class, by profile and clip."""
     by = Window.partitionBy(label).orderBy("calibration_profile", clip)
@@ -263,14 +273,30 @@ def prepare_calibration(manifest: DataFrame, annotators: DataFrame, tasks: DataF
 
 
 def practice_set(clips: DataFrame, formal: DataFrame, frames: int = 14, clip_tasks: int = 7, seed: int = 7) -> DataFrame:
-    """Practice tasks from complete clips outside the formal study: rows (position, task_type, clip_id, frame_index)."""
+    """Practice tasks from complete clips outside the formal study: rows (position, task_type, clip_id, frame_index); raises
+    if there are too few such clips."""
     eligible = clips.select("clip_id").distinct().join(formal.select("clip_id"), "clip_id", "left_anti")
     picked = eligible.orderBy(shuffled(seed, "clip_id"), "clip_id").limit(frames + clip_tasks)
+    if (found := picked.count()) < frames + clip_tasks:
+        raise ValueError(f"a practice takes {frames + clip_tasks} complete clips that the formal study does not use; there are {found}")
     rows = picked.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(shuffled(seed, "clip_id"), "clip_id")))
     is_frame = F.col("position") <= frames
     return rows.select("position", F.when(is_frame, "frame").otherwise("clip").alias("task_type"), "clip_id", F.when(is_frame, (F.col("position") - 1) * 5 % CURVE_POINTS + 1).cast("int").alias("frame_index"))
 
 
+def practice_study(chosen: DataFrame, rater: str) -> dict[str, DataFrame]:
+    """The tables of a study in which one rater practises: a task and an assignment for each row of practice_set()."""
+    spark = chosen.sparkSession
+    is_frame = F.col("task_type") == "frame"
+    rows = chosen.withColumn("task_uuid", F.when(is_frame, C.stable_uuid("practice-frame", F.col("clip_id"), F.col("frame_index"))).otherwise(C.stable_uuid("practice-clip", F.col("clip_id"))))
+    tasks = rows.select("task_uuid", "task_type", F.lit("calibration").alias("split"), "clip_id", "frame_index", F.lit(None).cast("string").alias("source_task_uuid"), F.lit("none").alias("repeat_kind"))
+    work = rows.select(C.stable_uuid("practice-assignment", F.col("task_uuid"), rater).alias("assignment_uuid"), "task_uuid", F.lit(rater).alias("annotator_code"), F.lit("primary").alias("role"), F.col("position").alias("queue_position"), F.lit("pending").alias("status"))
+    counted = rows.agg(F.count_if(is_frame).alias("frames"), F.count_if(~is_frame).alias("clips")).select(F.explode(F.create_map(F.lit("practice_frame_tasks"), F.col("frames").cast("string"), F.lit("practice_clip_tasks"), F.col("clips").cast("string"))))
+    fixed = spark.createDataFrame([("design_version", "practice-1"), ("practice_mode", "1"), ("formal_clip_overlap", "0")], "key string, value string")
+    people = spark.createDataFrame([(rater, "Practice", 1)], "code string, display_name string, active int")
+    return {"tasks": tasks, "assignments": work, "annotators": people, "study_meta": fixed.unionByName(counted)}
+
+
 def excluded_duplicates(train: DataFrame, duplicates: DataFrame) -> DataFrame:
     """train without the clips that close duplicates name on their training side; without tiers nothing is excluded."""
     if "review_tier" not in duplicates.columns:

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..schemas import CATEGORIES, LARGEST_INTENSITY
 
 Study = dict[str, DataFrame]
 RATINGS = ("frame_ratings", "clip_ratings")
 FLAGS = ("occlusion", "speaking", "abrupt_change", "subject_switch")
+#: Fixed value: who rates in a practice study.
+PRACTICE_RATER = "TEST"
 
 
 def latest(rows: DataFrame, keys: list[str], *newest: str) -> DataFrame:
@@ -70,8 +73,13 @@ def open_drafts(study: Study) -> DataFrame:
     return study["drafts"].join(study["assignments"].where("status <> 'complete'").select("assignment_uuid"), "assignment_uuid", "left_semi")
 
 
+def may_reset(study: Study, rater: str) -> bool:
+    """Whether a rater's work may be reset: in a practice study only, by its practice rater."""
+    return rater == PRACTICE_RATER and not study["study_meta"].where("key = 'practice_mode' AND value = '1'").isEmpty()
+
+
 def reset_practice(study: Study, rater: str) -> Study:
-    """The study with one rater's assignments pending again and without that rater's ratings and drafts."""
+    """The study with one rater's assignments pending again and without that rater's ratings and drafts (see may_reset)."""
     own = study["assignments"].where(F.col("annotator_code") == rater).select("assignment_uuid")
     out = study | {t: study[t].join(own, "assignment_uuid", "left_anti") for t in (*RATINGS, "drafts")}
     mine = F.col("annotator_code") == rater
@@ -95,6 +103,7 @@ def export_results(study: Study, rater: str) -> Study:
     work = study["assignments"].where((F.col("annotator_code") == rater) & (F.col("status") == "complete"))
     ids = work.select("assignment_uuid")
     version = study["study_meta"].where("key = 'design_version'").agg(F.max("value").alias("design_version"))
+    # The bundle's id is a digest of all ids of one rater, so this list is as long as that rater's work.
     about = work.agg(F.collect_list("assignment_uuid").alias("ids"), F.count("*").alias("completed_assignments")).crossJoin(F.broadcast(version))  # one row each
     about = about.select(C.bundle_id(F.lit(rater), F.col("ids")).alias("bundle_id"), F.lit(rater).alias("annotator"), "design_version", F.current_timestamp().alias("exported_at"), "completed_assignments")
     return {"bundle": about, "assignments": work} | {t: study[t].join(ids, "assignment_uuid", "left_semi") for t in RATINGS}
@@ -111,8 +120,31 @@ def merge_problems(study: Study, bundles: Study) -> DataFrame:
     return rows.where(differs).select("assignment_uuid", F.when(F.col("own_task_uuid").isNull(), "unknown").otherwise("mismatch").alias("problem"))
 
 
+def rating_problems(study: Study, bundles: Study) -> DataFrame:
+    """Ratings of bundles that the study's tables refuse, with why: an unknown assignment, a category or an intensity outside
+    the value sets, a missing curve, a flag that is neither 0 nor 1."""
+    known = study["assignments"].select("assignment_uuid", F.lit(True).alias("_known"))
+    outside = lambda c, values: F.col(c).isNull() | ~F.col(c).isin(values)
+    bad_flag = F.lit(False)
+    for c in FLAGS:
+        bad_flag = bad_flag | outside(c, [0, 1])
+    checks = {
+        "frame_ratings": [("category", outside("visible_category", CATEGORIES)), ("intensity", F.col("intensity").isNull() | ~F.col("intensity").between(0, LARGEST_INTENSITY))],
+        "clip_ratings": [("category", outside("dominant_category", CATEGORIES)), ("curve", F.col("intensities").isNull()), ("flag", bad_flag)],
+    }
+    out = []
+    for kind, rules in checks.items():
+        rows = bundles[kind].join(known, "assignment_uuid", "left")
+        problem = F.when(F.col("_known").isNull(), "unknown")
+        for name, bad in rules:
+            problem = problem.when(bad, name)
+        out.append(rows.select("assignment_uuid", F.lit(kind).alias("kind"), problem.alias("problem")).where("problem IS NOT NULL"))
+    return out[0].unionAll(out[1])
+
+
 def merged(study: Study, bundles: Study) -> Study:
-    """The study with all bundles that it has not imported yet; raises if any assignment does not fit (nothing is taken).
+    """The study with all bundles that it has not imported yet; raises if any assignment or rating does not fit (nothing is
+    taken).
 
     bundles: tables of one or more exports, each row with its bundle_id; bundle has bundle_id, design_version, source_path
     and, where the order of bundles matters, their number: what a later one holds wins. Imported assignments are complete.
@@ -127,6 +159,8 @@ def merged(study: Study, bundles: Study) -> Study:
         raise ValueError("a bundle is of another design version")
     if not merge_problems(study, fresh).isEmpty():
         raise ValueError("a bundle holds assignments that the study does not know")
+    if found := rating_problems(study, fresh).take(3):
+        raise ValueError(f"a bundle holds ratings that the study refuses: {[tuple(r) for r in found]}")
     times = ("started_at", "completed_at", "duration_ms")
     done = latest(fresh["assignments"], ["assignment_uuid"], "_number").select("assignment_uuid", F.lit("complete").alias("new_status"), *[F.col(c).alias(f"new_{c}") for c in times])
     work = study["assignments"].join(done, "assignment_uuid", "left")

@@ -85,7 +85,8 @@ def study_violations(study: dict[str, DataFrame], test_clips: int, gap: int, req
     out = [_rows(base, "base_frame_tasks", F.lit("tasks"), F.col("n"))]
     frames = a.join(t.where("task_type = 'frame' AND split = 'test'").select("task_uuid", "clip_id"), "task_uuid")
     out.append(_rows(gap_violations(frames, "annotator_code", "clip_id", ["queue_position", "assignment_uuid"], gap), "clip_gap", F.col("annotator_code"), F.col("clip_id")))
-    points = F.transform(F.col("intensities").cast("array<string>"), lambda p: F.floor(p.try_cast("double")).cast("int"))
+    whole = lambda p: F.when(p >= 0, F.floor(p)).otherwise(F.ceil(p)).cast("int")  # towards zero
+    points = F.transform(F.col("intensities").cast("array<string>"), lambda p: whole(p.try_cast("double")))
     bad = F.col("intensities").isNull() | (F.size("intensities") != S.CURVE_POINTS) | ~F.forall(points, lambda p: p.isNotNull() & p.between(0, S.LARGEST_INTENSITY))
     out.append(_rows(study["clip_ratings"].where(bad), "curve", F.col("assignment_uuid")))
     if require_complete:

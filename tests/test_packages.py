@@ -2,12 +2,13 @@
 
 import hashlib
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from ratelens import store
-from ratelens.__main__ import main
+from ratelens.__main__ import _RATING_CSV, main
 from ratelens.operators import design, progress
 from ratelens.sources import files
 
@@ -16,46 +17,44 @@ def test_a_configured_study_and_its_package(spark, tmp_path):
     run = lambda *a: main([str(x) for x in a], spark)
     demo, folder, out = tmp_path / "demo", tmp_path / "study", tmp_path / "package"
     run("make-demo", "--output", demo)
-    config = tmp_path / "project.toml"
-    config.write_text('[paths]\ntest_csv = "demo/test.csv"\ntrain_csv = "demo/train.csv"\nannotation_xlsx = "demo/votes.csv"\nduplicate_candidates = "none.csv"\n[study]\nannotators = ["R1", "R2"]\nframe_minimum_clip_gap = 3\n')
-    run("prepare-study", "--study", folder, "--config", config)
+    config = demo / "project.toml"
+    config.write_text(config.read_text().replace("[study]", 'duplicate_candidates = "none.csv"\n[study]'))
+    run("prepare-study", "--study", folder, "--config", config, "--selection", tmp_path / "selected.csv")
     study = store.load(spark, folder)
-    assert study["tasks"].where("split = 'train_alignment'").count() == 14
-    package = ("export-package", "--study", folder, "--rater", "R1", "--output", out)
+    assert study["tasks"].where("split = 'train_alignment'").count() == 14 and len((tmp_path / "selected.csv").read_text().splitlines()) == 15
+    with pytest.raises(ValueError, match="already"):
+        run("prepare-study", "--study", folder, "--config", config)
+    run("init-db", "--study", folder)
+    assert store.versions(folder) == [1]
+    package = ("export-package", "--study", folder, "--rater", "R01", "--output", out)
     with pytest.raises(ValueError, match="not completed"):
         run(*package)
-    store.save(study | {"assignments": study["assignments"].withColumns({"status": F.lit("complete"), "annotator_code": F.when(F.col("queue_position") == 1, F.col("annotator_code")).otherwise(F.col("annotator_code"))})}, folder)
+    store.save(study | {"assignments": study["assignments"].withColumn("status", F.lit("complete"))}, folder)
     run(*package)
-    table = next((out / "assignments.csv").glob("part-*")).read_bytes()
-    about = json.loads(next((out / "manifest.json").glob("part-*")).read_text())
+    table, about = (out / "assignments.csv").read_bytes(), json.loads((out / "manifest.json").read_text())
     assert table.startswith(b"\xef\xbb\xbfassignment_uuid,task_uuid,annotator_code,") and about["files"]["assignments.csv"] == hashlib.sha256(table).hexdigest()
+    assert (out / "clip_ratings.csv").read_text(encoding="utf-8-sig").startswith("assignment_uuid,dominant_category,intensities_json,")
     lines = table.decode("utf-8-sig").splitlines()
     assert len(lines) - 1 == about["completed_assignments"] == about["total_assignments"] and set(about["files"]) == {"assignments.csv", "tasks.csv", "frame_ratings.csv", "clip_ratings.csv"}
     places = [int(x.split(",")[4]) for x in lines[1:]]
     assert places == list(range(1, len(places) + 1))
+    with zipfile.ZipFile(tmp_path / "package.zip") as archive:
+        assert archive.read("assignments.csv") == table and set(archive.namelist()) == {*about["files"], "manifest.json"}
+    sent = files.bundle_folders(spark, [out], _RATING_CSV)  # a package is a bundle
+    assert sent["assignments"].count() == len(places) and "intensities" in sent["clip_ratings"].columns
     with pytest.raises(ValueError):
-        run("prepare-study", "--study", folder, "--test", demo / "test.csv")
+        run("prepare-study", "--study", tmp_path / "other", "--test", demo / "test.csv")
 
 
-def test_lines_quote_what_needs_it(spark, tmp_path):
-    files.write_lines(spark.createDataFrame([(2, 'a "b", c', None), (1, "plain", [1.0])], "n int, t string, v array<double>"), str(tmp_path / "x"), ["n", "t", "v"], "n")
-    text = next((tmp_path / "x").glob("part-*")).read_text(encoding="utf-8-sig")
-    assert text == 'n,t,v\n1,plain,[1.0]\n2,"a ""b"", c",\n'
-
-
-def test_release_findings_and_votes(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("secret = abc")
+def test_release_check_and_votes(spark, tmp_path):
     (tmp_path / "b.zip").write_bytes(b"x")
-    (tmp_path / "c.txt").write_text("nothing here")
-    found = {(r.check, r.path.rsplit("/", 1)[1]) for r in files.release_findings(spark, str(tmp_path)).collect()}
-    assert found == {("text", "a.txt"), ("suffix", "b.zip")}
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="b.zip"):
         main(["release-check", "--folder", str(tmp_path)], spark)
     votes = spark.createDataFrame([(1, 2, 3, 4, 0, 0, 0, 9)], "a int, b int, c int, d int, e int, f int, g int, `order` int")
     assert files.votes_by_position(votes).columns == [*files.VOTE_COLUMNS, "order"]
     with pytest.raises(ValueError):
         files.votes_by_position(votes.select("a"))
-    assert files.exists(spark, tmp_path / "a.txt") and not files.exists(spark, tmp_path / "gone")
+    assert files.exists(spark, tmp_path / "b.zip") and not files.exists(spark, tmp_path / "gone")
 
 
 def test_bundles_need_a_description(spark, tmp_path):
