@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schemas import CURVE_POINTS, EMOTIONS
+from ..shared import written
 from . import order as order_of
 
 #: Fixed values of the design: the class that is kept whole, and the frames that calibration cycles through.
@@ -206,7 +207,7 @@ def queues(frames: DataFrame, clips: DataFrame, seed: int = 6) -> DataFrame:
 
 def prepare_study(test: DataFrame, alignment: DataFrame, raters: list[str], second_fraction: float = 0.10, hidden_fraction: float = 0.02, gap: int = 9) -> tuple[DataFrame, DataFrame]:
     """The tasks and queued assignments of a new study."""
-    frame_tasks, frame_work = frame_design(test, raters, second_fraction, hidden_fraction)
+    frame_tasks, frame_work = (written(df) for df in frame_design(test, raters, second_fraction, hidden_fraction))
     test_tasks, test_work = clip_design(test, "test", raters)
     train_tasks, train_work = clip_design(alignment, "train_alignment", raters)
     tasks = frame_tasks.unionByName(test_tasks).unionByName(train_tasks)

@@ -16,11 +16,6 @@ def _rows(df: DataFrame, check: str, subject: Column, detail: Column | None = No
     return df.select(F.lit(check).alias("check"), subject.cast("string").alias("subject"), (detail.cast("string") if detail is not None else F.lit(None).cast("string")).alias("detail"))
 
 
-def not_null(df: DataFrame, check: str, subject: str, *columns: str) -> DataFrame:
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
-    return _rows(df.where(F.size(missing) > 0), check, F.col(subject), F.array_join(missing, ","))
-
-
 def in_domain(df: DataFrame, check: str, subject: str, column: str, values: list) -> DataFrame:
     return _rows(df.where(~F.col(column).isin(values)), check, F.col(subject), F.col(column))
 
@@ -39,28 +34,43 @@ def references(df: DataFrame, check: str, subject: str, column: str, other: Data
     return _rows(lost, check, F.col(subject), F.col(column))
 
 
+def _checked(df: DataFrame, subject: str, checks: list[tuple[str, Column, Column]]) -> DataFrame:
+    """The rows that fail checks (name, condition, detail), one for each failure, in one pass."""
+    failed = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(name).alias("check"), detail.cast("string").alias("detail"))) for name, bad, detail in checks]))
+    return df.select(F.col(subject).cast("string").alias("subject"), F.explode(failed).alias("f")).select("f.check", "subject", "f.detail")
+
+
+def _rules(name: str) -> list[tuple[str, Column, Column]]:
+    """The checks of a table's single rows that its declaration makes."""
+    outside = lambda c, values: (f"{name}.{c}", ~F.col(c).isin(values), F.col(c))
+    beyond = lambda c, low, high: (f"{name}.{c}", ~F.col(c).between(low, high), F.col(c))
+    needs_index = (F.col("task_type") == "frame") != F.col("frame_index").isNotNull()
+    return {
+        "tasks": [outside("task_type", S.TASK_TYPES), outside("split", S.SPLITS), outside("repeat_kind", S.REPEAT_KINDS), beyond("frame_index", 1, S.CURVE_POINTS), ("tasks.frame_needs_index", needs_index, F.col("task_type"))],
+        "assignments": [outside("role", S.ROLES), outside("status", S.STATUSES)],
+        "annotators": [outside("active", [0, 1])],
+        "frame_ratings": [outside("visible_category", S.CATEGORIES), beyond("intensity", 0, S.LARGEST_INTENSITY)],
+        "clip_ratings": [outside("dominant_category", S.CATEGORIES), *[outside(c, [0, 1]) for c in ("occlusion", "speaking", "abrupt_change", "subject_switch")]],
+        "adjudication_cases": [outside("status", ["pending", "complete"])],
+    }.get(name, [])
+
+
 def constraint_violations(study: dict[str, DataFrame]) -> DataFrame:
-    """Rows (check, subject, detail) for all that the declared tables forbid."""
+    """Rows (check, subject, detail) for all that the declared tables forbid: a pass over each table for the checks of its
+    rows, an aggregate for each key, a join for each reference."""
     out = []
     for name, df in study.items():
         key = S.PRIMARY_KEYS[name]
         out.append(unique(df, f"{name}.primary_key", *key))
         needed = [f.name for f in S.schema(name).fields if not f.nullable and f.name in df.columns]
-        out.append(not_null(df, f"{name}.not_null", key[0], *needed))
+        missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in needed]))
+        out.append(_checked(df, key[0], [(f"{name}.not_null", F.size(missing) > 0, F.array_join(missing, ",")), *_rules(name)]))
     t, a = study["tasks"], study["assignments"]
     out += [
-        in_domain(t, "tasks.task_type", "task_uuid", "task_type", S.TASK_TYPES), in_domain(t, "tasks.split", "task_uuid", "split", S.SPLITS),
-        in_domain(t, "tasks.repeat_kind", "task_uuid", "repeat_kind", S.REPEAT_KINDS), in_range(t, "tasks.frame_index", "task_uuid", "frame_index", 1, S.CURVE_POINTS),
-        _rows(t.where((F.col("task_type") == "frame") != F.col("frame_index").isNotNull()), "tasks.frame_needs_index", F.col("task_uuid"), F.col("task_type")),
         references(t, "tasks.source_task_uuid", "task_uuid", "source_task_uuid", t, "task_uuid"),
-        in_domain(a, "assignments.role", "assignment_uuid", "role", S.ROLES), in_domain(a, "assignments.status", "assignment_uuid", "status", S.STATUSES),
         references(a, "assignments.task_uuid", "assignment_uuid", "task_uuid", t, "task_uuid"), references(a, "assignments.annotator_code", "assignment_uuid", "annotator_code", study["annotators"], "code"),
-        unique(a, "assignments.unique", "task_uuid", "annotator_code", "role"), in_domain(study["annotators"], "annotators.active", "code", "active", [0, 1]),
-        in_domain(study["frame_ratings"], "frame_ratings.visible_category", "assignment_uuid", "visible_category", S.CATEGORIES), in_range(study["frame_ratings"], "frame_ratings.intensity", "assignment_uuid", "intensity", 0, S.LARGEST_INTENSITY),
-        in_domain(study["clip_ratings"], "clip_ratings.dominant_category", "assignment_uuid", "dominant_category", S.CATEGORIES),
-        in_domain(study["adjudication_cases"], "adjudication_cases.status", "task_uuid", "status", ["pending", "complete"]),
+        unique(a, "assignments.unique", "task_uuid", "annotator_code", "role"),
     ]
-    out += [in_domain(study["clip_ratings"], f"clip_ratings.{c}", "assignment_uuid", c, [0, 1]) for c in ("occlusion", "speaking", "abrupt_change", "subject_switch")]
     out += [references(study[r], f"{r}.assignment_uuid", "assignment_uuid", "assignment_uuid", a, "assignment_uuid") for r in ("frame_ratings", "clip_ratings", "drafts")]
     return reduce(DataFrame.unionAll, out)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.trajectory import DESCRIPTORS, with_descriptors
-from ..operators import agreement, design, exchange, integrity, progress
+from ..operators import agreement, capture, design, exchange, integrity, order, progress
 from ..sources import files
 from . import adapters, study, study_sql
 from .adapters import load
@@ -64,8 +64,8 @@ def task_probes(spark, sf):
 
 @query
 def task_authorised(spark, sf):
-    wanted = load(spark, sf, "orders").select(F.col("o_orderkey").alias("task_uuid"), F.col("o_custkey").alias("wanted_by"))
-    return progress.owned_task(adapters.assigned(spark, sf).where("status = 'complete'"), wanted, "task_uuid")
+    wanted = load(spark, sf, "orders").select(F.col("o_orderkey").alias("task_uuid"), F.col("o_custkey").alias("wanted_by"), F.lit("complete").alias("status"))
+    return progress.owned_task(adapters.assigned(spark, sf), wanted, "task_uuid", "status").drop("status")
 
 
 @query
@@ -148,7 +148,56 @@ def practice_set(spark, sf):
 @query
 def gap_violations(spark, sf):
     rows = integrity.gap_violations(load(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"], 2, first_only=False)
-    return rows.select("user_id", "event_type", "event_id", "position", "previous")
+    return rows.select("user_id", "event_type", "event_id", F.col("position").cast("int").alias("position"), F.col("previous").cast("int").alias("previous"))
+
+
+@query
+def gap_of_one_queue(spark, sf):
+    """All events as the queue of a single rater."""
+    rows = load(spark, sf, "events").withColumn("rater", F.lit("R"))
+    return integrity.gap_violations(rows, "rater", "user_id", ["ts", "event_id"], 9, first_only=False).select("event_id", "position", "previous")
+
+
+@query
+def quarters_of_ties(spark, sf):
+    """Quarters of a number that nine in ten rows lack and the others share with thousands."""
+    rows = load(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, F.floor(F.col("o_totalprice") / 200_000)).alias("v"))
+    return design.quartiles(rows, "quarter", "v", ["o_orderkey"]).select("o_orderkey", "quarter")
+
+
+@query
+def medians_of_ties(spark, sf):
+    """Exact medians by status and over all, of values that most rows share."""
+    counts = load(spark, sf, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
+    own = order.exact_medians(counts, ["l_returnflag"], "l_quantity", "n", "median").select(F.col("l_returnflag").alias("grp"), "median")
+    every = order.exact_medians(counts.groupBy("l_quantity").agg(F.sum("n").alias("n")), [], "l_quantity", "n", "median")
+    return own.unionAll(every.select(F.lit("all").alias("grp"), "median"))
+
+
+@query
+def schedule_needs(spark, sf):
+    lines = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("annotator_code"), (F.col("l_partkey") % 11).alias("clip_id"))
+    return design.schedule_needs(lines, 4)
+
+
+@query
+def assignment_states(spark, sf):
+    """Events as the log of their users' assignments; every 53rd resets what was before."""
+    rows = load(spark, sf, "events")
+    kind = F.when(F.col("event_id") % 53 == 0, "reset").when(F.col("event_id") % 5 == 0, "opened").when(F.col("event_id") % 5 == 1, "draft").when(F.col("event_id") % 5 == 2, "submitted").otherwise("activity")
+    log = rows.select(F.format_string("%010d", "event_id").alias("event_id"), F.col("user_id").cast("string").alias("assignment_uuid"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("visible"), F.col("event_id").cast("string").alias("payload_json"), F.when(F.col("event_id") % 7 == 0, "Joy").otherwise("Fear").alias("visible_category"), (F.col("event_id") % 4).cast("int").alias("intensity"), (F.col("event_id") * 1000).alias("duration_ms"))
+    out = capture.assignment_states(log.unionAll(log))  # each event comes twice
+    return out.withColumns({c: F.unix_micros(c) for c in ("started_at", "completed_at")})
+
+
+@query
+def release_scan(spark, sf):
+    """Documents as files of some names, their lines as the files' lines."""
+    suffix = F.element_at(F.array(*map(F.lit, (".md", ".py", ".csv", ".JPG", ".npz", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, ("docs", "demo_data", "exports", "a/b"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files_ = load(spark, sf, "documents").select(F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"), "text")
+    lines = files_.select("path", F.posexplode(F.split("text", "\n"))).select("path", (F.col("pos") + 1).cast("long").alias("line"), F.col("col").alias("text"))
+    return files.named_findings(files_).unionAll(files.line_findings(lines, [r"[Pp]assword", r"[a-z]+@[a-z]+\."]))
 
 
 @query

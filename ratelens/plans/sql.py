@@ -242,3 +242,37 @@ UNION ALL SELECT 'frame_index', CAST(l_partkey AS VARCHAR), NULL FROM lineitem W
 
 SQL["adjacent_differences"] = f"""WITH {_POINTS}, s AS (SELECT task_uuid, annotator_code, i - 1 AS position, round(v - lag(v) OVER (PARTITION BY task_uuid, annotator_code ORDER BY i), 6) AS difference FROM pt)
 SELECT task_uuid, annotator_code, position, difference FROM s WHERE difference IS NOT NULL"""
+
+SQL["gap_of_one_queue"] = """WITH p AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events),
+q AS (SELECT event_id, position, lag(position) OVER (PARTITION BY user_id ORDER BY position) AS previous FROM p) SELECT * FROM q WHERE position - previous <= 9"""
+
+SQL["quarters_of_ties"] = """WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN floor(o_totalprice / 200000) END AS v FROM orders),
+r AS (SELECT o_orderkey, row_number() OVER (ORDER BY v, o_orderkey) AS r, count(*) OVER () AS n FROM v WHERE v IS NOT NULL),
+q AS (SELECT o_orderkey, CASE WHEN n < 4 THEN NULL ELSE len(list_filter([1, 2, 3], lambda k: (r - 1) * 4 > k * (n - 1))) END AS quarter FROM r)
+SELECT v.o_orderkey, q.quarter FROM v LEFT JOIN q ON q.o_orderkey = v.o_orderkey"""
+
+SQL["medians_of_ties"] = """SELECT l_returnflag AS grp, median(l_quantity) AS median FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'all', median(l_quantity) FROM lineitem"""
+
+SQL["schedule_needs"] = """WITH c AS (SELECT l_suppkey AS rater, l_partkey % 11 AS clip, count(*) AS n FROM lineitem GROUP BY ALL),
+m AS (SELECT *, max(n) OVER (PARTITION BY rater) AS top FROM c),
+s AS (SELECT rater, CAST(sum(n) AS BIGINT) AS items, max(top) AS largest, count(*) FILTER (n = top) AS ties FROM m GROUP BY rater)
+SELECT *, (largest - 1) * 5 + ties AS needed, (largest - 1) * 5 + ties <= items AS feasible FROM s"""
+
+SQL["assignment_states"] = """WITH e AS (SELECT event_id AS id, user_id AS who, epoch_us(ts) AS moment, event_type <> 'error' AS visible,
+  CASE WHEN event_id % 53 = 0 THEN 'reset' WHEN event_id % 5 = 0 THEN 'opened' WHEN event_id % 5 = 1 THEN 'draft' WHEN event_id % 5 = 2 THEN 'submitted' ELSE 'activity' END AS kind,
+  CASE WHEN event_id % 7 = 0 THEN 'Joy' ELSE 'Fear' END AS category, CAST(event_id % 4 AS INTEGER) AS intensity FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY moment, id) AS n FROM e),
+l AS (SELECT n.*, category = 'Fear' AND intensity > 0 AS good FROM n LEFT JOIN (SELECT who, max(n) AS reset FROM n WHERE kind = 'reset' GROUP BY who) r USING (who) WHERE n.n > coalesce(reset, 0)),
+g AS (SELECT *, CASE WHEN lag(visible) OVER w THEN least(moment // 1000 - lag(moment // 1000) OVER w, 60000) ELSE 0 END AS gap FROM l WINDOW w AS (PARTITION BY who ORDER BY n)),
+s AS (SELECT who, min(n) FILTER (kind = 'opened') AS opened, min(n) FILTER (kind = 'submitted' AND good) AS first, max(n) FILTER (kind = 'submitted' AND good) AS last, max(n) FILTER (kind = 'draft') AS draft,
+  count(*) FILTER (kind = 'submitted' AND NOT good) AS rejected, CAST(sum(gap) AS BIGINT) AS active_ms FROM g GROUP BY who)
+SELECT CAST(u.who AS VARCHAR) AS assignment_uuid, CASE WHEN last IS NOT NULL THEN 'complete' WHEN opened IS NOT NULL THEN 'started' ELSE 'pending' END AS status,
+  CASE WHEN first IS NULL OR opened < first THEN o.moment END AS started_at, t.moment AS completed_at, CASE WHEN t.id IS NOT NULL THEN least(t.id * 1000, 86400000) END AS duration_ms, t.category AS visible_category, t.intensity AS intensity,
+  CASE WHEN last IS NULL OR draft > last THEN CAST(d.id AS VARCHAR) END AS payload_json, coalesce(rejected, 0) AS rejected, coalesce(active_ms, 0) AS active_ms
+FROM (SELECT DISTINCT who FROM e) u LEFT JOIN s ON s.who = u.who LEFT JOIN n o ON o.who = u.who AND o.n = s.opened LEFT JOIN n t ON t.who = u.who AND t.n = s.last LEFT JOIN n d ON d.who = u.who AND d.n = s.draft"""
+
+SQL["release_scan"] = r"""WITH f AS (SELECT ['docs', 'demo_data', 'exports', 'a/b'][CAST(doc_id % 4 + 1 AS INTEGER)] AS folder, ['.md', '.py', '.csv', '.JPG', '.npz', ''][CAST(doc_id % 6 + 1 AS INTEGER)] AS suffix, doc_id, text FROM documents),
+g AS (SELECT *, folder || '/' || doc_id || suffix AS path FROM f WHERE folder <> 'exports'),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM g WHERE suffix IN ('.md', '.py'))
+SELECT CASE WHEN suffix = '.npz' THEN 'forbidden binary' ELSE 'image outside demo' END AS "check", path, CAST(NULL AS BIGINT) AS line, lower(suffix) AS detail FROM g WHERE suffix = '.npz' OR (suffix = '.JPG' AND folder <> 'demo_data')
+UNION ALL SELECT 'sensitive text', path, line, p FROM l, (SELECT unnest(['[Pp]assword', '[a-z]+@[a-z]+\.']) AS p) WHERE regexp_matches(t, p)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import agreement, design, exchange, integrity, progress
-from ..schemas import CATEGORIES, CURVE_POINTS
+from ..schemas import CATEGORIES
 from ..sources import frames
 from . import adapters
 from .adapters import load
@@ -131,6 +131,43 @@ def merge_check(spark, sf):
     return exchange.merge_problems(own, {"assignments": odd})
 
 
+def rating_problems(spark, sf):
+    """Ratings with faults, of assignments of which the study knows all but some."""
+    broken = study(spark, sf, faults=True)
+    return exchange.rating_problems(study(spark, sf), broken)
+
+
+def raw_clips(spark, sf):
+    own = study(spark, sf)
+    at = F.timestamp_seconds(F.lit(1_700_000_000))
+    return agreement.raw_clips(own["assignments"], own["tasks"], own["clip_ratings"].withColumn("submitted_at", at)).withColumn("submitted_at", F.unix_seconds("submitted_at"))
+
+
+def raw_frames(spark, sf):
+    own = study(spark, sf)
+    rows = own["assignments"].join(own["tasks"], "task_uuid").join(own["frame_ratings"], "assignment_uuid").withColumn("submitted_at", F.lit(0))
+    return agreement.raw_frames(rows.withColumnsRenamed({"visible_category": "category", "frame_index": "frame"}))
+
+
+def calibration_queue(spark, sf):
+    """Nations as a manifest, in the order of their names, ahead of all that the active raters have."""
+    own = study(spark, sf)
+    own["tasks"] = own["tasks"].withColumn("split", F.regexp_replace("split", "calibration", "test"))
+    place = F.row_number().over(design.Window.partitionBy(F.lit(1)).orderBy("n_name"))
+    is_frame = F.col("n_nationkey") % 2 == 0
+    manifest = load(spark, sf, "nation").select(place.alias("position"), F.col("n_nationkey").alias("clip_id"), F.when(is_frame, "frame").otherwise("clip").alias("task_type"), F.when(is_frame, F.col("n_nationkey") % 16 + 1).cast("int").alias("frame_index"))
+    tasks, work = design.prepare_calibration(manifest, own["annotators"], own["tasks"], own["assignments"])
+    split = tasks.select("task_uuid", F.when(F.col("split") == "calibration", F.concat_ws("/", "task_type", "clip_id", "frame_index")).alias("calibration"))
+    rows = work.select("task_uuid", "annotator_code", "queue_position").join(split, "task_uuid")
+    return rows.select("annotator_code", F.coalesce("calibration", "task_uuid").alias("task"), F.col("queue_position").cast("int").alias("queue_position"))
+
+
+def calibration_manifest(spark, sf):
+    rows = load(spark, sf, "documents").select(F.col("doc_id").alias("clip_id"), F.col("lang").alias("label"), "n_chars", (F.col("doc_id") % 2 == 0).alias("main_study_overlap"))
+    picked = design.calibration_selection(rows, 5, order=(F.col("n_chars").asc(), F.col("clip_id").asc()))
+    return design.calibration_manifest(design.calibration_frames(picked)).withColumn("place", F.col("place").cast("int"))
+
+
 def rater_bundle(spark, sf):
     own = exchange.rater_bundle(study(spark, sf), "R1")
     ids = {"annotators": "code", "study_meta": "key", "import_log": "bundle_id", "tasks": "task_uuid", "adjudication_cases": "task_uuid"}
@@ -186,8 +223,9 @@ def gap_schedule(spark, sf):
     lines = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("annotator_code"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("assignment_uuid"), (F.col("l_partkey") % 11).alias("clip_id"))
     out = design.scheduled(lines, 2)
     near = integrity.gap_violations(out, "annotator_code", "clip_id", ["position"], 2).select("annotator_code", F.lit(True).alias("near"))
-    per = out.groupBy("annotator_code").agg(F.count("*").alias("n"), F.count_distinct("assignment_uuid").alias("items"), F.max("position").cast("long").alias("last"), F.sum(F.xxhash64("clip_id") % 1000).alias("_sum"))
-    return per.drop("_sum").join(near, "annotator_code", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    digest = F.conv(F.substring(F.md5("assignment_uuid"), 1, 8), 16, 10).cast("long")
+    per = out.groupBy("annotator_code").agg(F.count("*").alias("n"), F.count_distinct("assignment_uuid").alias("items"), F.max("position").cast("long").alias("last"), F.sum(digest).alias("digest"))
+    return per.join(near, "annotator_code", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
 def complete_clips(spark, sf):
@@ -209,7 +247,8 @@ def opened_work(spark, sf):
     own = study(spark, sf)
     own["assignments"] = own["assignments"].withColumn("started_at", F.lit(None).cast("timestamp"))
     at = F.timestamp_seconds(F.lit(1_700_000_000))
-    seen = own["assignments"].where("queue_position % 3 = 0").select("assignment_uuid", at.alias("opened_at"))
+    known = F.when(F.col("queue_position") % 3 == 0, F.col("assignment_uuid")).otherwise(F.concat(F.lit("lost-"), F.col("assignment_uuid")))
+    seen = own["assignments"].select(known.alias("assignment_uuid"), at.alias("opened_at"))
     return exchange.opened(own, seen)["assignments"].select("assignment_uuid", "status", F.col("started_at").isNotNull().alias("opened"))
 
 
@@ -218,11 +257,12 @@ def open_drafts(spark, sf):
     at = lambda n: F.timestamp_seconds(F.lit(1_700_000_000 + n))
     own["drafts"] = own["drafts"].withColumn("updated_at", at(0))
     new = own["assignments"].select("assignment_uuid", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), "queue_position").select("assignment_uuid", F.concat_ws("/", "queue_position", "n").alias("payload_json"), F.timestamp_seconds(F.col("n") + 1_700_000_000).alias("updated_at"))
-    return exchange.open_drafts(exchange.save_drafts(own, new.where("payload_json NOT LIKE '%7/%'"))).select("assignment_uuid", "payload_json")
+    known = F.when(F.col("payload_json").like("%7/%"), F.concat(F.lit("lost-"), F.col("assignment_uuid"))).otherwise(F.col("assignment_uuid"))
+    return exchange.open_drafts(exchange.save_drafts(own, new.withColumn("assignment_uuid", known))).select("assignment_uuid", "payload_json")
 
 
 def flags(spark, sf):
-    return load(spark, sf, "labels").select("doc_id", C.flag(F.col("toxic")).alias("toxic"), C.flag(F.when(F.col("quality") == 1, F.col("quality"))).alias("good"), F.lit(CURVE_POINTS).alias("points"))
+    return load(spark, sf, "labels").select("doc_id", C.flag(F.col("toxic")).alias("toxic"), C.flag(F.when(F.col("quality") == 1, F.col("quality"))).alias("good"))
 
 
 def times(spark, sf):
@@ -231,4 +271,4 @@ def times(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", F.date_format(C.stamp(form), "yyyyMMddHHmmss").alias("at"))
 
 
-QUERIES = {f.__name__: f for f in (constraint_violations, study_violations, save_ratings, merged_study, merge_check, rater_bundle, export_results, new_adjudications, unassignable_adjudications, consensus_export, adjudication_export, study_design, gap_schedule, complete_clips, clip_targets, logins, opened_work, open_drafts, flags, times)}
+QUERIES = {f.__name__: f for f in (constraint_violations, study_violations, save_ratings, merged_study, merge_check, rating_problems, raw_clips, raw_frames, calibration_queue, calibration_manifest, rater_bundle, export_results, new_adjudications, unassignable_adjudications, consensus_export, adjudication_export, study_design, gap_schedule, complete_clips, clip_targets, logins, opened_work, open_drafts, flags, times)}

@@ -111,7 +111,7 @@ UNION ALL SELECT unnest(['test', 'test', 'train_alignment', 'train_alignment']),
 UNION ALL SELECT 'all', 'queue', 'whole', base + second + hidden + 2 * t + 2 * r FROM x
 UNION ALL SELECT 'all', 'frame', 'too near', 0"""
 
-SQL["gap_schedule"] = """SELECT l_suppkey AS annotator_code, count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS items, count(*) AS "last", false AS near FROM lineitem GROUP BY l_suppkey"""
+SQL["gap_schedule"] = """SELECT l_suppkey AS annotator_code, count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS items, count(*) AS "last", CAST(sum(CAST('0x' || substr(md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey), 1, 8) AS BIGINT)) AS BIGINT) AS digest, false AS near FROM lineitem GROUP BY l_suppkey"""
 
 SQL["complete_clips"] = "SELECT l_suppkey AS clip_id FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey % (l_suppkey % 7 + 10)) = 16"
 
@@ -127,6 +127,31 @@ SQL["open_drafts"] = f"""WITH {_STUDY}
 SELECT work AS assignment_uuid, CASE WHEN CAST(place AS VARCHAR) LIKE '%7' THEN '{{}}' ELSE place || '/2' END AS payload_json FROM a
 WHERE status <> 'complete' AND (CAST(place AS VARCHAR) NOT LIKE '%7' OR (k = 0 AND id % 4 = 1))"""
 
-SQL["flags"] = "SELECT doc_id, CASE WHEN toxic <> 0 THEN 1 ELSE 0 END AS toxic, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS good, 16 AS points FROM labels"
+SQL["flags"] = "SELECT doc_id, CASE WHEN toxic <> 0 THEN 1 ELSE 0 END AS toxic, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS good FROM labels"
 
 SQL["times"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 1 THEN strftime(o_orderdate, '%Y%m%d%H%M%S') END AS at FROM orders"
+
+SQL["rating_problems"] = f"""WITH {_STUDY}, p AS (
+  SELECT CASE WHEN id % 61 = 0 THEN 'lost' ELSE work END AS assignment_uuid, CASE WHEN id % 61 = 0 THEN 'unknown' WHEN id % 67 = 0 THEN 'category' WHEN id % 71 = 0 THEN 'intensity' END AS problem FROM e WHERE status = 'complete')
+SELECT assignment_uuid, 'frame_ratings' AS kind, problem FROM p WHERE problem IS NOT NULL
+UNION ALL SELECT work, 'clip_ratings', 'flag' FROM c WHERE status = 'complete' AND id % 13 = 0"""
+
+SQL["raw_clips"] = f"""WITH {_STUDY}, {_POINTS},
+w AS (SELECT task_uuid, CAST(annotator_code[3:] AS INTEGER) AS k, category, list(CAST(v AS INTEGER) ORDER BY i) AS l FROM pt GROUP BY ALL)
+SELECT c.rater AS annotator_code, c.role, c.id * 1000 AS duration_ms, CAST(c.id AS INTEGER) AS clip_id, c.split, w.category AS dominant_category, '[' || array_to_string(l, ', ') || ']' AS intensities_json, 0 AS occlusion, 0 AS speaking, 0 AS abrupt_change, 1 AS subject_switch,
+  1700000000 AS submitted_at, {", ".join(f"l[{i}] AS intensity_{i}" for i in range(1, 17))} FROM c JOIN w ON w.task_uuid = c.id AND w.k = c.k WHERE c.status = 'complete'"""
+
+SQL["raw_frames"] = f"""WITH {_STUDY}
+SELECT task AS task_uuid, 'f' || source_task_uuid AS source_task_uuid, rater AS annotator_code, role, id * 10 AS duration_ms, CAST(clip_id AS INTEGER) AS clip_id, CAST(id % 16 + 1 AS INTEGER) AS frame, repeat_kind, category AS visible_category, intensity, 0 AS submitted_at FROM e WHERE status = 'complete'"""
+
+SQL["calibration_queue"] = f"""WITH {_STUDY},
+m AS (SELECT CAST(row_number() OVER (ORDER BY n_name) AS INTEGER) AS place, CASE WHEN n_nationkey % 2 = 0 THEN 'frame/' || n_nationkey || '/' || (n_nationkey % 16 + 1) ELSE 'clip/' || n_nationkey END AS task FROM nation)
+SELECT rater AS annotator_code, task, CAST(place + (SELECT count(*) FROM nation) AS INTEGER) AS queue_position FROM a UNION ALL SELECT 'R' || r, task, place FROM m, (SELECT unnest([0, 1, 2]) AS r)"""
+
+SQL["calibration_manifest"] = """WITH d AS (SELECT doc_id, lang, n_chars, doc_id % 2 = 0 AS inside FROM documents),
+o AS (SELECT *, count(*) FILTER (NOT inside) OVER (PARTITION BY lang) AS outside FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM o WHERE outside < 5 OR NOT inside),
+p AS (SELECT doc_id, lang, CASE WHEN r <= 3 THEN 'clear' ELSE 'category_boundary' END AS profile FROM r WHERE n >= 5 AND (r <= 3 OR r > n - 2)),
+f AS (SELECT *, [2, 6, 11, 15][CAST((row_number() OVER (PARTITION BY lang ORDER BY profile, doc_id) - 1) % 4 + 1 AS INTEGER)] AS frame FROM p),
+b AS (SELECT 0 AS phase, doc_id, lang, profile, 'frame' AS task_type, frame FROM f UNION ALL SELECT 1, doc_id, lang, profile, 'clip', NULL FROM f)
+SELECT CAST(row_number() OVER (ORDER BY phase, lang, profile, doc_id) AS INTEGER) AS place, doc_id AS clip_id, task_type, frame AS frame_index FROM b"""
