@@ -5,8 +5,9 @@ sum(t_i + 1) = radius + 1, two fingerprints within the radius differ by at most
 t_i = -1 is not looked at). Number of parts and thresholds are chosen by dynamic programming on estimated candidate
 counts; then each fingerprint is stored under its part values and probes the values within t_i bits, and every candidate
 is verified on all bits. Of two values that differ, the one whose lowest differing bit is 0 probes the other, so a
-fingerprint sends half of the values around its own. 64 bits can't tell near-duplicates from the chance neighbours of very many documents; where texts
-are to be dropped, candidates are verified on 192 further bits of the same kind as well.
+fingerprint sends half of the values around its own. 64 bits can't tell near-duplicates from the chance neighbours of very
+many documents; where texts are to be dropped, candidates are verified on 192 further bits of the same kind as well, and
+texts are one node only if all 256 bits are equal.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import HEAVY, MIX, _forest, components, dropped, fresh, heavy_join,
 BITS, SHINGLE, SEED = 64, 4, 42
 #: Columns of the further bits, and the multipliers that turn a shingle's hash into those behind them.
 WIDE = ["w0", "w1", "w2"]
+#: The node that a row stands for: the fingerprint, or where further bits count, a hash of all bits.
+NODE = "node"
 _TURNS = odd_numbers(len(WIDE), 17)
 #: Fingerprints whose bit statistics guide the plan. Any plan gives the same result; this only steers its cost.
 SAMPLE = 2048
@@ -177,21 +180,21 @@ def _stored_and_probing(plan: list[tuple[int, int]]):
     return run
 
 
-_MET = "part int, key long, fp long, stored boolean"
+_MET = f"part int, key long, fp long, stored boolean, {NODE} long"
 
 
 def _rows(part: int, key: np.ndarray, prints: np.ndarray, stored: bool, more: list[np.ndarray]) -> pa.RecordBatch:
     n = len(key)
     longs = [pa.array(x.view(np.int64)) for x in (key, prints, *more)]
     cols = [pa.array(np.full(n, part, np.int32)), *longs[:2], pa.array(np.full(n, stored)), *longs[2:]]
-    return pa.RecordBatch.from_arrays(cols, names=["part", "key", "fp", "stored", *WIDE[: len(more)]])
+    return pa.RecordBatch.from_arrays(cols, names=["part", "key", "fp", "stored", NODE, *WIDE[: len(more) - 1]])
 
 
 def _verifier(plan: list[tuple[int, int]], radius: int, verify: int | None):
     """Verifies, in rows sorted by their meeting place, all pairs of a left and a right row."""
     masks = np.array([mask for mask, _ in plan], np.uint64)
 
-    def links(fp: np.ndarray, place: np.ndarray, probing: np.ndarray, left: np.ndarray, right: np.ndarray, more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def links(fp: np.ndarray, place: np.ndarray, probing: np.ndarray, left: np.ndarray, right: np.ndarray, node: np.ndarray, more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         l, r = np.flatnonzero(left), np.flatnonzero(right)
         low, high = np.searchsorted(place[r], place[l], "left"), np.searchsorted(place[r], place[l], "right")
         count = high - low
@@ -204,13 +207,13 @@ def _verifier(plan: list[tuple[int, int]], radius: int, verify: int | None):
             first = np.cumsum(n) - n
             b = r[np.repeat(low[at:stop] - first, n) + np.arange(len(a))]
             # a probing row is the only one of its pair to meet the other here; two stored ones would meet twice
-            near = np.flatnonzero((probing[a] | (fp[a] < fp[b])) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius))
+            near = np.flatnonzero((probing[a] | (node[a] < node[b])) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius))
             a, b = a[near], b[near]
             if verify is not None:
                 near = sum(np.bitwise_count(w[a] ^ w[b]) for w in more) <= verify  # at most 192, so bytes suffice
                 a, b = a[near], b[near]
             if len(a):
-                x, y = _forest(fp[a].view(np.int64), fp[b].view(np.int64))
+                x, y = _forest(node[a], node[b])
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
             at = stop
 
@@ -238,7 +241,7 @@ def _verifier(plan: list[tuple[int, int]], radius: int, verify: int | None):
             new[1:] |= c[1:] != c[:-1]
         prints = cols[4].view(np.uint64)
         probing = prints & masks[cols[0]] != cols[1].view(np.uint64)
-        yield from links(prints, np.cumsum(new), probing, cols[5], cols[6], [c.view(np.uint64) for c in cols[7:]])
+        yield from links(prints, np.cumsum(new), probing, cols[5], cols[6], cols[7], [c.view(np.uint64) for c in cols[8:]])
 
     return run
 
@@ -275,24 +278,25 @@ def _hot(prints: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
 
 
 def linked_prints(prints: DataFrame, radius: int, verify: int | None = None) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within the radius of one another, and within verify of the further bits.
+    """Links (a, b) that connect all nodes within the radius of one another, and within verify of the further bits.
 
-    prints: one row (fp, and with verify the WIDE columns) for each different fingerprint. Not every pair is a row: each task reduces the pairs it
-    has verified to a forest, which connects the same fingerprints.
+    prints: one row (fp, and with verify node and the WIDE columns) for each node; without verify, node is fp. Not every pair is a row: each task reduces
+    the pairs it has verified to a forest, which connects the same nodes.
     """
+    prints = prints if verify is not None else prints.withColumn(NODE, F.col("fp"))
     total = prints.count()
-    sample = prints.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     wide = [] if verify is None else WIDE
     plan = choose(sample, total, radius)
-    rows = prints.select("fp", *wide).mapInArrow(_stored_and_probing(plan), ", ".join([_MET, *[f"{w} long" for w in wide]]))
+    rows = prints.select("fp", NODE, *wide).mapInArrow(_stored_and_probing(plan), ", ".join([_MET, *[f"{w} long" for w in wide]]))
     hot = written(_hot(prints, plan))
     dealt = rows.join(hot, ["part", "key"], "left")
-    at_left, at_right = (F.pmod(F.xxhash64("fp"), F.coalesce(c, F.lit(1))).cast("int") for c in ("n", "m"))
+    at_left, at_right = (F.pmod(F.xxhash64(NODE), F.coalesce(c, F.lit(1))).cast("int") for c in ("n", "m"))
     as_left = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(at_left.alias("i"), j.alias("j"), F.lit(True).alias("l"), F.lit(False).alias("r")))
     as_right = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), at_right.alias("j"), F.lit(False).alias("l"), F.lit(True).alias("r")))
     once = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("l"), F.col("stored").alias("r")))
     where = F.when(F.col("n").isNull(), once).when(F.col("stored"), F.concat(as_left, as_right)).otherwise(as_left)
-    meeting = dealt.select("part", "key", "fp", *wide, F.explode(where).alias("at")).select("part", "key", "at.i", "at.j", "fp", "at.l", "at.r", *wide)
+    meeting = dealt.select("part", "key", "fp", NODE, *wide, F.explode(where).alias("at")).select("part", "key", "at.i", "at.j", "fp", "at.l", "at.r", NODE, *wide)
     meeting = spread(meeting, "part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
     return meeting.mapInArrow(_verifier(plan, radius, verify), "a long, b long")
 
@@ -300,23 +304,23 @@ def linked_prints(prints: DataFrame, radius: int, verify: int | None = None) ->
 def grouped_rows(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str, verify: int | None = None) -> DataFrame:
     """Rows (doc_id, k1, k2, fp, component_id), one for each row of docs; k1 and k2 are the text's key.
 
-    Texts of one fingerprint are one node; the least of their further bits stand for them.
+    Texts of one fingerprint, and with verify of the same further bits, are one node.
     """
     wide = [] if verify is None else WIDE
     text = text_column(text_col)
     k1, k2 = text_key(text)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
-    found = written(picked.mapInArrow(_fingerprint_rows(shingle, wide), ", ".join(f"{c} long" for c in ["doc_id", "k1", "k2", "fp", *wide])))
-    least = [F.min(F.struct(*wide)).alias("least")] if wide else []
-    prints = found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"), *least)
-    prints = written(prints.select("fp", "low", "rows", *[f"least.{w}" for w in wide]))
-    parts = prints.join(components(linked_prints(prints, radius, verify), "a", "b"), F.col("fp") == F.col("node"), "left")
-    parts = written(parts.select("fp", "low", "rows", F.coalesce("component", "fp").alias("part")))
+    found = picked.mapInArrow(_fingerprint_rows(shingle, wide), ", ".join(f"{c} long" for c in ["doc_id", "k1", "k2", "fp", *wide]))
+    found = written(found.withColumn(NODE, F.xxhash64("fp", *wide) if wide else F.col("fp")))
+    prints = written(found.groupBy(NODE, "fp", *wide).agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")))
+    parts = prints.select(F.col(NODE).alias("own"), "low", "rows").join(components(linked_prints(prints, radius, verify), "a", "b"), F.col("own") == F.col("node"), "left")
+    parts = written(parts.select(F.col("own").alias(NODE), "low", "rows", F.coalesce("component", "own").alias("part")))
     ids = parts.groupBy("part").agg(F.min("low").alias("component_id"), F.count("*").alias("prints"))
-    named = written(heavy_join(parts, ids.select("part", "component_id"), ["part"], ids.where(F.col("prints") > max(1, parts.count() // HEAVY))).select("fp", "rows", "component_id"))
+    named = written(heavy_join(parts, ids.select("part", "component_id"), ["part"], ids.where(F.col("prints") > max(1, parts.count() // HEAVY))).select(NODE, "rows", "component_id"))
     dropped(prints, parts)
-    found = found.select("doc_id", "k1", "k2", "fp")
-    return heavy_join(found, named.select("fp", "component_id"), ["fp"], named.where(F.col("rows") > max(1, found.count() // HEAVY)))
+    found = found.select("doc_id", "k1", "k2", "fp", NODE)
+    out = heavy_join(found, named.select(NODE, "component_id"), [NODE], named.where(F.col("rows") > max(1, found.count() // HEAVY)))
+    return out.select("doc_id", "k1", "k2", "fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

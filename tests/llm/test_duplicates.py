@@ -46,13 +46,12 @@ def test_simhash_components(documents, near_texts, block, monkeypatch):
 
 
 def plain_near(texts, radius, verify):
-    """Links of texts whose five-word prints are near in 64 and in 192 bits, the least wide print standing for each print."""
+    """Links of texts whose own five-word prints are near in 64 and in 192 bits."""
     every = [simhash_dedup.wide_fingerprints([simhash_dedup.text_hashes((t or "").encode(), 5)]) for t in texts]
-    prints = [int(x[0][0]) for x in every]
-    wide = [tuple(int(w[0].view(np.int64)) for w in x[1:]) for x in every]
-    least = {p: min(w for p2, w in zip(prints, wide) if p2 == p) for p in prints}
-    far = {(p, q): sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(least[p], least[q])) for p in least for q in least if (p ^ q).bit_count() <= radius}
-    return [(a, b) for a in range(len(prints)) for b in range(a) if far.get((prints[a], prints[b]), verify + 1) <= verify]
+    prints, wide = np.array([x[0][0] for x in every]), np.array([[w[0] for w in x[1:]] for x in every])
+    near = np.bitwise_count(prints[:, None] ^ prints[None]) <= radius
+    near &= np.bitwise_count(wide[:, None] ^ wide[None]).astype(int).sum(axis=2) <= verify
+    return [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a > b]
 
 
 @pytest.mark.parametrize("block", [8192, 3])
@@ -70,6 +69,21 @@ def test_links_are_verified_on_further_bits(documents, near_texts, block, monkey
         assert sorted(r.doc_id for r in kept) == [i for i, x in enumerate(label) if i == x], (radius, verify)
 
 
+def test_texts_of_one_fingerprint_are_told_apart_by_further_bits(documents, monkeypatch):
+    """With prints of three bits only, most texts share one; none is dropped that is far from all others."""
+    own = simhash_dedup.wide_fingerprints
+    monkeypatch.setattr(simhash_dedup, "wide_fingerprints", lambda hashes: [own(hashes)[0] & np.uint64(7), *own(hashes)[1:]])
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 4) for _ in range(60)) for _ in range(40)]
+    texts += [t + " z" for t in texts[:10]] + texts[:5]
+    every = [own([simhash_dedup.text_hashes(t.encode(), 5)]) for t in texts]
+    wide = np.array([[w[0] for w in x[1:]] for x in every])
+    near = np.bitwise_count(wide[:, None] ^ wide[None]).astype(int).sum(axis=2) <= 36
+    label = reached(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if near[a, b]])
+    kept = simhash_dedup.representatives(documents(texts), radius=10, shingle=5, verify=36).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i, x in enumerate(label) if i == x] and len(kept) >= 40
+
+
 def test_further_bits_differ_from_the_fingerprint():
     hashes = [[int(x) for x in np.random.default_rng(i).integers(0, 1 << 63, 40, dtype=np.uint64) * 2] for i in range(200)]
     every = simhash_dedup.wide_fingerprints([*hashes, []])
@@ -252,8 +266,7 @@ def test_embeddings(spark, block, monkeypatch):
     assert near_embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_links_between_dense_groups_are_kept(spark, monkeypatch):
-    monkeypatch.setattr(near_embeddings, "WHOLE", 0)
+def test_links_between_dense_groups_are_kept(spark):
     rng = np.random.default_rng(11)
     a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
     other = 0.945 * a + np.sqrt(1 - 0.945**2) * b
@@ -265,9 +278,7 @@ def test_links_between_dense_groups_are_kept(spark, monkeypatch):
     assert [(found[i].n_links, found[i].component_id) for i in range(600)] == [(sum(x == i for x, _ in links), label[i]) for i in range(600)]
 
 
-@pytest.mark.parametrize("whole", [0, 8192])
-def test_pairs_beside_a_hot_group_are_found(spark, whole, monkeypatch):
-    monkeypatch.setattr(near_embeddings, "WHOLE", whole, raising=False)
+def test_pairs_beside_a_hot_group_are_found(spark, monkeypatch):
     monkeypatch.setattr(near_embeddings, "SEED_BLOCK", 16)
     monkeypatch.setattr(near_embeddings, "SEARCHES", 1)
     rng = np.random.default_rng(12)
