@@ -4,7 +4,7 @@ Equal vectors of a label are one node. Seeds of the neighbour graph come from so
 NN-descent then join, at each node, its neighbours with one another and keep the best of each. The
 lists only steer the search: every link among the vectors that a block or a node brings together goes, as a forest, to
 the components, whatever its rank. A list that is full of links is saturated: it may grow twofold in each round, and at
-last to the whole component, whose links are all counted exactly, block by block. Only groups of more than WHOLE nodes are searched; smaller ones are compared completely.
+last to the whole component, whose links are all counted exactly, block by block.
 An audit of each searched group compares nodes of it with all others by brute force: mean recall per node, apart for
 nodes of few and of many links. Below the wanted recall, the group is searched from more projections, and at last
 compared completely. Pairs below the threshold are never links.
@@ -33,8 +33,6 @@ SEED_BLOCK = 512
 FOLLOWED = 0.5
 #: Nodes of one block of a component when links are counted.
 COUNT_BLOCK = 2048
-#: Groups (label and length) of up to so many nodes are compared completely instead of searched.
-WHOLE = 8192
 #: For each group and class of found links (none, up to FEW, more), nodes that the audit compares with the whole group;
 #: the recall it asks for, and searches before a group that falls short is compared completely.
 AUDITED, FEW, RECALL, SEARCHES = 512, 8, 0.995, 4
@@ -257,26 +255,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     good, rest = raw.where(fit), raw.where(~fit)
     classes = written(good.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")))
     nodes = written(classes.select("node", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("grp"), "mult", "v").mapInArrow(_packed, NODES))
-    # a row for each WHOLE nodes at most
-    left = written(nodes.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE))
-    links = written(linked_whole(nodes.join(F.broadcast(left), "grp", "left_anti"), threshold))
-    graph = None
-    for search in range(SEARCHES):
-        if left.isEmpty():
-            break
-        own = written(nodes.join(F.broadcast(left), "grp").select("node", "grp", "mult", "vec", "n"))
-        new = seeds(own, threshold, search * TABLES)
+    left = written(nodes.groupBy("grp").agg(F.count("*").alias("n")))
+    links, graph, searched = None, None, 0
+    while searched < SEARCHES and not left.isEmpty():
+        own = written(nodes.join(left, "grp").select("node", "grp", "mult", "vec", "n"))
+        new = seeds(own, threshold, searched * TABLES)
         graph = written(best_lists(new if graph is None else graph.unionByName(new), threshold, NEIGHBOURS, NEIGHBOURS))
         for r in range(1, ROUNDS + 1):
-            graph = written(descended(graph, own, threshold, NEIGHBOURS << r))
-        links = links.unionByName(graph.where(F.col("link") | (F.col("cos") >= threshold)).select("u", "v"))
-        parts = components(links, "u", "v")
+            last, graph = graph, written(descended(graph, own, threshold, NEIGHBOURS << r))
+            dropped(last)
+        new = written(graph.where(F.col("link") | (F.col("cos") >= threshold)).select("u", "v"))
+        links = new if links is None else links.unionByName(new)
+        parts = written(components(links, "u", "v"))
         linked = written(counted(parts.join(own, "node").select("component", "node", "mult", "vec"), threshold))
         left = written(left.join(short(own, linked, threshold), "grp", "left_semi"))
+        searched += 1
+    if links is None:  # no vector may link
+        links = nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))
+        parts, linked = components(links, "u", "v"), nodes.select("node", F.lit(0).cast("long").alias("linked"))
     if not left.isEmpty():
-        links = links.unionByName(linked_whole(nodes.join(F.broadcast(left), "grp", "left_semi"), threshold))
-    parts = written(components(links, "u", "v"))
-    linked = written(counted(parts.join(nodes, "node").select("component", "node", "mult", "vec"), threshold))
+        links = links.unionByName(linked_whole(nodes.join(left, "grp", "left_semi"), threshold))
+    if searched > 1 or not left.isEmpty():  # else all nodes were searched once, and this is what there is
+        parts = written(components(links, "u", "v"))
+        linked = written(counted(parts.join(nodes, "node").select("component", "node", "mult", "vec"), threshold))
     found = classes.join(linked, "node", "left").join(parts, "node", "left")
     found = written(found.select(*key, "mult", (F.col("mult") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
     ids = good.select("vec_id", *key)
