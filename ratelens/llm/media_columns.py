@@ -50,18 +50,25 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     width, height, top = head[0], head[1], 1 if bitmap else head[2]
     if not 0 < top < 65536:
         raise ValueError("the largest sample must lie between 1 and 65535")
+    if not (width and height):
+        raise ValueError("an image has at least one sample")
     n = width * height * channels
     if kind == b"P1":
         bits = bytes(c for c in data[at:] if c in b"01")[:n]
         flat = 1 - (np.frombuffer(bits, np.uint8) - 48)
     elif kind in (b"P2", b"P3"):
-        flat = np.array(data[at:].split()[:n], np.int64).astype(np.uint8 if top < 256 else np.uint16)
+        flat = np.array(data[at:].split()[:n], np.int64)
+        if len(flat) and not 0 <= flat.min() <= flat.max() <= top:
+            raise ValueError("a sample lies outside 0 to the largest")
+        flat = flat.astype(np.uint8 if top < 256 else np.uint16)
     elif kind == b"P4":
         row = (width + 7) // 8
         packed = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
         flat = 1 - np.unpackbits(packed, axis=1)[:, :width].reshape(-1)
     else:
         flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at + 1)
+        if top not in (255, 65535) and flat.max() > top:
+            raise ValueError("a sample lies outside 0 to the largest")
     if len(flat) < n:
         raise ValueError("the file is shorter than its header says")
     return flat.reshape(height, width, channels)
@@ -79,8 +86,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("no BMP file")
     le = lambda a, n=4, signed=False: int.from_bytes(data[a : a + n], "little", signed=signed)
     start, header, width, height, bits, packing = le(10), le(14), le(18, signed=True), le(22, signed=True), le(28, 2), le(30)
-    if packing not in (0, 3) or bits not in (8, 24, 32) or width <= 0:
-        raise ValueError("only plain BMP files of 8, 24 or 32 bits are read")
+    if packing not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or height == 0:
+        raise ValueError("only plain BMP files of 8, 24 or 32 bits with at least one sample are read")
     row = (width * bits // 8 + 3) // 4 * 4
     grid = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)
     if height > 0:  # rows stand bottom up
@@ -112,12 +119,18 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resized(samples: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    """Means over the rows x cols equal rectangles of an image, parts of samples by their area (by an integral image)."""
+def integral(samples: np.ndarray) -> np.ndarray:
+    """The sums of all samples above and left of each corner."""
     height, width = samples.shape[:2]
     sums = np.zeros((height + 1, width + 1, samples.shape[2]))
     np.cumsum(samples, axis=0, dtype=np.float64, out=sums[1:, 1:])
-    np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
+    return np.cumsum(sums, axis=1, out=sums)
+
+
+def area_resized(samples: np.ndarray, rows: int, cols: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """Means over the rows x cols equal rectangles of an image, parts of samples by their area (by its integral image)."""
+    height, width = samples.shape[:2]
+    sums = integral(samples) if sums is None else sums
 
     def at_edges(values: np.ndarray, n: int, parts: int) -> np.ndarray:
         edge = np.arange(parts + 1) * n / parts
@@ -139,8 +152,9 @@ def npy(array: np.ndarray) -> bytes:
 
 def features(samples: np.ndarray) -> tuple[bytes, str]:
     """The NPY file of an image's tile (uint8) and its difference hash (16 hex digits)."""
-    tile = np.clip(np.rint(area_resized(samples, TILE, TILE)), 0, 255).astype(np.uint8)
-    grey = area_resized(samples, HASH_ROWS, HASH_COLS).mean(axis=2)
+    sums = integral(samples)
+    tile = np.clip(np.rint(area_resized(samples, TILE, TILE, sums)), 0, 255).astype(np.uint8)
+    grey = area_resized(samples, HASH_ROWS, HASH_COLS, sums).mean(axis=2)
     bits = np.packbits(np.round(grey[:, 1:], 6) > np.round(grey[:, :-1], 6))
     return npy(tile), bits.tobytes().hex()
 
@@ -186,9 +200,11 @@ def with_decoded(media: DataFrame, media_col: str = "media") -> DataFrame:
     """media with what its images hold: the columns rows, cols, channels, tile (NPY), dhash and error.
 
     Images may be Netpbm (P1 to P6) or BMP files. A null gives nulls; bytes that are no such image give an error text and
-    nulls, and fail no task. The other columns stay as they are, in Python as in the plan; media must not have columns of
-    the new names. An empty table gives no rows. No shuffle.
+    nulls, and fail no task. The other columns stay as they are, in Python as in the plan; a table that has columns of the
+    new names is refused. An empty table gives no rows. No shuffle.
     """
+    if clash := {x.split()[0] for x in DECODED.split(", ")} & {c.lower() for c in media.columns}:
+        raise ValueError(f"the table has columns of the names {sorted(clash)} already")
     schema = T.StructType(media.schema.fields + T._parse_datatype_string(DECODED).fields)
     at = media.columns.index(media_col)
     names = [x.split()[0] for x in DECODED.split(", ")]
@@ -200,7 +216,7 @@ def with_decoded(media: DataFrame, media_col: str = "media") -> DataFrame:
         try:
             image = decode(data)
             return (*image.shape, *features(image), None)
-        except (ValueError, IndexError) as error:
+        except (ValueError, IndexError, ArithmeticError, MemoryError) as error:
             return (None, None, None, None, None, str(error) or type(error).__name__)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +244,7 @@ def media_digests(media: DataFrame) -> DataFrame:
             for doc, n, stored, tile, dhash in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     payload = decode(stored or b"").tobytes()
-                except (ValueError, IndexError):
+                except (ValueError, IndexError, ArithmeticError):
                     rows.append((doc, n, *[None] * 6))
                     continue
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_BYTES:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{dhash}-{zlib.crc32(tile):08x}"))

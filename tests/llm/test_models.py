@@ -241,15 +241,25 @@ def test_media_formats_and_digests(documents, odd_texts):
     assert media_columns.media_digests(media.limit(0)).count() == 0
 
 
+#: Images without samples, with samples outside their range or of huge numbers.
+BROKEN = [b"P5\n0 0\n255\n", b"P2 3 0 9 1 2 3", b"P2\n1 1\n255\n300", b"P2 1 1 255 -1", b"P2 1 1 9 99999999999999999999999", b"P5 1 1 9 \xff", b"P1 0 4 ", media_columns.encode_bmp(np.zeros((1, 1, 1), np.uint8)).replace((1).to_bytes(4, "little") * 2, (1).to_bytes(4, "little") + bytes(4), 1)]
+
+
 def test_media_columns_of_any_image(spark):
     rng = np.random.default_rng(1)
     grey, colour = rng.integers(0, 256, (40, 30, 1)).astype(np.uint8), rng.integers(0, 256, (21, 50, 3)).astype(np.uint8)
-    files = [media_columns.encode_netpbm(grey), media_columns.encode_bmp(grey), media_columns.encode_bmp(colour), b"BM", b"P5\n4 4\n255\nab", b"", None]
+    files = [media_columns.encode_netpbm(grey), media_columns.encode_bmp(grey), media_columns.encode_bmp(colour), b"BM", b"P5\n4 4\n255\nab", b"", None, *BROKEN]
     df = spark.createDataFrame(list(enumerate(files)), "n long, media binary").withColumns({"doc_id": F.lit(7), "kept": F.lit("x")})
     rows = {r.n: r for r in media_columns.with_decoded(df).collect()}
     assert [(r.rows, r.cols, r.channels) for r in (rows[0], rows[1], rows[2])] == [(40, 30, 1), (40, 30, 1), (21, 50, 3)]
     assert rows[0].tile == rows[1].tile and rows[0].dhash == rows[1].dhash and rows[0].kept == "x"
-    assert all(rows[i].error and rows[i].tile is None for i in (3, 4, 5)) and rows[6].error is None and rows[6].tile is None
+    assert all(rows[i].error and rows[i].tile is None for i in (3, 4, 5, *range(7, 7 + len(BROKEN)))) and rows[6].error is None and rows[6].tile is None
+    for name in ("tile", "Rows", "error"):
+        with pytest.raises(ValueError, match="already"):
+            media_columns.with_decoded(df.withColumn(name, F.lit(1)))
+    grid = media_columns.area_resized(colour.astype(float), 8, 9).mean(axis=2)
+    plain = "".join("1" if round(float(grid[i, j + 1]), 6) > round(float(grid[i, j]), 6) else "0" for i in range(8) for j in range(8))
+    assert rows[2].dhash == f"{int(plain, 2):016x}"
     side = media_columns.TILE
     tile = np.load(io.BytesIO(rows[0].tile))
     plain = np.zeros((side, side))
@@ -357,5 +367,5 @@ def test_stages_keep_columns_of_any_name(spark):
 
 
 def test_registered_names():
-    assert sorted(int(n.split("_")[0][2:]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in registry.queries()) == list(range(1, 14))
     assert {packing, repeat_removal, simhash_dedup} and set(registry.oracle_sql()) <= set(registry.queries())
