@@ -338,14 +338,16 @@ def with_losses(texts: DataFrame, model: DataFrame, unknown: float) -> DataFrame
     """Rows (k1, k2, lang, loss, n, pairs) of texts, rows (k1, k2, lang, text): negative log-probability, number of words with
     the end mark, and number of different word pairs.
 
-    The rows of one text key are equal. A partition's rows must come in the same order when it is computed again.
+    The rows of one text key are equal. Texts are dealt to chunks in the order of their keys, so a partition that is computed
+    again, after an executor was lost, deals the same chunks in whatever order its rows come.
     """
     spark = texts.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.count() // SHARD))
     entries = written(sharded(model, shards))
 
     def scored(wave: int) -> DataFrame:
-        asked = texts.where(F.pmod("k1", F.lit(WAVES)) == wave).mapInArrow(_requests(shards), _ROWS)
+        own = texts.where(F.pmod("k1", F.lit(WAVES)) == wave).sortWithinPartitions("k1", "k2", "lang")
+        asked = own.mapInArrow(_requests(shards), _ROWS)
         met = spread(asked.unionByName(entries), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_looked_up, "chunk long, kind int, blob binary")
         sums = spread(met, "chunk").sortWithinPartitions("chunk", F.desc("kind")).mapInArrow(_summed(unknown), "k1 long, k2 long, lang string, loss double, n long, pairs long")
         return written(sums.groupBy("k1", "k2", "lang").agg(*[F.min(x).alias(x) for x in ("loss", "n", "pairs")]))
