@@ -47,8 +47,8 @@ _SETTINGS = [("test", "paths", "test_csv"), ("train", "paths", "train_csv"), ("v
 _DEFAULTS = {"second": 0.10, "hidden": 0.02, "gap": 9, "per_class": 380}
 
 
-def _configured(a: argparse.Namespace) -> argparse.Namespace:
-    """Options as given, else from the configuration, else by default; test, train, votes and frames must come from somewhere."""
+def _configured(a: argparse.Namespace, needed: tuple[str, ...] = ("test", "train", "votes", "frames")) -> argparse.Namespace:
+    """Options as given, else from the configuration, else by default; those that are needed must come from somewhere."""
     config = files.load_config(a.config) if a.config else {}
     for name, section, key in _SETTINGS:
         value = config.get(section, {}).get(key)
@@ -57,7 +57,7 @@ def _configured(a: argparse.Namespace) -> argparse.Namespace:
     for name, value in _DEFAULTS.items():
         if getattr(a, name, 0) is None:
             setattr(a, name, value)
-    if lost := [n for n in ("test", "train", "votes", "frames") if getattr(a, n) is None]:
+    if lost := [n for n in needed if getattr(a, n) is None]:
         raise ValueError(f"neither the options nor a configuration name {lost}")
     return a
 
@@ -105,18 +105,27 @@ def prepare_study(spark, a):
 
 
 def select_calibration(spark, a):
+    """The clearest clips of each class and those at its border, of clips that are not tested. What the main study uses is
+    read from it if it is there, else selected as it will be."""
+    a = _configured(a, () if store.versions(a.study) else ("test", "train", "votes", "frames"))
     votes = files.votes(spark, a.votes)
     if not design.vote_violations(votes, files.VOTE_COLUMNS).isEmpty():
         raise ValueError("votes must not be negative and must add up to 10")
-    used = store.load(spark, a.study)["tasks"].where("split = 'train_alignment'").select("clip_id", F.lit(True).alias("main_study_overlap")).distinct()
-    own = design.label_clarity(votes, files.VOTE_COLUMNS, validate=True).join(votes.select(F.col("order").alias("clip_id"), "label"), "clip_id")
-    tested = store.load(spark, a.study)["tasks"].where("split = 'test'").select("clip_id")
-    rows = own.join(tested, "clip_id", "left_anti").join(used, "clip_id", "left").fillna(False, ["main_study_overlap"])
+    clarity = design.label_clarity(votes, files.VOTE_COLUMNS, validate=True)
+    if store.versions(a.study):
+        tasks = store.load(spark, a.study)["tasks"]
+        used, tested = (tasks.where(F.col("split") == x).select("clip_id").distinct() for x in ("train_alignment", "test"))
+    else:
+        tested, train = _split(spark, a.test).select("clip_id"), _split(spark, a.train)
+        stimulus = files.csv(spark, a.stimulus, "clip_id int, original_frame_count double, mean_abs_change double", ("clip_id",)) if a.stimulus else None
+        used = design.alignment_subset(train, clarity, stimulus, a.per_class).select("clip_id")
+    own = clarity.join(votes.select(F.col("order").alias("clip_id"), "label"), "clip_id")
+    rows = own.join(tested, "clip_id", "left_anti").join(used.withColumn("main_study_overlap", F.lit(True)), "clip_id", "left").fillna(False, ["main_study_overlap"])
     if a.frames:
         rows = rows.join(_whole_clips(spark, a), "clip_id", "left_semi")
-    if found := design.calibration_shortfall(rows, a.per_class).take(7):
+    if found := design.calibration_shortfall(rows, a.clips).take(7):
         raise ValueError(f"too few eligible calibration clips: {found}")
-    picked = design.calibration_frames(design.calibration_selection(rows, a.per_class))
+    picked = design.calibration_frames(design.calibration_selection(rows, a.clips))
     files.write_csv(picked, f"{a.output}/key.csv", order=["label", "calibration_profile", "clip_id"])
     files.write_csv(design.calibration_manifest(picked), f"{a.output}/manifest.csv", ["clip_id", "task_type", "frame_index"], ["place"])
 
@@ -323,7 +332,7 @@ def make_demo(spark, a):
 COMMANDS = {
     init_db: {}, status: {}, next_task: {}, create_adjudications: {},
     prepare_study: {"config": {"default": None}, "test": {"default": None}, "train": {"default": None}, "votes": {"default": None}, "stimulus": {"default": None}, "duplicates": {"default": None}, "frames": {"default": None}, "password": {"default": None}, "selection": {"default": None}, "raters": {"nargs": "+", "default": None}, "second": {"type": float, "default": None}, "hidden": {"type": float, "default": None}, "gap": {"type": int, "default": None}, "per-class": {"type": int, "default": None}},
-    select_calibration: {"votes": {}, "output": {}, "frames": {"default": None}, "password": {"default": None}, "per-class": {"type": int, "default": 4}},
+    select_calibration: {"config": {"default": None}, "test": {"default": None}, "train": {"default": None}, "votes": {"default": None}, "stimulus": {"default": None}, "output": {}, "frames": {"default": None}, "password": {"default": None}, "per-class": {"type": int, "default": None}, "clips": {"type": int, "default": 4}},
     export_package: {"rater": {}, "output": {}}, release_check: {"folder": {}},
     prepare_calibration: {"manifest": {}, "raters": {"type": int, "default": 3}},
     calibration_report: {"output": {}}, reset_practice: {"rater": {}}, annotator_check: {"frames": {}, "password": {"default": None}},

@@ -1,6 +1,7 @@
 """A demo study from its making to its consensus, by commands."""
 
 import gzip
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,11 +78,13 @@ def test_select_calibration_writes_a_manifest_in_order(spark, tmp_path):
     demo, folder = tmp_path / "demo", tmp_path / "study"
     run("make-demo", "--output", demo)
     run("prepare-study", "--study", folder, "--config", demo / "project.toml")
-    run("select-calibration", "--study", folder, "--votes", demo / "votes.csv", "--frames", demo / "frames", "--per-class", 2, "--output", tmp_path / "cal")
+    run("select-calibration", "--study", folder, "--votes", demo / "votes.csv", "--frames", demo / "frames", "--clips", 2, "--output", tmp_path / "cal")
     lines = (tmp_path / "cal" / "manifest.csv").read_text().splitlines()
     assert lines[0] == "clip_id,task_type,frame_index" and [x.split(",")[1] for x in lines[1:]] == ["frame"] * 14 + ["clip"] * 14
     key = [x.split(",") for x in (tmp_path / "cal" / "key.csv").read_text().splitlines()]
     assert [r[key[0].index("clip_id")] for r in key[1:]] == [x.split(",")[0] for x in lines[1:15]] == [x.split(",")[0] for x in lines[15:]]
+    run("select-calibration", "--study", tmp_path / "later", "--config", demo / "project.toml", "--clips", 2, "--output", tmp_path / "before")
+    assert (tmp_path / "before" / "manifest.csv").read_text() == (tmp_path / "cal" / "manifest.csv").read_text()
 
 
 def test_practice(spark, tmp_path):
@@ -110,3 +113,29 @@ def test_practice(spark, tmp_path):
     (demo / "frames" / "00003" / "16.jpg").unlink()
     with pytest.raises(ValueError, match="3"):
         run("annotator-check", "--study", folder, "--frames", demo / "frames")
+
+
+def test_prepare_study_with_a_workbook_and_an_archive(spark, tmp_path):
+    from test_sinks import book
+
+    run = lambda *a: main([str(x) for x in a], spark)
+    demo = tmp_path / "demo"
+    run("make-demo", "--output", demo)
+    rows = [x.split(",") for x in (demo / "votes.csv").read_text().splitlines()]
+    head = '<row r="1">' + "".join(f'<c r="{chr(65 + i)}1" t="s"><v>{i}</v></c>' for i in range(9)) + "</row>"
+    body = "".join(f'<row r="{i}">' + "".join(f'<c r="{chr(65 + j)}{i}"><v>{v}</v></c>' for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows[1:], 2))
+    book(demo / "votes.xlsx", {"sheet": head + body}, [f"<t>{n}</t>" for n in ["a", "b", "c", "d", "e", "f", "g", *rows[0][7:]]])
+    with zipfile.ZipFile(demo / "frames.zip", "w") as archive:
+        for path in sorted((demo / "frames").rglob("*.jpg")):
+            archive.write(path, f"any/{path.parent.name}/{path.name}")
+    options = ["--test", demo / "test.csv", "--train", demo / "train.csv", "--raters", "R01", "R02", "--gap", 2]
+    run("prepare-study", "--study", tmp_path / "one", "--votes", demo / "votes.xlsx", "--frames", demo / "frames.zip", *options)
+    run("prepare-study", "--study", tmp_path / "two", "--votes", demo / "votes.csv", "--frames", demo / "frames", *options)
+    one, two = ({(r.assignment_uuid, r.queue_position) for r in store.load(spark, tmp_path / n)["assignments"].collect()} for n in ("one", "two"))
+    assert one == two and len(one) == 167
+    with zipfile.ZipFile(demo / "short.zip", "w") as archive:
+        for path in sorted((demo / "frames").rglob("*.jpg")):
+            if path.name != "7.jpg" or path.parent.name != "00020":
+                archive.write(path, f"{path.parent.name}/{path.name}")
+    with pytest.raises(ValueError, match="20"):
+        run("prepare-study", "--study", tmp_path / "three", "--votes", demo / "votes.csv", "--frames", demo / "short.zip", *options)
