@@ -26,7 +26,7 @@ from .common import HEAVY, components, dropped, heavy_join, spread, written
 #: Neighbours in a list at first, and rounds of neighbours-of-neighbours joins.
 NEIGHBOURS, ROUNDS = 8, 3
 #: Random projections of the first search, and those that each further search adds.
-TABLES = 4
+TABLES = 8
 #: Rows in projection order that are compared with one another for seeds.
 SEED_BLOCK = 512
 #: Neighbours below this cosine are not followed.
