@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped_since, mark, written
 
 #: Rows that the upper tree is fitted on (those of the smallest hashes), and its regions at most.
 SAMPLE, REGIONS = 4096, 256
@@ -340,16 +340,21 @@ def hard_negatives(rows: DataFrame, anchor: Column, key: str = "vec_id", label:
     LARGEST_NORM or more take no part; of several rows of one id, the one of the least length, label and vector does. Only
     vectors of one length are compared. An anchor without positives, or without negatives in any window, has no rows.
     """
+    spark, point = rows.sparkSession, mark()
     own = written(searchable(rows, anchor, key, label, vector))
     few = representatives(own.drop("anchor"), max(positives + 1, negatives))
     regions = Regions(few)
     dealt = written(regions.dealt(few.select("dim", "label", "id", "vec")))
     regions.measure(dealt)
+    begun = mark()
     asked = own.where("anchor").select("dim", "label", "id", F.col("id").alias("positive"), F.lit(-BEYOND).cast("long").alias("low"), F.lit(BEYOND).cast("long").alias("high"), "vec")
     near = written(first_rows(regions, dealt, asked, positives, same=True).select("id", F.col("other").alias("positive"), F.col("score").alias("positive_score")))
+    dropped_since(spark, begun, near)
     whole, left = F.expr("positive_score div 100"), F.col("positive_score") % 100
     share = lambda percent, up: whole * percent + ((left * percent + up) / 100).cast("long")
     windows = near.where("positive_score >= 0").withColumns({"low": share(least, 99), "high": share(most, 0)})
     asked = windows.join(own.where("anchor").drop("anchor"), "id").select("dim", "label", "id", "positive", "low", "high", "vec")
     found = first_rows(regions, dealt, asked, negatives, same=False).join(near, ["id", "positive"])
-    return found.select(F.col("id").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    out = written(found.select(F.col("id").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))
+    dropped_since(spark, point, out)
+    return out
