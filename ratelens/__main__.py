@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -206,7 +207,17 @@ def backup(spark, a):
 
 
 def make_annotator_bundle(spark, a):
-    store.save(exchange.rater_bundle(store.load(spark, a.study), a.rater), a.output)
+    """A rater's own study in a new folder, with a practice beside it and the settings that the rater's machine needs."""
+    study = store.load(spark, a.study)
+    if study["annotators"].where(F.col("code") == a.rater).isEmpty():
+        raise ValueError(f"the study has no rater {a.rater}")
+    store.save(exchange.rater_bundle(study, a.rater), a.output, operation="make-annotator-bundle")
+    if a.practice and store.versions(a.practice):
+        store.save(store.load(spark, a.practice), f"{a.output}/practice", operation="make-annotator-bundle")
+    if a.config:
+        paths = files.load_config(a.config).get("paths", {})
+        own = {k: paths[k] for k in ("frames", "frames_16_archive", "frames_archive_password") if k in paths}
+        files.write_text(f"{a.output}/project.toml", "[paths]\n" + "".join(f"{k} = {json.dumps(str(v))}\n" for k, v in own.items()))
 
 
 def export(spark, a):
@@ -337,7 +348,7 @@ COMMANDS = {
     prepare_calibration: {"manifest": {}, "raters": {"type": int, "default": 3}},
     calibration_report: {"output": {}}, reset_practice: {"rater": {}}, annotator_check: {"frames": {}, "password": {"default": None}},
     prepare_practice: {"frames": {}, "password": {"default": None}, "formal": {"default": None}, "force": {"action": "store_true"}},
-    workload_report: {"output": {}}, backup: {"output": {}}, make_annotator_bundle: {"rater": {}, "output": {}}, export: {"rater": {}, "output": {}},
+    workload_report: {"output": {}}, backup: {"output": {}}, make_annotator_bundle: {"rater": {}, "output": {}, "practice": {"default": None}, "config": {"default": None}}, export: {"rater": {}, "output": {}},
     merge: {"folders": {"nargs": "+"}}, export_consensus: {"output": {}}, validate_study: {"require-complete": {"action": "store_true"}}, make_demo: {"output": {}},
 }
 

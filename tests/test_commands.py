@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ratelens import store
 from ratelens.__main__ import main
 from ratelens.operators import exchange
+from ratelens.sources import files
 
 
 def test_a_whole_study(spark, tmp_path):
@@ -18,7 +19,11 @@ def test_a_whole_study(spark, tmp_path):
     run("prepare-study", "--study", folder, "--test", demo / "test.csv", "--train", demo / "train.csv", "--votes", demo / "votes.csv", "--frames", demo / "frames", "--raters", "R1", "R2", "--gap", 3)
     study = store.load(spark, folder)
     assert study["tasks"].where("repeat_kind = 'none' AND task_type = 'frame'").count() == 7 * 16
-    run("make-annotator-bundle", "--study", folder, "--rater", "R1", "--output", own)
+    run("prepare-practice", "--study", tmp_path / "practice", "--frames", demo / "frames")
+    run("make-annotator-bundle", "--study", folder, "--rater", "R1", "--output", own, "--practice", tmp_path / "practice", "--config", demo / "project.toml")
+    assert store.load(spark, f"{own}/practice")["tasks"].count() == 21 and files.load_config(own / "project.toml")["paths"] == {"frames": "frames"}
+    with pytest.raises(ValueError, match="R7"):
+        run("make-annotator-bundle", "--study", folder, "--rater", "R7", "--output", tmp_path / "none")
     mine = store.load(spark, own)
     assert mine["assignments"].select("annotator_code").distinct().collect()[0][0] == "R1"
     work = mine["assignments"].join(mine["tasks"].select("task_uuid", "task_type"), "task_uuid")
