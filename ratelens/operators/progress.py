@@ -36,9 +36,9 @@ def workload(assigned: DataFrame, rater: str = "annotator_code", kind: str = "ta
 
     The pace is the rater's exact median over positive durations of complete work of the kind, else that of all raters.
     """
-    done = assigned.where("status = 'complete' AND duration_ms > 0").groupBy(rater, kind, "duration_ms").agg(F.count("*").alias("n"))
+    done = assigned.where("status = 'complete' AND duration_ms > 0")
     whose = F.explode(F.array(F.struct(F.lit(False).alias("_pooled"), F.col(rater).alias("_who")), F.struct(F.lit(True).alias("_pooled"), F.lit(None).alias("_who"))))
-    each = done.select(whose.alias("_g"), kind, "duration_ms", "n").groupBy("_g._pooled", "_g._who", kind, "duration_ms").agg(F.sum("n").alias("n"))
+    each = done.select(whose.alias("_g"), kind, "duration_ms").groupBy("_g._pooled", "_g._who", kind, "duration_ms").agg(F.count("*").alias("n"))
     middle = order_of.exact_medians(each, ["_pooled", "_who", kind], "duration_ms", "n", "_median")  # of each rater and of all, in one pass
     own = middle.where("NOT _pooled").select(F.col("_who").alias(rater), kind, F.col("_median").alias("own"))
     pooled = middle.where("_pooled").select(kind, F.col("_median").alias("pooled"))
