@@ -249,7 +249,7 @@ q AS (SELECT event_id, position, lag(position) OVER (PARTITION BY user_id ORDER
 SQL["quarters_of_ties"] = """WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN floor(o_totalprice / 200000) END AS v FROM orders),
 r AS (SELECT o_orderkey, row_number() OVER (ORDER BY v, o_orderkey) AS r, count(*) OVER () AS n FROM v WHERE v IS NOT NULL),
 q AS (SELECT o_orderkey, CASE WHEN n < 4 THEN NULL ELSE len(list_filter([1, 2, 3], lambda k: (r - 1) * 4 > k * (n - 1))) END AS quarter FROM r)
-SELECT v.o_orderkey, q.quarter FROM v LEFT JOIN q ON q.o_orderkey = v.o_orderkey"""
+SELECT v.o_orderkey, CAST(q.quarter AS INTEGER) AS quarter FROM v LEFT JOIN q ON q.o_orderkey = v.o_orderkey"""
 
 SQL["medians_of_ties"] = """SELECT l_returnflag AS grp, median(l_quantity) AS median FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'all', median(l_quantity) FROM lineitem"""
 

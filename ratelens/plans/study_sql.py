@@ -139,7 +139,7 @@ UNION ALL SELECT work, 'clip_ratings', 'flag' FROM c WHERE status = 'complete' A
 SQL["raw_clips"] = f"""WITH {_STUDY}, {_POINTS},
 w AS (SELECT task_uuid, CAST(annotator_code[3:] AS INTEGER) AS k, category, list(CAST(v AS INTEGER) ORDER BY i) AS l FROM pt GROUP BY ALL)
 SELECT c.rater AS annotator_code, c.role, c.id * 1000 AS duration_ms, CAST(c.id AS INTEGER) AS clip_id, c.split, w.category AS dominant_category, '[' || array_to_string(l, ', ') || ']' AS intensities_json, 0 AS occlusion, 0 AS speaking, 0 AS abrupt_change, 1 AS subject_switch,
-  1700000000 AS submitted_at, {", ".join(f"l[{i}] AS intensity_{i}" for i in range(1, 17))} FROM c JOIN w ON w.task_uuid = c.id AND w.k = c.k WHERE c.status = 'complete'"""
+  CAST(1700000000 AS BIGINT) AS submitted_at, {", ".join(f"l[{i}] AS intensity_{i}" for i in range(1, 17))} FROM c JOIN w ON w.task_uuid = c.id AND w.k = c.k WHERE c.status = 'complete'"""
 
 SQL["raw_frames"] = f"""WITH {_STUDY}
 SELECT task AS task_uuid, 'f' || source_task_uuid AS source_task_uuid, rater AS annotator_code, role, id * 10 AS duration_ms, CAST(clip_id AS INTEGER) AS clip_id, CAST(id % 16 + 1 AS INTEGER) AS frame, repeat_kind, category AS visible_category, intensity, 0 AS submitted_at FROM e WHERE status = 'complete'"""
