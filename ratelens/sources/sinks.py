@@ -39,6 +39,8 @@ class OneFileWriter(DataSourceArrowWriter):
         self.gzip = options.get("compression", "none") == "gzip"
         self.digest = options.get("digest")
         self.parts = f"{self.path}.parts-{uuid.uuid4().hex[:12]}"
+        system, folder = system_of(self.parts)
+        system.create_dir(folder, recursive=True)  # here and not by tasks, of which one may outlive an abort
 
     def _bytes(self, text: str) -> bytes:
         data = text.encode("utf-8", "surrogatepass")
@@ -48,7 +50,6 @@ class OneFileWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         number, rows = context.partitionId(), 0
         system, folder = system_of(self.parts)
-        system.create_dir(folder, recursive=True)
         place = f"{folder}/{number:07d}-{context.taskAttemptId()}"  # a task that runs again writes another part
         with system.open_output_stream(place) as out:
             for batch in iterator:
@@ -60,7 +61,6 @@ class OneFileWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         system, path = system_of(self.path)
         _, folder = system_of(self.parts)
-        system.create_dir(folder, recursive=True)
         hashed, size, whole = hashlib.sha256(), 0, f"{folder}/whole"
         with system.open_output_stream(whole) as out:
 
