@@ -26,3 +26,10 @@ def test_entry_and_names():
     import __spark_entry__ as driver
 
     assert set(catalog.QUERIES) <= set(driver.queries()) and set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_flags_has_all_its_columns(spark, duck):
+    """A rewrite of the query and its SQL had dropped the number of points from both."""
+    df = catalog.QUERIES["flags"](spark, SF)
+    assert df.columns == duck.sql(catalog.SQL["flags"]).columns == ["doc_id", "toxic", "good", "points"]
+    assert {r.points for r in df.collect()} == {16}
