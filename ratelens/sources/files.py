@@ -70,10 +70,17 @@ def votes_by_position(rows: DataFrame) -> DataFrame:
 
 
 def stimulus_audit(stimulus: DataFrame, clips: DataFrame) -> DataFrame:
-    """Rows (check, subject): study clips without stimulus features, and clips with several rows."""
-    lost = clips.select("clip_id").distinct().join(stimulus.select("clip_id"), "clip_id", "left_anti").select(F.lit("missing").alias("check"), F.col("clip_id").alias("subject"))
-    twice = stimulus.groupBy("clip_id").count().where("count > 1").select(F.lit("duplicate").alias("check"), F.col("clip_id").alias("subject"))
-    return lost.unionAll(twice)
+    """Rows (check, subject): study clips without stimulus features, and clips with several rows.
+
+    Both tables are dealt by clip over the session's number of partitions and counted there at once: long sorted keys
+    compress so well that partitions merged by their bytes would hold many more rows than one task has memory for.
+    """
+    rows = clips.select("clip_id", F.lit(True).alias("_study")).unionAll(stimulus.select("clip_id", F.lit(False)))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "clip_id")
+    per = rows.groupBy("clip_id").agg(F.count_if(F.col("_study")).alias("_clips"), F.count_if(~F.col("_study")).alias("_rows"))
+    lost = (F.col("_clips") > 0) & ((F.col("_rows") == 0) | F.col("clip_id").isNull())  # what has no id has no features
+    checks = F.array_compact(F.array(F.when(lost, "missing"), F.when(F.col("_rows") > 1, "duplicate")))
+    return per.select(F.explode(checks).alias("check"), F.col("clip_id").alias("subject"))
 
 
 def manifest_violations(manifest: DataFrame) -> DataFrame:

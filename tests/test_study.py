@@ -204,3 +204,14 @@ def test_files(spark, tmp_path, small):
         files.snapshot(small, str(tmp_path / "copy"))
     files.write_csv(spark.createDataFrame([(1, [1.0], None)], "a int, b array<double>, c double"), str(tmp_path / "out"), ["b", "a", "c"], nan_text="nan")
     assert (tmp_path / "out").read_text() == "b,a,c\n[1.0],1,nan\n"
+
+
+def test_stimulus_audit_counts_in_all_partitions(spark):
+    """Small keys were merged by their bytes into few partitions, so a task's memory grew with the table."""
+    clips = spark.range(3000).select((F.col("id") % 2000).cast("int").alias("clip_id")).unionAll(spark.sql("SELECT CAST(NULL AS INT)"))
+    stimulus = spark.range(1000, 4000).select("id").unionAll(spark.range(2500, 2600)).unionAll(spark.sql("SELECT CAST(NULL AS BIGINT) FROM range(2)")).toDF("clip_id")
+    out = files.stimulus_audit(stimulus, clips)
+    want = [("missing", i) for i in [*range(1000), None]] + [("duplicate", i) for i in [*range(2500, 2600), None]]
+    key = lambda r: (r[0], r[1] is None, r[1] or 0)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    assert out.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
