@@ -158,14 +158,18 @@ def schedule_needs(items: DataFrame, gap: int, rater: str = "annotator_code", cl
     Between two items of a clip lie more than gap others, so the items of a largest clip are the heads of largest - 1
     rounds of gap + 1 places, and a last place for each of the ties: no schedule is shorter, and any longer one can be filled.
     """
-    per = items.groupBy(F.col(rater).alias("rater"), clip).agg(F.count("*").alias("n"))
-    by_size = per.groupBy("rater", "n").agg(F.count("*").alias("clips"))
+    return _needs(items.groupBy(F.col(rater).alias("rater"), clip).agg(F.count("*").alias("n")), gap)
+
+
+def _needs(counts: DataFrame, gap: int) -> DataFrame:
+    """schedule_needs() of a table of the items (n) of each rater and clip."""
+    by_size = counts.groupBy("rater", "n").agg(F.count("*").alias("clips"))
     out = by_size.groupBy("rater").agg(F.sum(F.col("n") * F.col("clips")).alias("items"), F.max("n").alias("largest"), F.max_by("clips", "n").alias("ties"))
     out = out.withColumn("needed", (F.col("largest") - 1) * (gap + 1) + F.col("ties"))
     return out.withColumn("feasible", F.col("needed") <= F.col("items"))
 
 
-def scheduled(items: DataFrame, gap: int, seed: int = 5, rater: str = "annotator_code", item: str = "assignment_uuid", clip: str = "clip_id") -> DataFrame:
+def scheduled(items: DataFrame, gap: int, seed: int = 5, rater: str = "annotator_code", item: str = "assignment_uuid", clip: str = "clip_id", block: int = order_of.BLOCK) -> DataFrame:
     """Rows (rater, item, clip, position): each rater's items in an order that keeps the gap; position is null for raters
     who can have none (see schedule_needs). Raters may have any number of items.
 
@@ -173,15 +177,29 @@ def scheduled(items: DataFrame, gap: int, seed: int = 5, rater: str = "annotator
     others go on from round to round but the last, so every round has more than gap items and a clip keeps its place from
     one round to the next; clips that go past the last such round have a round without them between. Where rounds are
     longer than the gap needs, neighbouring places are shuffled within each round, by as many places as may be lost.
+
+    Items are shuffled twice: to their clip, where their draws rank them, and to their part of a round. Clips of more than
+    block items, of which there are few, are dealt over bins of about as many by the first digits of the draws. What a bin
+    starts at comes from the counts, a table of one row for each rater, clip and bin.
     """
     names = [F.col(rater).alias("rater"), F.col(item).cast("string").alias("item"), F.col(clip).cast("bigint").alias("clip")]
     rows = items.select(*names)
-    counts = rows.groupBy("rater", "clip").agg(F.count("*").alias("n")).withColumnsRenamed({"rater": "_r", "clip": "_c"})
-    rows = rows.join(counts, F.col("rater").eqNullSafe(F.col("_r")) & F.col("clip").eqNullSafe(F.col("_c"))).drop("_r", "_c")
-    rows = rows.withColumns({"clip_draw": shuffled(seed, "clip"), "draw": shuffled(seed, "item")})
-    rows = order_of.ranked(rows, ["rater"], [F.desc("n"), "clip_draw", "clip", "draw", "item"], "s")
-    needs = schedule_needs(items, gap, rater, clip).withColumnsRenamed({"rater": "_r", "items": "all"})
-    rows = rows.join(needs, F.col("rater").eqNullSafe(F.col("_r"))).drop("_r").withColumn("s", F.col("s") - 1)
+    counts = written(rows.groupBy("rater", "clip").agg(F.count("*").alias("n")))
+    draw = F.unhex(shuffled(seed, "item"))
+    bins = counts.where(F.col("n") > block).select(F.struct("rater", "clip").alias("own"), "n", F.ceil(F.col("n") / block).alias("bins"))
+    first = F.conv(F.hex(F.substring(draw, 1, 4)), 16, 10).cast("bigint")  # 32 bits, in the order of the draws
+    own = F.struct("rater", "clip")  # structs are equal where their nulls are
+    binned = rows.join(F.broadcast(bins), own == F.col("own"), "left").withColumn("bin", F.when(F.col("bins").isNotNull(), F.shiftright(first * F.col("bins"), 32)))
+    parts = counts.where(F.col("n") <= block).select("rater", "clip", "n", F.lit(None).cast("bigint").alias("bin"), F.col("n").alias("size"))
+    parts = parts.unionByName(binned.where("bins IS NOT NULL").groupBy("rater", "clip", "n", "bin").agg(F.count("*").alias("size")))
+    parts = order_of.running(parts.withColumn("clip_draw", shuffled(seed, "clip")), ["rater"], [F.desc("n"), "clip_draw", "clip", "bin"], "size", "up_to", "all")
+    key = F.struct("rater", "clip", "bin").alias("key")  # nullable in both tables: of one type, so no cast deals the rows again
+    needs = _needs(counts, gap).select(F.col("rater").alias("_r"), "largest", "ties", "feasible")
+    parts = parts.join(needs, F.col("rater").eqNullSafe(F.col("_r"))).select(key, (F.col("up_to") - F.col("size")).alias("before"), "all", "largest", "ties", "feasible")
+    number = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so none is merged: they are sorted twice
+    rows = binned.select(key, "item").repartition(number, "key").join(parts, "key").withColumn("draw", draw)
+    here = Window.partitionBy("key").orderBy("draw", "item")  # a bin
+    rows = rows.withColumn("s", F.col("before") + F.row_number().over(here) - 1).select("key.rater", "item", "key.clip", "s", "all", "largest", "ties", "feasible")
     heads = F.col("largest") * F.col("ties")
     rounds = F.greatest(F.col("largest") - 1, F.lit(1))
     rows = rows.withColumns({"rest": F.col("s") - heads, "rounds": rounds, "left": F.col("all") - heads})
@@ -190,10 +208,11 @@ def scheduled(items: DataFrame, gap: int, seed: int = 5, rater: str = "annotator
     rows = rows.withColumns({"round": F.when(head, F.expr("s % largest")).otherwise(F.expr("rest % rounds")), "at": F.when(head, F.expr("s div largest")).otherwise(F.expr("ties + rest div rounds")), "even": even})
     chunk = F.greatest(F.least(F.when(F.col("largest") > 1, F.col("even") - gap).otherwise(F.col("all")), F.lit(CHUNK)), F.lit(1))
     rows = rows.withColumn("chunk", chunk).withColumn("part", F.expr("at div chunk"))
-    by = Window.partitionBy("rater", "round", "part").orderBy(shuffled(seed + 1, "item"), "item")  # at most CHUNK rows
     start = F.col("round") * F.col("even") + F.least(F.col("round"), F.expr("left % rounds"))
-    position = start + F.col("part") * F.col("chunk") + F.row_number().over(by)
-    out = rows.withColumn("position", F.when(F.col("feasible"), position).cast("int"))
+    rows = rows.select("rater", "item", "clip", "feasible", (start + F.col("part") * F.col("chunk")).alias("base"))
+    rows = rows.repartition("rater", "base").withColumn("draw", F.unhex(shuffled(seed + 1, "item")))  # drawn where it is needed
+    by = Window.partitionBy("rater", "base").orderBy("draw", "item")  # a part of a round, of at most CHUNK rows
+    out = rows.withColumn("position", F.when(F.col("feasible"), F.col("base") + F.row_number().over(by)).cast("int"))
     return out.select(F.col("rater").alias(rater), F.col("item").alias(item), F.col("clip").alias(clip), "position")
 
 

@@ -80,7 +80,12 @@ def gap_violations(rows: DataFrame, rater: str, clip: str, order: list[str], gap
 
     A queue of any length is looked at in blocks of places, each with the gap places before it.
     """
-    placed = order_of.with_neighbours(order_of.ranked(rows, [rater], order, "position"), "position", gap, block)
+    return gap_violations_of_placed(order_of.ranked(rows, [rater], order, "position"), rater, clip, gap, first_only, block)
+
+
+def gap_violations_of_placed(rows: DataFrame, rater: str, clip: str, gap: int, first_only: bool = True, block: int = order_of.BLOCK) -> DataFrame:
+    """gap_violations() of rows whose column position holds their places; rows without a place are not looked at."""
+    placed = order_of.with_neighbours(rows, "position", gap, block)
     before = F.lag("position").over(Window.partitionBy(rater, "_block", clip).orderBy("position"))
     near = placed.withColumn("previous", before).where(F.col("_own") & (F.col("position") - F.col("previous") <= gap)).drop("_block", "_own")
     if not first_only:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import agreement, design, exchange, integrity, progress
 from ..schemas import CATEGORIES, CURVE_POINTS
+from ..shared import written
 from ..sources import frames
 from . import adapters
 from .adapters import load
@@ -221,10 +222,12 @@ def study_design(spark, sf):
 def gap_schedule(spark, sf):
     """Each supplier's order lines as frame tasks of a clip, in an order that keeps a gap of two tasks; what must hold of it."""
     lines = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("annotator_code"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("assignment_uuid"), (F.col("l_partkey") % 11).alias("clip_id"))
-    out = design.scheduled(lines, 2)
-    near = integrity.gap_violations(out, "annotator_code", "clip_id", ["position"], 2).select("annotator_code", F.lit(True).alias("near"))
+    out = written(design.scheduled(lines, 2))
+    placed = out.select("annotator_code", "clip_id", "position")
+    near = integrity.gap_violations_of_placed(placed, "annotator_code", "clip_id", 2).select("annotator_code", F.lit(True).alias("near"))
     digest = F.conv(F.substring(F.md5("assignment_uuid"), 1, 8), 16, 10).cast("long")
-    per = out.groupBy("annotator_code").agg(F.count("*").alias("n"), F.count_distinct("assignment_uuid").alias("items"), F.max("position").cast("long").alias("last"), F.sum(digest).alias("digest"))
+    items = out.drop("clip_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "annotator_code", "assignment_uuid")  # no item twice in memory
+    per = items.groupBy("annotator_code").agg(F.count("*").alias("n"), F.count_distinct("assignment_uuid").alias("items"), F.max("position").cast("long").alias("last"), F.sum(digest).alias("digest"))
     return per.join(near, "annotator_code", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 

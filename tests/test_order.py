@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from ratelens import shared
 from ratelens.operators import design, integrity, order, progress
 
 
@@ -161,3 +162,27 @@ def test_active_time_across_blocks(spark, block):
 def test_probes(spark):
     df = spark.createDataFrame([("A", i) for i in range(9)] + [("B", 1), ("C", 1), ("C", 2)], "k string, n int")
     assert sorted(map(tuple, progress.probes(df, "k", "n").collect())) == [("A", 0), ("A", 4), ("A", 8), ("B", 1), ("C", 1), ("C", 2)]
+
+
+@pytest.mark.parametrize("block", [1, 40, 1 << 16])
+def test_schedules_deal_items_without_writing_them(spark, block):
+    """Only counts are written, and bins of large clips don't change the schedule; nulls are raters and clips too."""
+    rater = F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 3)
+    clip = F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 5 < 3, F.lit(1)).otherwise(F.col("id") % 40)
+    df = spark.range(2000).select(rater.alias("annotator_code"), F.col("id").cast("string").alias("assignment_uuid"), clip.alias("clip_id"))
+    point = shared.mark()
+    out = design.scheduled(df, 0, block=block)
+    assert all("item" not in spark.read.parquet(path).columns for path in shared._kept[point:])
+    rows = out.collect()
+    assert sorted((r.annotator_code is None, r.annotator_code, r.assignment_uuid, r.clip_id) for r in rows if r.annotator_code is not None) == sorted((False, *r) for r in df.collect() if r.annotator_code is not None)
+    for own in (None, 0, 1, 2):
+        places = sorted(r.position for r in rows if r.annotator_code == own)
+        assert places == list(range(1, len(places) + 1)) and places
+    assert {(r.assignment_uuid, r.position) for r in rows} == {(r.assignment_uuid, r.position) for r in design.scheduled(df, 0).collect()}
+
+
+def test_gap_violations_of_given_places(spark):
+    """Places are taken as they are; what has none is not looked at."""
+    df = spark.createDataFrame([("A", 1, 1), ("A", 1, 4), ("A", 2, None), ("A", 2, None), ("B", 3, 5), ("B", 3, 6), ("B", 3, 6)], "r string, c int, position int")
+    got = sorted((r.r, r.position, r.previous) for r in integrity.gap_violations_of_placed(df, "r", "c", 2, first_only=False, block=4).collect())
+    assert got == [("B", 6, 5), ("B", 6, 6)]
